@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeworks.llm import mixing, quality, sharding
+from hazeworks.llm import bpe, licenses, mixing, pii, quality, sharding, warc
+from hazeworks.llm.common import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +29,36 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op5_quality": op5_quality}
+    return {
+        "op1_sharding": op1_sharding,
+        "op3_pii": op3_pii,
+        "op4_mixing": op4_mixing,
+        "op5_quality": op5_quality,
+        "op7_warc": op7_warc,
+        "op9_bpe": op9_bpe,
+        "op10_licenses": op10_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
