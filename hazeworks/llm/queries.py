@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeworks.llm import bpe, licenses, mixing, pii, quality, sharding, warc
+from hazeworks.llm import bpe, licenses, mixing, neardup, pii, quality, sharding, warc
 from hazeworks.llm.common import scratch_path
 
 
@@ -29,6 +29,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), neardup.Settings(width=2, threshold=80))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_neardup": op2_neardup,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_quality": op5_quality,
