@@ -59,3 +59,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def even_keys(spark: SparkSession, partitions: int) -> list[int]:
+    """Key number i goes to a partition of its own under ``repartition(partitions, key)``: one key for each partition."""
+    found: dict[int, int] = {}
+    span = 8 * partitions
+    while len(found) < partitions:
+        ids = spark.range(span).select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("p"))
+        found = {r["p"]: r["id"] for r in ids.groupBy("p").agg(F.min("id").alias("id")).collect()}
+        span *= 2
+    return [found[i] for i in range(partitions)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeworks.llm import bpe, licenses, mixing, neardup, pii, quality, sharding, warc
+from hazeworks.llm import bpe, licenses, mixing, neardup, pii, quality, search, sharding, substrings, warc
 from hazeworks.llm.common import scratch_path
 
 
@@ -37,12 +37,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.self_search(_documents(spark, sf_dir), every=20, k=10)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,14 +68,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_quality": op5_quality,
+        "op6_search": op6_search,
         "op7_warc": op7_warc,
+        "op8_substrings": op8_substrings,
         "op9_bpe": op9_bpe,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_search": OP6_SQL}
 
 
 OP4_SQL = """
@@ -94,3 +104,26 @@ SELECT doc_id, source, CAST(copy AS INTEGER) AS "copy", CAST(copies AS INTEGER)
        md5(coalesce(text, '')) AS text_md5
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
 """
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')) AS term
+  FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY doc_id, term
+), lengths AS (
+  SELECT d.doc_id, coalesce(sum(t.tf), 0) AS dl FROM documents d LEFT JOIN tf t USING (doc_id) GROUP BY d.doc_id
+), stats AS (
+  SELECT count(*) AS n, avg(dl) AS mean FROM lengths
+), idf AS (
+  SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term, n
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id AS hit_id,
+         round(sum(i.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * l.dl / s.mean))), 6) AS score
+  FROM tf q JOIN tf d USING (term) JOIN idf i USING (term) JOIN lengths l ON l.doc_id = d.doc_id, stats s
+  WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, d.doc_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS "rank", hit_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
