@@ -3,8 +3,8 @@
 1. ``profile``: one pass over the texts gives each document's number of word shingles, a digest of its word sequence, ``bands``
    of MinHash values and an odd sketch (all MinHash samples folded into a parity bitmap). Documents of equal digest have equal
    sets; only the one of smallest id goes on.
-2. Documents that share a band are candidates. Within a bucket every member is compared with the bucket's smallest member
-   only; the bitmaps' XOR population count estimates the similarity, and pairs far below the threshold go no further.
+2. Documents that share a band are candidates. Within a bucket every member is compared with the bucket's leader only, the
+   member that shares most buckets; the bitmaps' XOR population count estimates the similarity, and pairs far below the threshold go no further.
 3. The others are confirmed on their full shingle sets, which are made for documents in shared buckets alone.
 4. Components of these links leave stragglers: members of a bucket outside its leader's component. They, and only they, are
    compared with all members of other components in their bucket. After that, every pair of every bucket is compared or
@@ -160,11 +160,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     reps = texts.join(firsts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
-    leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = materialize(banded.join(leaders, "band"), "buckets")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(banded.join(sizes, "band"), "shared-bands")
+    # A text from which a group was copied shares more buckets than its copies, which differ twice as much among themselves.
+    weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    central = shared.join(weights, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
+    buckets = materialize(shared.join(central, "band"), "buckets")
     sketches = reps.select("doc_id", "sketch")
 
-    stars = buckets.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = buckets.where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     near = (
         stars.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
         .join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), "a")
