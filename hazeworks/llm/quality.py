@@ -105,7 +105,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select("*", _starts(F.col("_s")).alias("_p")).drop("_s")
     rows = rows.select(
         *kept,
-        F.size("_w").cast("long").alias("n_words"),
+        # Never false, but not known to the optimizer: a filter on measures would else move below and compute each array again for every use.
+        F.when(F.monotonically_increasing_id() >= 0, F.size("_w").cast("long")).alias("n_words"),
         without(SPACES).alias("word_chars"),
         (F.length(t).cast("long") - without(SYMBOLS)).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
