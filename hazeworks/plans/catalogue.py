@@ -1,15 +1,527 @@
-"""All queries of the engine with their SQL equivalents."""
+"""All queries of the engine with their SQL equivalents, over the driver's tables.
+
+The tables hold no sensors, grids or pixels, so columns stand in for them: ``events`` for measurements (event type or user as the
+series), ``supplier`` for stations and ``part`` for grid cells at coordinates made from their keys, ``lineitem`` for pixel samples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazeworks.functions import scalar
+from hazeworks.operators import cleaning, incremental, merge, models, raster, series, spatial, splits
+from hazeworks.plans import views
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times are UTC instants."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def naive(df: DataFrame, *columns: str) -> DataFrame:
+    """Instants as UTC wall time, as the tables store them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def ts(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+# Cleaning
+
+#: Runs of equal values, nulls skipped, of readings rounded to tens.
+_FLAT = """
+WITH b AS (SELECT event_id, event_type, ts, CASE WHEN value BETWEEN 0 AND 200 THEN value END AS value FROM events),
+v AS (SELECT *, round_even(value / 10, 0) AS r, value IS NULL AS missing FROM b),
+k AS (SELECT *, CASE WHEN r = lag(r) OVER (PARTITION BY event_type, missing ORDER BY ts, event_id) THEN 0 ELSE 1 END AS brk FROM v),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY event_type, missing ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM k),
+l AS (SELECT *, count(*) OVER (PARTITION BY event_type, missing, run) AS len FROM g),
+clean AS (SELECT event_id, event_type, ts, CASE WHEN NOT missing AND len < 3 THEN value END AS value FROM l)
+"""
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleaning.bounded(events(spark, sf_dir).select("event_id", "event_type", "ts", "value"), {"value": (0.0, 200.0)})
+    return cleaning.null_flatlines(rows, ["event_type"], ["ts", "event_id"], "value", 3, F.rint(F.col("value") / 10))
+
+
+@query(_FLAT + "SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value FROM clean GROUP BY ALL HAVING count(ts) >= 5")
+def hourly_cleaned_series(spark, sf_dir):
+    return naive(series.hourly_mean(_cleaned(spark, sf_dir), ["event_type"], "ts", ["value"], 5), "hour")
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 10 AND 200 THEN value END AS value FROM events")
+def bounds_null(spark, sf_dir):
+    return cleaning.bounded(events(spark, sf_dir), {"value": (10.0, 200.0)}).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NULL OR value BETWEEN 10 AND 200")
+def bounds_drop(spark, sf_dir):
+    return cleaning.bounded(events(spark, sf_dir), {"value": (10.0, 200.0)}, "drop").select("event_id", "value")
+
+
+@query(_FLAT + "SELECT event_id, value FROM clean")
+def flatline_null(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select("event_id", "value")
+
+
+@query("""
+WITH v AS (SELECT event_id, event_type, ts, value, round_even(value / 10, 0) AS r FROM events),
+k AS (SELECT *, CASE WHEN r = lag(r) OVER (PARTITION BY event_type ORDER BY ts, event_id) THEN 0 ELSE 1 END AS brk FROM v),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM k),
+l AS (SELECT *, count(*) OVER (PARTITION BY event_type, run) AS len FROM g)
+SELECT event_id, value FROM l WHERE len < 3""")
+def flatline_drop(spark, sf_dir):
+    return cleaning.drop_flatlines(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], "value", 3, F.rint(F.col("value") / 10)).select("event_id", "value")
+
+
+@query("""
+WITH s AS (SELECT event_id, value, count(value) OVER w AS n, quantile_cont(value, 0.5) OVER w AS med, stddev_samp(value) OVER w AS sd
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING))
+SELECT event_id, value FROM s WHERE value IS NOT NULL AND NOT coalesce(n >= 6 AND abs(value - med) / nullif(sd, 0) > 3, false)""")
+def rolling_outliers(spark, sf_dir):
+    return cleaning.rolling_outliers(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], "value").select("event_id", "value")
+
+
+@query(_FLAT + """
+SELECT event_type, 'value' AS parameter, count(*) AS nulled FROM clean JOIN events e USING (event_id, event_type)
+WHERE e.value IS NOT NULL AND clean.value IS NULL GROUP BY event_type""")
+def nulled_cells(spark, sf_dir):
+    raw = events(spark, sf_dir).select("event_id", "event_type", "value")
+    return cleaning.nulled_cells(raw, _cleaned(spark, sf_dir).drop("ts"), ["event_type"], "event_id", ["value"])
+
+
+@query(_FLAT + """, cells AS (SELECT 'value' AS parameter, count(*) AS nulled FROM clean JOIN events e USING (event_id) WHERE e.value IS NOT NULL AND clean.value IS NULL)
+SELECT parameter, nulled FROM cells UNION ALL SELECT NULL, nulled FROM cells""")
+def nulled_totals(spark, sf_dir):
+    raw = events(spark, sf_dir).select("event_id", "event_type", "value")
+    cells = cleaning.nulled_cells(raw, _cleaned(spark, sf_dir).drop("ts"), ["event_type"], "event_id", ["value"])
+    return cleaning.nulled_totals(cells).withColumn("nulled", F.col("nulled").cast("long"))
+
+
+# Aggregates and reshaping
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value FROM events GROUP BY ALL HAVING count(ts) >= 5")
+def hourly_mean_min5(spark, sf_dir):
+    return naive(series.hourly_mean(events(spark, sf_dir), ["event_type"], "ts", ["value"], 5), "hour")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, arg_min(props, ts) AS props FROM events GROUP BY ALL")
+def hourly_mean_first(spark, sf_dir):
+    return naive(series.hourly_mean(events(spark, sf_dir), ["event_type"], "ts", ["value"], 1, ["props"]), "hour")
+
+
+@query("SELECT event_id FROM (SELECT event_id, count(ts) OVER (PARTITION BY event_type, date_trunc('hour', ts)) AS n FROM events) WHERE n >= 5")
+def hours_with_five(spark, sf_dir):
+    return series.hours_with(events(spark, sf_dir), ["event_type"], "ts", 5).select("event_id")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, count(CASE WHEN value < 100 THEN value END) OVER (PARTITION BY date_trunc('hour', ts)) AS n FROM events) WHERE n >= 2""")
+def active_hours(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.date_trunc("hour", "ts").alias("hour"), F.when(F.col("value") < 100, F.col("value")).alias("v"))
+    return series.active_hours(rows, "hour", "v", 2).select("event_id")
+
+
+@query("""SELECT user_id, date_trunc('day', ts) AS day, avg(CASE WHEN event_type = 'click' THEN value END) AS click, avg(CASE WHEN event_type = 'view' THEN value END) AS "view",
+avg(CASE WHEN event_type = 'purchase' THEN value END) AS purchase FROM events GROUP BY ALL""")
+def pivot_mean(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    return naive(series.pivot_mean(rows, ["user_id", "day"], "event_type", "value", ["click", "view", "purchase"]), "day")
+
+
+@query("""SELECT user_id, date_trunc('day', ts) AS day, avg(CASE WHEN event_type = 'click' THEN value END) AS click, avg(CASE WHEN event_type = 'click' THEN value END) IS NOT NULL AS has_click FROM events GROUP BY ALL""")
+def presence_flags(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    return naive(series.with_flags(series.pivot_mean(rows, ["user_id", "day"], "event_type", "value", ["click"]), ["click"]), "day")
+
+
+@query("""WITH spine AS (SELECT event_type, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08', INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT event_type FROM events)),
+m AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value FROM events GROUP BY ALL)
+SELECT event_type, hour, value FROM spine LEFT JOIN m USING (event_type, hour)""")
+def hourly_spine(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    means = series.hourly_mean(rows, ["event_type"], "ts", ["value"])
+    return naive(series.hourly_spine(means, rows.select("event_type"), ["event_type"], "hour", ts("2024-01-01"), ts("2024-01-08")), "hour")
+
+
+@query("""SELECT user_id, day, event_id, value FROM (SELECT user_id, date_trunc('day', ts) AS day, event_id, value,
+row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def keep_last(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", F.date_trunc("day", "ts").alias("day"), "event_id", "value", "ts")
+    return naive(series.first_per_key(rows, ["user_id", "day"], [F.desc("ts"), F.desc("event_id")]).drop("ts"), "day")
+
+
+@query("""WITH a AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, 1 AS p FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+b AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, 2 AS p FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY event_type, hour ORDER BY p DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+SELECT event_type, hour, value FROM u WHERE n = 1""")
+def merged_sources(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    part = lambda k: series.hourly_mean(rows.where(F.col("event_id") % k == 0), ["event_type"], "ts", ["value"])
+    return naive(series.merged_sources([(1, part(2)), (2, part(3))], ["event_type", "hour"]), "hour")
+
+
+@query("""SELECT event_type, min(v) AS "min", max(v) AS "max", avg(v) AS mean, stddev_pop(v) AS stddev, 100.0::DOUBLE * count(v) / count(*) AS valid_percent
+FROM (SELECT event_type, CASE WHEN value <= 200 THEN value END AS v FROM events) GROUP BY event_type""")
+def band_statistics(spark, sf_dir):
+    return series.band_statistics(cleaning.bounded(events(spark, sf_dir), {"value": (0.0, 200.0)}), ["event_type"], "value")
+
+
+@query("""WITH s AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type)
+SELECT event_type, CAST(least(44, floor((value - lo) * 45 / (hi - lo))) AS INTEGER) AS bucket, count(*) AS n FROM events JOIN s USING (event_type) GROUP BY ALL""")
+def histogram(spark, sf_dir):
+    return series.histogram(events(spark, sf_dir), ["event_type"], "value", 45)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def distinct_keys(spark, sf_dir):
+    return events(spark, sf_dir).select("user_id", "event_type").distinct()
+
+
+# Scalar functions
+
+
+@query("""SELECT event_id, CAST(hour(ts + INTERVAL 8 HOUR) AS INTEGER) AS local_hour, CAST(dayofweek(ts + INTERVAL 8 HOUR) AS INTEGER) AS local_dow FROM events""")
+def local_hour_dow(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", scalar.local_hour(F.col("ts"), "Asia/Manila").alias("local_hour"), scalar.local_weekday(F.col("ts"), "Asia/Manila").alias("local_dow"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_path(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", scalar.first_text(F.col("props"), "$.missing", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT event_id, round_even(value * 100, 0) / 100 AS value FROM events")
+def round_half_even(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", scalar.round2(F.col("value")).alias("value"))
+
+
+@query("""SELECT s_suppkey, 'SRID=4326;POINT(' || CAST(CAST(s_suppkey % 360 AS BIGINT) - 180 AS VARCHAR) || '.5 ' || CAST(CAST(s_suppkey % 180 AS BIGINT) - 90 AS VARCHAR) || '.5)' AS geom,
+'grid:' || printf('%.4f', s_suppkey / 8.0) || '_' || printf('%.4f', s_suppkey / 16.0) AS grid_key FROM supplier WHERE s_suppkey % 360 >= 180 AND s_suppkey % 180 >= 90
+UNION ALL SELECT s_suppkey, NULL, 'grid:' || printf('%.4f', s_suppkey / 8.0) || '_' || printf('%.4f', s_suppkey / 16.0) FROM supplier WHERE NOT (s_suppkey % 360 >= 180 AND s_suppkey % 180 >= 90)""")
+def point_and_grid_keys(spark, sf_dir):
+    k = F.col("s_suppkey")
+    ok = (k % 360 >= 180) & (k % 180 >= 90)
+    lon, lat = F.when(ok, k % 360 - 180 + 0.5), F.when(ok, k % 180 - 90 + 0.5)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.ewkt_point(lon, lat).alias("geom"), scalar.grid_key("grid", k / 8, k / 16).alias("grid_key"))
+
+
+@query("SELECT DISTINCT date_trunc('day', o_orderdate) AS day, strftime(o_orderdate, '%Y/%j') AS path, strftime(o_orderdate, '%Y%m%d') AS stamp, month(o_orderdate) IN (1, 5, 9) AND day(o_orderdate) = 1 AS due FROM orders")
+def date_paths(spark, sf_dir):
+    d = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(F.date_trunc("day", d).cast("timestamp_ntz").alias("day"), scalar.day_path(d).alias("path"), F.date_format(d, "yyyyMMdd").alias("stamp"), scalar.composite_due(d).alias("due")).distinct()
+
+
+@query("""SELECT event_id, ts AS scan_start, ts + INTERVAL 5 MINUTE AS scan_end FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, ts - INTERVAL 30 MINUTE, ts + INTERVAL 30 MINUTE FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) WHERE event_id % 2 = 1""")
+def granule_times(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts"))
+    stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat_ws("_", F.lit("S5P_L2"), stamp(F.col("ts")), stamp(F.col("ts") + F.expr("INTERVAL 5 MINUTES")), F.lit("V1"))).otherwise("S5P_L2_V1")
+    found = rows.select("event_id", scalar.scan_start_end(name, F.col("ts")).alias("s"))
+    return naive(found.select("event_id", F.col("s.start").alias("scan_start"), F.col("s.end").alias("scan_end")), "scan_start", "scan_end")
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name || ' (\\u00b5g/m\\u00b3) #' || p_brand), '[^\\p{L}\\p{N}]', '', 'g') AS header FROM part".replace("\\u00b5", "µ").replace("\\u00b3", "³"))
+def normalized_header(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.normalized_header(F.concat("p_name", F.lit(" (µg/m³) #"), "p_brand")).alias("header"))
+
+
+# Incremental loading
+
+
+@query("SELECT user_id, max(ts) AS watermark FROM events GROUP BY user_id")
+def watermarks(spark, sf_dir):
+    return naive(incremental.watermarks(events(spark, sf_dir), ["user_id"], "ts"), "watermark")
+
+
+@query("""WITH m AS (SELECT user_id, max(ts) AS watermark FROM events WHERE event_id % 97 <> 0 GROUP BY user_id HAVING count(*) % 2 = 0),
+j AS (SELECT user_id, coalesce(watermark, TIMESTAMP '2023-01-15') AS "start", TIMESTAMP '2024-01-31' AS "end", CASE WHEN watermark IS NULL THEN 0 ELSE 1 END AS priority FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN m USING (user_id))
+SELECT * FROM j WHERE "start" < "end" """)
+def pending_jobs(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    marks = rows.where("event_id % 97 <> 0").groupBy("user_id").agg(F.max("ts").alias("watermark"), F.count("*").alias("n")).where("n % 2 = 0").drop("n")
+    jobs = incremental.pending(rows.select("user_id").distinct(), marks, ["user_id"], ts("2023-01-15"), ts("2024-01-31"))
+    return naive(jobs.drop("watermark"), "start", "end")
+
+
+@query("""WITH j AS (SELECT user_id, min(ts) - INTERVAL 500 DAY AS s, max(ts) AS e FROM events GROUP BY user_id),
+c AS (SELECT user_id, e, unnest(generate_series(s, e, INTERVAL 365 DAY)) AS chunk_start FROM j WHERE s < e)
+SELECT user_id, chunk_start, least(chunk_start + INTERVAL 365 DAY, e) AS chunk_end FROM c WHERE chunk_start < e""")
+def chunked_ranges(spark, sf_dir):
+    jobs = events(spark, sf_dir).groupBy("user_id").agg((F.min("ts") - F.expr("INTERVAL 500 DAYS")).alias("start"), F.max("ts").alias("end"))
+    return naive(incremental.chunks(jobs, 365).select("user_id", "chunk_start", "chunk_end"), "chunk_start", "chunk_end")
+
+
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def unprocessed(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+    return incremental.unprocessed(rows, rows.where("event_type = 'click'"), "event_id").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def look_back(spark, sf_dir):
+    return incremental.look_back(events(spark, sf_dir), "ts", ts("2024-01-20"), 7).select("event_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery')")
+def provider_filter(spark, sf_dir):
+    return incremental.from_providers(table(spark, sf_dir, "customer"), F.col("c_mktsegment"), ["Building", "MACHINERY"]).select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE (s_suppkey * 7919) % 40000 BETWEEN 5000 AND 30000 AND (s_suppkey * 104729) % 40000 BETWEEN 1000 AND 25000")
+def box_filter(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return incremental.in_box(table(spark, sf_dir, "supplier"), (k * 7919) % 40000, (k * 104729) % 40000, (5000, 1000, 30000, 25000)).select("s_suppkey")
+
+
+@query("""SELECT c_custkey FROM customer WHERE CASE WHEN coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, '') <> '' THEN lower(c_mktsegment) IN ('building') ELSE contains(lower(c_name), '7') END""")
+def place_filter(spark, sf_dir):
+    return incremental.in_places(table(spark, sf_dir, "customer"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")), F.col("c_name"), ["Building"], ["7"]).select("c_custkey")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 1")
+def node_share(spark, sf_dir):
+    return incremental.node_share(events(spark, sf_dir), "event_id", 4, 1).select("event_id")
+
+
+# Upserts
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('day', ts) AS day, event_id % 2 AS half, avg(CASE WHEN event_type = 'click' THEN value END) AS click, avg(CASE WHEN event_type = 'view' THEN value END) AS "view" FROM events GROUP BY ALL)
+SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.day, n.day) AS day, coalesce(n.click, o.click) AS click, coalesce(n."view", o."view") AS "view"
+FROM (SELECT * FROM h WHERE half = 0) o FULL JOIN (SELECT * FROM h WHERE half = 1) n ON o.user_id = n.user_id AND o.day = n.day""")
+def upsert_coalesce(spark, sf_dir):
+    return _upserted(spark, sf_dir, "coalesce")
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('day', ts) AS day, event_id % 2 AS half, avg(CASE WHEN event_type = 'click' THEN value END) AS click, avg(CASE WHEN event_type = 'view' THEN value END) AS "view" FROM events GROUP BY ALL)
+SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.day, n.day) AS day, CASE WHEN n.user_id IS NOT NULL THEN n.click ELSE o.click END AS click, CASE WHEN n.user_id IS NOT NULL THEN n."view" ELSE o."view" END AS "view"
+FROM (SELECT * FROM h WHERE half = 0) o FULL JOIN (SELECT * FROM h WHERE half = 1) n ON o.user_id = n.user_id AND o.day = n.day""")
+def upsert_overwrite(spark, sf_dir):
+    return _upserted(spark, sf_dir, "overwrite")
+
+
+def _upserted(spark, sf_dir, mode):
+    rows = events(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    half = lambda k: series.pivot_mean(rows.where(F.col("event_id") % 2 == k), ["user_id", "day"], "event_type", "value", ["click", "view"])
+    return naive(merge.upsert(half(0), half(1), ["user_id", "day"], mode), "day")
+
+
+# Views
+
+
+@query("""SELECT s_suppkey, s_acctbal, coalesce(CASE n_name WHEN 'CHINA' THEN 'Beijing' WHEN 'JAPAN' THEN 'Tokyo' END, n_name, 'unknown') AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def city_with_default(spark, sf_dir):
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.select("s_suppkey", "s_acctbal", scalar.by_country(F.col("n_name"), {"CHINA": "Beijing", "JAPAN": "Tokyo"}, F.coalesce("n_name", F.lit("unknown"))).alias("city"))
+
+
+_COUNTRY = "CASE user_id % 4 WHEN 0 THEN 'PH' WHEN 1 THEN 'SG' WHEN 2 THEN 'TH' ELSE 'XX' END"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT user_id, {_COUNTRY} AS c FROM events)
+SELECT event_id, value, CASE c WHEN 'PH' THEN 'Metro Manila' WHEN 'SG' THEN 'Singapore' WHEN 'TH' THEN 'Bangkok' END AS city,
+CAST(CASE WHEN c IN ('PH', 'SG') THEN hour(ts + INTERVAL 8 HOUR) WHEN c = 'TH' THEN hour(ts + INTERVAL 7 HOUR) END AS INTEGER) AS local_hour,
+CAST(CASE WHEN c IN ('PH', 'SG') THEN dayofweek(ts + INTERVAL 8 HOUR) WHEN c = 'TH' THEN dayofweek(ts + INTERVAL 7 HOUR) END AS INTEGER) AS local_dow
+FROM events JOIN l USING (user_id)""")
+def training_clean(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumnRenamed("user_id", "location_key")
+    return views.training_clean(rows, _locations(rows), "ts").select("event_id", "value", "city", "local_hour", "local_dow")
+
+
+def _locations(rows):
+    codes = F.array(*(F.lit(c) for c in ("PH", "SG", "TH", "XX")))
+    return rows.select("location_key").distinct().withColumn("country_iso", F.get(codes, (F.col("location_key") % 4).cast("int"))).withColumn("locality", F.lit(None).cast("string"))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT user_id, {_COUNTRY} AS c FROM events)
+SELECT event_id, value, CASE c WHEN 'PH' THEN 'Metro Manila' WHEN 'SG' THEN 'Singapore' WHEN 'TH' THEN 'Bangkok' ELSE c END AS city FROM events JOIN l USING (user_id)""")
+def training_hourly(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumnRenamed("user_id", "location_key")
+    return views.training_hourly(rows, _locations(rows)).select("event_id", "value", "city")
+
+
+# Splits
+
+
+@query("""SELECT event_id, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)""")
+def chronological_split(spark, sf_dir):
+    return splits.chronological(events(spark, sf_dir), "ts", "event_id").select("event_id", "split")
+
+
+@query("""WITH r AS (SELECT user_id, row_number() OVER (ORDER BY md5(CAST(user_id AS VARCHAR)), user_id) AS r FROM (SELECT DISTINCT user_id FROM events))
+SELECT event_id, CASE WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'validation' ELSE 'train' END AS split FROM events JOIN r USING (user_id)""")
+def leave_stations_out(spark, sf_dir):
+    return splits.leave_stations_out(events(spark, sf_dir), "user_id").select("event_id", "split")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, user_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, CASE WHEN event_type <> 'click' THEN 'base' WHEN user_id % 10 = 0 THEN 'test_stations' WHEN pos < floor(n * 0.4::DOUBLE) THEN 'fine_tune' WHEN pos < floor(n * 0.6::DOUBLE) THEN 'validation' ELSE 'test_later' END AS split FROM e""")
+def transfer_split(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return splits.transfer(rows, "event_type", "user_id", "ts", "click", rows.where("user_id % 10 = 0")).select("event_id", "split")
+
+
+# Space
+
+
+def _stations(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("station"), ((k * 7919) % 40000).cast("double").alias("px"), ((k * 104729) % 40000).cast("double").alias("py"), F.col("s_acctbal").alias("value"), "s_nationkey")
+
+
+def _cells(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", ((k * 7907) % 40000).cast("double").alias("x"), ((k * 15485863) % 40000).cast("double").alias("y"))
+
+
+_SPACE = """
+WITH s AS (SELECT s_suppkey AS station, CAST((s_suppkey * 7919) % 40000 AS DOUBLE) AS px, CAST((s_suppkey * 104729) % 40000 AS DOUBLE) AS py, s_acctbal AS value, s_nationkey FROM supplier),
+c AS (SELECT p_partkey, CAST((p_partkey * 7907) % 40000 AS DOUBLE) AS x, CAST((p_partkey * 15485863) % 40000 AS DOUBLE) AS y FROM part)
+"""
+
+
+@query(_SPACE + ", d AS (SELECT p_partkey, station, value, (x - px) * (x - px) + (y - py) * (y - py) AS d2 FROM c, s) SELECT p_partkey, station, d2 FROM d WHERE d2 < 2500.0 * 2500.0")
+def radius_join(spark, sf_dir):
+    return spatial.radius_join(_cells(spark, sf_dir), _stations(spark, sf_dir), 2500.0).select("p_partkey", "station", "d2")
+
+
+@query(_SPACE + """, d AS (SELECT p_partkey, station, value, (x - px) * (x - px) + (y - py) * (y - py) AS d2 FROM c, s)
+SELECT p_partkey, coalesce(arg_min(value, station) FILTER (WHERE d2 = 0), sum(CASE WHEN d2 > 0 THEN value / d2 END) / sum(CASE WHEN d2 > 0 THEN 1 / d2 END)) AS estimate FROM d WHERE d2 < 10000.0 * 10000.0 GROUP BY p_partkey""")
+def idw_surface(spark, sf_dir):
+    stations = _stations(spark, sf_dir)
+    readings = stations.select(F.lit(0).alias("hour"), "station", "value")
+    return spatial.idw_surface(readings, stations.select("station", "px", "py"), _cells(spark, sf_dir), ["p_partkey"], ["hour"]).drop("hour")
+
+
+@query(_SPACE + """, b AS (SELECT s_nationkey FROM s GROUP BY s_nationkey HAVING count(*) >= 3),
+p AS (SELECT a.s_nationkey, a.station, a.value AS o, sum(z.value / ((a.px - z.px) * (a.px - z.px) + (a.py - z.py) * (a.py - z.py))) / sum(1 / ((a.px - z.px) * (a.px - z.px) + (a.py - z.py) * (a.py - z.py))) AS p
+  FROM s a JOIN b USING (s_nationkey) JOIN s z ON a.s_nationkey = z.s_nationkey AND a.station <> z.station GROUP BY ALL)
+SELECT s_nationkey, count(*) AS n, avg(abs(p - o)) AS mae, sqrt(avg((p - o) * (p - o))) AS rmse, avg(p - o) AS bias, 1 - sum((o - p) * (o - p)) / (var_pop(o) * count(*)) AS r2 FROM p GROUP BY s_nationkey""")
+def leave_one_out_errors(spark, sf_dir):
+    rows = spatial.leave_one_out(_stations(spark, sf_dir), ["s_nationkey"], "station", "px", "py", "value")
+    return spatial.error_metrics(rows, ["s_nationkey"])
+
+
+@query("SELECT CAST(round(14.25 + 0.125 + r * 0.25, 4) AS DOUBLE) AS latitude, CAST(round(120.75 + 0.125 + c * 0.25, 4) AS DOUBLE) AS longitude FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 3)) AS c)")
+def grid_centres(spark, sf_dir):
+    return spatial.grid_centres(spark, (120.75, 14.25, 121.5, 15.25))
+
+
+@query(_SPACE + """, g AS (SELECT CAST(range AS INTEGER) AS "row" FROM range(0, 4))
+SELECT "row", CAST(c2.range AS INTEGER) AS "col", 100.0::DOUBLE + (c2.range + 0.5) * 100 AS x, 900.0::DOUBLE - ("row" + 0.5) * 100 AS y FROM g, range(0, 5) c2""")
+def metric_grid(spark, sf_dir):
+    return spatial.metric_grid(spark, (120.0, 510.0), (590.0, 890.0))
+
+
+# Pixels
+
+
+@query("SELECT event_id, event_id <> 65535 AND (event_id & 3) <= 1 AND (event_id & 4) = 0 AS ok FROM events")
+def qa_mask(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", raster.qa_ok(F.col("event_id")).alias("ok"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id * 0.001::DOUBLE AS FLOAT) END AS value FROM events")
+def scaled_pixels(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 7 == 0, -28672).otherwise(F.col("event_id"))
+    return events(spark, sf_dir).select("event_id", raster.scaled(raw).alias("value"))
+
+
+@query("""WITH v AS (SELECT l_suppkey, median((l_extendedprice - l_quantity) / (l_extendedprice + l_quantity)) AS m FROM lineitem
+WHERE l_linenumber NOT IN (3, 8, 9, 10, 11) AND l_discount <> 0 AND l_extendedprice + l_quantity <> 0 GROUP BY l_suppkey)
+SELECT s_suppkey AS l_suppkey, coalesce(m, 0.0) AS ndvi, CAST(m IS NOT NULL AS INTEGER) AS mask FROM supplier LEFT JOIN v ON s_suppkey = l_suppkey""")
+def ndvi_composite(spark, sf_dir):
+    pixels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    return raster.ndvi_composite(table(spark, sf_dir, "lineitem"), pixels, "l_suppkey", "l_quantity", "l_extendedprice", "l_linenumber", "l_discount")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE value END AS value FROM events")
+def masked_value(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", raster.masked_value(F.col("value"), F.col("event_id") % 5).alias("value"))
+
+
+def _pixels(spark, sf_dir):
+    """Rasters of 10 columns per event type, valid where the value is under 30."""
+    k = F.col("event_id")
+    return events(spark, sf_dir).where(k < 400).select((k % 4).cast("string").alias("raster_id"), F.floor(k / 40).cast("int").alias("row"), F.floor(k / 4 % 10).cast("int").alias("col"), F.when(F.col("value") < 30, F.col("value")).alias("v"))
+
+
+_PIXELS = """WITH p AS (SELECT CAST(event_id % 4 AS VARCHAR) AS raster_id, CAST(event_id // 40 AS INTEGER) AS "row", CAST(event_id // 4 % 10 AS INTEGER) AS "col", CASE WHEN value < 30 THEN value END AS v FROM events WHERE event_id < 400),
+x AS (SELECT raster_id, min("row") AS r0, max("row") AS r1, min("col") AS c0, max("col") AS c1 FROM p WHERE v IS NOT NULL GROUP BY raster_id)
+"""
+
+
+def _meta(pixels):
+    return pixels.select("raster_id").distinct().select("raster_id", F.lit(10.0).alias("a"), F.lit(0.0).alias("b"), F.lit(500.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-10.0).alias("e"), F.lit(900.0).alias("f"), F.lit(10).alias("width"), F.lit(10).alias("height"))
+
+
+@query(_PIXELS + """SELECT raster_id, "row" - r0 AS "row", "col" - c0 AS "col", v FROM p JOIN x USING (raster_id) WHERE "row" BETWEEN r0 AND r1 AND "col" BETWEEN c0 AND c1""")
+def trimmed_pixels(spark, sf_dir):
+    pixels = _pixels(spark, sf_dir)
+    return raster.trimmed(pixels, _meta(pixels), ["v"])[0]
+
+
+@query(_PIXELS + """SELECT raster_id, 10.0::DOUBLE AS a, 0.0::DOUBLE AS b, 500.0 + c0 * 10.0::DOUBLE AS c, 0.0::DOUBLE AS d, -10.0::DOUBLE AS e, 900.0 - r0 * 10.0::DOUBLE AS f, c1 - c0 + 1 AS width, r1 - r0 + 1 AS height FROM x""")
+def trimmed_origins(spark, sf_dir):
+    pixels = _pixels(spark, sf_dir)
+    return raster.trimmed(pixels, _meta(pixels), ["v"])[1]
+
+
+@query(_PIXELS + """, f AS (SELECT "row", "col" FROM p WHERE raster_id = '0'), k AS (SELECT "row" AS kr, "col" AS kc, v FROM p WHERE raster_id = '1')
+SELECT "row", "col", v FROM f LEFT JOIN k ON kr = CAST(floor((("row" + 0.5) * -10.0 + 40) / -40.0) AS INTEGER) AND kc = CAST(floor((("col" + 0.5) * 10.0 - 30) / 40.0) AS INTEGER)""")
+def aligned_rasters(spark, sf_dir):
+    pixels = _pixels(spark, sf_dir)
+    fine, coarse = pixels.where("raster_id = '0'").select("row", "col"), pixels.where("raster_id = '1'").select("row", "col", "v")
+    return raster.aligned(fine, coarse, {"a": 10.0, "c": 500.0, "e": -10.0, "f": 900.0}, {"a": 40.0, "c": 530.0, "e": -40.0, "f": 860.0}, "v")
+
+
+# Models: no SQL, tested by their properties
+
+
+@query()
+def kriged_surface(spark, sf_dir):
+    readings = _stations(spark, sf_dir).where("s_nationkey < 5")
+    return models.kriged_surface(readings, _cells(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
+
+
+@query()
+def forest_downscaled(spark, sf_dir):
+    k = F.col("p_partkey")
+    fine = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 != 0, F.col("p_retailprice")).alias("covariate"))
+    train = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("covariate"), F.when(k % 3 == 0, F.col("p_size").cast("double")).alias("target"))
+    return models.forest_downscaled(train, fine, ["covariate"], "target", trees=20, depth=6)
