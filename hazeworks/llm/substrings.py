@@ -8,7 +8,7 @@ anchors, some 3 % of all positions:
    bucket sorts its suffixes by fingerprint of the leading k-gram. Anchors whose k-gram stands alone are dropped: no window
    around them can repeat.
 2. Around the others, the windows' bytes go to the bucket of their anchor's leading bytes. Buckets sort all windows and compare
-   neighbours byte by byte; all but the first of equal windows are flagged. Every key lies in one bucket, so there is nothing
+   equal ones byte by byte; all but the first of equal windows are flagged. Every key lies in one bucket, so there is nothing
    to compare across boundaries but what step 3 sends elsewhere.
 3. Skew: tasks combine first. Of windows that are equal within a task's slice all but the first are flagged at once and only
    the first travels, so a passage costs a bucket at most one entry per slice. Anchors with over 1/10,000 of all shared
@@ -42,6 +42,8 @@ WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Bytes of a slice that is processed at once, and of a piece of a long text.
 SLICE, PIECE = 2 << 20, 1 << 20
+#: Bytes of windows that a bucket's task sorts at once.
+SHARE = 1 << 20
 #: Documents sampled for the splitters.
 SAMPLE_DOCS = 500
 #: An anchor's k-gram is heavy from this many occurrences and from this share of all shared anchors.
@@ -295,10 +297,11 @@ def _window_task(splitters: np.ndarray, keys: list[int], heavy: np.ndarray) -> C
                 # Windows of one anchor follow each other (its piece may repeat it); a gap that the local comparison left is filled.
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
                 last = np.concatenate([new[1:], [True]])
-                low, high, doc, place = start[new], start[last] + WINDOW, doc[new], place[new]
-                for b, e in _by_bucket(np.searchsorted(splitters, _leading(part.data, anchor[new]), "right")):
+                low, high, doc, place, anchor = start[new], start[last] + WINDOW, doc[new], place[new], anchor[new]
+                ahead = (anchor - low).astype(np.uint8)
+                for b, e in _by_bucket(np.searchsorted(splitters, _leading(part.data, anchor), "right")):
                     text = b"".join(part.data[low[i] : high[i]].tobytes() for i in e)
-                    rows.append((keys[b], NEAR, len(e), _packed(doc[e], place[e], (high - low)[e]), text))
+                    rows.append((keys[b], NEAR, len(e), _packed(doc[e], place[e], (high - low)[e], ahead[e]), text))
             yield _blocks(rows)
 
     return run
@@ -313,8 +316,8 @@ def _run_batches(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in runs[i : i + 100_000].T], schema=_RUN)
 
 
-def _later(print_: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of windows ordered by (doc, place), which have an equal one that starts earlier. Returns a mask and each one's first."""
+def _first(print_: np.ndarray) -> np.ndarray:
+    """For each of some windows in order of (doc, place), the number of the first equal one."""
     order = np.argsort(print_, kind="stable")
     sorted_ = print_[order]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
@@ -323,7 +326,31 @@ def _later(print_: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray
     return first
 
 
+def _near_runs(data: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Flagged runs of stretches of bytes ``data``, laid end to end, each in ``doc`` at ``place``."""
+    begin = np.cumsum(size) - size
+    order = np.lexsort((place, doc))
+    doc, place, begin, windows = doc[order], place[order], begin[order], size[order] - WINDOW + 1
+    each = np.repeat(np.arange(len(begin)), windows)
+    offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start, doc, place = begin[each] + offset, doc[each], place[each] + offset
+    prints = Fingerprints()
+    first = _first(prints.at(prints.sums(data), start, WINDOW))
+    flagged = np.flatnonzero((doc > doc[first]) | (place > place[first]))
+    # Equal fingerprints are confirmed byte by byte, in words of eight.
+    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        if (_leading(data, start[flagged] + i) != _leading(data, start[first[flagged]] + i)).any():
+            raise ValueError("two different windows have one fingerprint")
+    return _runs(doc[flagged], place[flagged])
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all bytes of the stretches, one stretch after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def _flag_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's buckets, the windows with an earlier equal one. Works on a share of the anchors at a time."""
     near, spread, text = [], [], []
     for batch in batches:
         for kind, n, body, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
@@ -332,35 +359,32 @@ def _flag_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif kind == SPREAD:
                 spread.append(_unpacked(body.as_buffer(), n, np.uint64, np.int64, np.int64))
             else:
-                near.append(_unpacked(body.as_buffer(), n, np.int64, np.int64, np.int64))
+                near.append(_unpacked(body.as_buffer(), n, np.int64, np.int64, np.int64, np.uint8))
                 text.append(raw.as_buffer().to_pybytes())
     if spread:
         print_, doc, place = (np.concatenate(c) for c in zip(*spread))
-        order = np.lexsort((place, doc))
-        print_, doc, place = print_[order], doc[order], place[order]
-        first = _later(print_, doc, place)
-        flagged = (doc > doc[first]) | (place > place[first])
-        yield from _run_batches(_runs(doc[flagged], place[flagged]))
-    if not near:
-        return
-    prints = Fingerprints()
-    doc, place, size = (np.concatenate(c) for c in zip(*near))
-    data = np.frombuffer(b"".join(text), np.uint8)
-    del near, text
-    begin = np.cumsum(size) - size
-    order = np.lexsort((place, doc))
-    doc, place, size, begin = doc[order], place[order], size[order], begin[order]
-    windows = size - WINDOW + 1
-    each = np.repeat(np.arange(len(size)), windows)
-    offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start, doc, place = begin[each] + offset, doc[each], place[each] + offset
-    first = _later(prints.at(prints.sums(data), start, WINDOW), doc, place)
-    flagged = np.flatnonzero((doc > doc[first]) | (place > place[first]))
-    # Neighbours in fingerprint order are compared byte by byte, in words of eight.
-    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
-        if (_leading(data, start[flagged] + i) != _leading(data, start[first[flagged]] + i)).any():
-            raise ValueError("two different windows have one fingerprint")
-    yield from _run_batches(_runs(doc[flagged], place[flagged]))
+        for of in _shares(print_, len(print_) * 100):
+            of = of[np.lexsort((place[of], doc[of]))]
+            first = of[_first(print_[of])]
+            flagged = of[(doc[of] > doc[first]) | (place[of] > place[first])]
+            yield from _run_batches(_runs(doc[flagged], place[flagged]))
+    del spread
+    if near:
+        doc, place, size, ahead = (np.concatenate(c) for c in zip(*near))
+        data = np.frombuffer(b"".join(text), np.uint8)
+        del near, text
+        begin = np.cumsum(size) - size
+        # Equal windows have equal anchors, so shares by the anchor's leading bytes keep them together.
+        for of in _shares(_mixed(_leading(data, begin + ahead)), len(data)):
+            yield from _run_batches(_near_runs(data[_spans(begin[of], size[of])], doc[of], place[of], size[of]))
+
+
+def _shares(key: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Row numbers in shares of about SHARE bytes, rows of equal key together."""
+    shares = max(1, size // SHARE)
+    share = (key % np.uint64(shares)).astype(np.int64)
+    for _, of in _by_bucket(share):
+        yield of
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

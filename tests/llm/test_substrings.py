@@ -58,9 +58,23 @@ def test_planted_passages(spark):
 def test_heavy_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HEAVY_LEAST", 3)
     monkeypatch.setattr(substrings, "HEAVY_SHARE", 30)
+    monkeypatch.setattr(substrings, "SHARE", 300)
     test_planted_passages(spark)
 
 
+def test_shares():
+    """Windows sorted in shares give the same runs as at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 99, 130, np.uint8)) for _ in range(20)]
+    picked = [texts[i] for i in rng.integers(0, 20, 60)]
+    data, size = np.frombuffer(b"".join(picked), np.uint8), np.full(60, 130)
+    runs = substrings._near_runs(data, np.arange(60), np.zeros(60, np.int64), size)
+    seen = {}
+    assert [tuple(r) for r in runs] == [(i, 0, 130) for i, t in enumerate(picked) if seen.setdefault(t, i) != i]
+
+
 def test_pieces(monkeypatch):
     """Cutting a text into small pieces gives the same windows and anchors as the whole text."""
     rng = random.Random(2)
