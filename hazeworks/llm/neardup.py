@@ -7,8 +7,10 @@
    member that shares most buckets; the bitmaps' XOR population count estimates the similarity, and pairs far below the threshold go no further.
 3. The others are confirmed on their full shingle sets, which are made for documents in shared buckets alone.
 4. Components of these links leave stragglers: members of a bucket outside its leader's component. They, and only they, are
-   compared with all members of other components in their bucket. After that, every pair of every bucket is compared or
-   already connected, and a group of copies has cost links in proportion to its size.
+   compared with all members of other components in their bucket. Of two sets of sizes n and m, of which at most c shingles
+   each occur anywhere else among these documents, no more than c are shared, so pairs (and stragglers, against the smallest
+   set of their bucket) for which ``c / (n + m - c)`` is below the threshold are ruled out without being looked at. After
+   that, every pair of every bucket is compared, ruled out or already connected.
 
 With 40 bands of 5, a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7; the estimate drops such a
 pair with about the same probability. Links are confirmed exactly, up to 64-bit hash collisions of shingles.
@@ -150,6 +152,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.where(100 * shared >= s.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _common_counts(sets: DataFrame) -> DataFrame:
+    """doc_id, n (size of its set) and common: how many of its shingles another of these documents has as well.
+
+    A shingle that occurs once names its owner, so nothing is joined back and frequent shingles only meet in a count.
+    """
+    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    own = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    n = F.size("shingles").cast("long")
+    return sets.join(own, "doc_id", "left").select("doc_id", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id) of every row."""
     s = settings
@@ -188,11 +201,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
         .select("band", "rep", "leader", F.coalesce("own", "rep").alias("own"), F.coalesce("led", "leader").alias("led"))
     )
     outside = labelled.where("own != led")
-    mixed = labelled.join(outside.select("band").distinct(), "band", "left_semi").join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
-    mixed = materialize(mixed, "mixed")
-    u, v = mixed.where("own != led").alias("u"), mixed.where("rep != leader").alias("v")
+    mixed = labelled.join(outside.select("band").distinct(), "band", "left_semi")
+    members = mixed.select("rep").distinct()
+    common = _common_counts(sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
+    mixed = materialize(mixed.join(common.join(sketches, "doc_id").withColumnRenamed("doc_id", "rep"), "rep"), "mixed")
+    smallest = mixed.groupBy("band").agg(F.min("n").alias("least"))
+    possible = lambda c, n, m: 100 * c >= s.threshold * (n + m - c)
+    u = mixed.where("own != led").join(smallest, "band").where(possible(F.col("common"), F.col("n"), F.col("least"))).alias("u")
+    v = mixed.where("rep != leader").alias("v")
     apart = (F.col("u.own") != F.col("v.own")) & ((F.col("v.own") == F.col("v.led")) | (F.col("u.rep") < F.col("v.rep")))
-    close = flipped(F.col("u.sketch"), F.col("v.sketch"), s) <= s.most_flipped()
+    close = possible(F.least("u.common", "v.common"), F.col("u.n"), F.col("v.n")) & (flipped(F.col("u.sketch"), F.col("v.sketch"), s) <= s.most_flipped())
     more = u.join(v, (F.col("u.band") == F.col("v.band")) & apart & close).select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).distinct()
     more = materialize(_confirm(more, sets, s), "links")
     if not more.isEmpty():
