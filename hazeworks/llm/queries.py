@@ -26,7 +26,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate_documents(_documents(spark, sf_dir))
-    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_search": OP6_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_quality": OP5_SQL, "op6_search": OP6_SQL, "op10_licenses": _op10_sql()}
 
 
 OP4_SQL = """
@@ -127,3 +127,51 @@ SELECT query_id, CAST(rank AS INTEGER) AS "rank", hit_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS rank FROM scored)
 WHERE rank <= 10
 """
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM windows) WHERE k > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (
+  base_failed OR n_symbols * 10 > n_words OR (n_dup_lines > 3 AND n_dup_lines * 10 > len(string_split(t, chr(10))) * 3) OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+  OR n_repeat_words * 10 > n_words * 4 OR length(regexp_replace(t, '[^!]', '', 'g')) * 5 > n_words
+  OR length(regexp_replace(t, '[^A-Z]', '', 'g')) * 2 > word_chars OR length(regexp_replace(t, '[^0-9]', '', 'g')) * 5 > word_chars * 2) AS kept
+FROM f
+"""
+
+
+def _op10_sql() -> str:
+    """Without the operator's bounds: every segment against every template."""
+    templates = ", ".join(f"('{n}', {sorted(licenses.bigrams(body))!r})" for n, body in licenses.TEMPLATES.items())
+    return r"""
+WITH templates(name, b) AS (VALUES TEMPLATES), segments AS (
+  SELECT doc_id, 1 AS part, 'line' AS kind, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
+  UNION ALL SELECT doc_id, 2, 'paragraph', unnest(p), generate_subscripts(p, 1) - 1 FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09\r]*\n') AS p FROM documents)
+  UNION ALL SELECT doc_id, 3, 'text', coalesce(text, ''), 0 FROM documents
+), own AS (
+  SELECT doc_id, part, kind, i, list_distinct(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS b
+  FROM (SELECT *, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM segments)
+), rated AS (
+  SELECT o.doc_id, o.part, o.kind, o.i, t.name, len(list_intersect(o.b, t.b)) AS shared, len(o.b) + len(t.b) AS total FROM own o, templates t WHERE len(o.b) > 0
+), best AS (
+  SELECT *, round(2.0::DOUBLE * shared / total, 4) AS d, row_number() OVER (PARTITION BY doc_id, part, i ORDER BY 2.0::DOUBLE * shared / total DESC, name) AS n FROM rated WHERE 200 * shared >= 80 * total
+), found AS (
+  SELECT doc_id, arg_min(name, (-(2.0::DOUBLE * shared / total), name)) AS license, max(d) AS dice, count(*) AS n_matches, string_agg(kind || ':' || i || ':' || name || ':' || d, ',' ORDER BY part, i) AS matches
+  FROM best WHERE n = 1 GROUP BY doc_id
+)
+SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM documents d LEFT JOIN found USING (doc_id)
+""".replace("TEMPLATES", templates)
