@@ -89,3 +89,12 @@ def nulled_cells(raw: DataFrame, clean: DataFrame, keys: list[str], ts: str, col
 def nulled_totals(cells: DataFrame) -> DataFrame:
     """Totals per parameter, and over all of them (parameter null)."""
     return cells.rollup("parameter").agg(F.sum("nulled").alias("nulled"))
+
+
+def report(cells: DataFrame, keys: list[str], most: int = 1000) -> str:
+    """Text report of nulled cells per series and in total; series beyond ``most`` are counted in the totals only."""
+    shown = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("parameter", "nulled"))).alias("p")).orderBy(*keys).limit(most).collect()
+    lines = [f"{' '.join(str(r[k]) for k in keys)}: {', '.join(f'{x.parameter}={x.nulled}' for x in r.p)}" for r in shown]
+    totals = {r.parameter: r.nulled for r in nulled_totals(cells).collect()}
+    grand = totals.pop(None, 0) or 0
+    return "\n".join([*lines, f"total: {grand} cells", *(f"  {p}: {n}" for p, n in sorted(totals.items()))])

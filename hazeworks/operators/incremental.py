@@ -69,3 +69,18 @@ def known_parameters(df: DataFrame, parameter: Column, aliases: dict[str, str])
 def archive_or_forecast(df: DataFrame, day: str, today: Column) -> DataFrame:
     """Days up to today come from the archive, later ones from the forecast."""
     return df.withColumn("endpoint", F.when(F.col(day) <= today, "archive").otherwise("forecast"))
+
+
+def new_granules(listing: DataFrame, done: DataFrame, tag: str, since: Column, name: str = "granule", ts: str = "sensed_at") -> DataFrame:
+    """Catalogue entries whose name holds ``tag``, sensed since a time, that aren't in the state."""
+    return unprocessed(listing.where(F.col(name).contains(tag) & (F.col(ts) >= since)), done, name)
+
+
+def clear_enough(scenes: DataFrame, cover: str = "cloud_cover", most: float = 80.0) -> DataFrame:
+    """Scenes of at most ``most`` percent clouds; unknown cover leaves."""
+    return scenes.where(F.col(cover) <= most)
+
+
+def by_priority(jobs: DataFrame) -> DataFrame:
+    """Jobs of keys never loaded before first, oldest start first."""
+    return jobs.orderBy("priority", "start")

@@ -79,3 +79,13 @@ def valid_cells(df: DataFrame, value: str, nodata: float = NODATA) -> DataFrame:
 def exported(df: DataFrame, bands: list[str]) -> DataFrame:
     """Nulls as the nodata value, for writing rasters only."""
     return df.withColumns({b: F.coalesce(F.col(b), F.lit(NODATA)) for b in bands})
+
+
+def processed_granules(raw: DataFrame, meta: DataFrame, box: tuple[float, float, float, float], bands: list[str], qa: str = "qa", scale: float = 0.001, fill: int = -28672) -> tuple[DataFrame, DataFrame]:
+    """The whole chain for all granules at once: scale and fill, quality mask, clip to a box, trim. Granules without a valid pixel leave.
+
+    A row's quality and all its bands are in one row, so masking needs no join; the only shuffles are the joins with metadata
+    and extents, which have one row per granule.
+    """
+    good = masked(raw.withColumns({b: scaled(F.col(b), scale, fill) for b in bands}), qa, bands)
+    return trimmed(clipped(good, meta, box), meta, bands)

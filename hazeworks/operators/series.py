@@ -96,3 +96,14 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def with_unique_columns(df: DataFrame) -> DataFrame:
+    """The first column of each name; works on frames whose names repeat, which name-based access can't."""
+    first = [df.columns.index(c) for c in dict.fromkeys(df.columns)]
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(*(F.col(f"_{i}").alias(df.columns[i]) for i in first))
+
+
+def backfilled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with every column of name -> type, null where it was missing: the schema is constant."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})

@@ -270,3 +270,25 @@ def test_stream_of_new_files(spark, tmp_path):
     streaming.run_available(means, str(tmp_path / "check2"), lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/means/batch={n}")).awaitTermination()
     closed = spark.read.parquet(f"{tmp_path}/means").collect()
     assert closed and all(r.n == 3 for r in closed)
+
+
+def test_granule_chain_and_listings(spark):
+    raw = spark.createDataFrame([("r", 0, 0, 500, 0), ("r", 0, 1, -28672, 0), ("r", 0, 2, 700, 4), ("r", 0, 3, 900, 1), ("e", 0, 0, 500, 7)], "raster_id string, row int, col int, aod int, qa int")
+    meta = spark.createDataFrame([(i, 100.0, 0.0, 0.0, 0.0, -100.0, 0.0, 4, 1) for i in "re"], "raster_id string, a double, b double, c double, d double, e double, f double, width int, height int")
+    pixels, origin = raster.processed_granules(raw, meta, (-1.0, -1.0, 1.0, 1.0), ["aod"])
+    assert sorted((r.col, None if r.aod is None else round(r.aod, 3)) for r in pixels.collect()) == [(0, 0.5), (1, None), (2, None), (3, 0.9)]
+    assert [(r.raster_id, r.width) for r in origin.collect()] == [("r", 4)]
+    listing = spark.createDataFrame([("a_NO2_1", dt.datetime(2024, 1, 5), 10.0), ("a_NO2_0", dt.datetime(2023, 1, 5), 90.0), ("a_CO_1", dt.datetime(2024, 1, 5), None)], "granule string, sensed_at timestamp, cloud_cover double")
+    done = listing.where("false")
+    assert rows(incremental.new_granules(listing, done, "NO2", F.lit("2024-01-01").cast("timestamp")).select("granule")) == [("a_NO2_1",)]
+    assert incremental.clear_enough(listing).count() == 1
+    jobs = spark.createDataFrame([(1, 5), (0, 9), (0, 3)], "priority int, start int")
+    assert [tuple(r) for r in incremental.by_priority(jobs).collect()] == [(0, 3), (0, 9), (1, 5)]
+
+
+def test_reports_and_columns(spark):
+    cells = spark.createDataFrame([("a", "pm25", 2), ("a", "pm10", 1), ("b", "pm25", 4)], "k string, parameter string, nulled long")
+    assert cleaning.report(cells, ["k"]).split("\n") == ["a: pm10=1, pm25=2", "b: pm25=4", "total: 7 cells", "  pm10: 1", "  pm25: 6"]
+    double = spark.createDataFrame([(1, 2, 3)], "x int, y int, z int").toDF("x", "y", "x")
+    assert series.with_unique_columns(double).columns == ["x", "y"] and series.with_unique_columns(double).first().x == 1
+    assert series.backfilled(cells, {"pm1": "double", "k": "string"}).dtypes[-1] == ("pm1", "double")
