@@ -7,13 +7,13 @@
    member that shares most buckets; the bitmaps' XOR population count estimates the similarity, and pairs far below the threshold go no further.
 3. The others are confirmed on their full shingle sets, which are made for documents in shared buckets alone.
 4. Components of these links leave stragglers: members of a bucket outside its leader's component. They, and only they, are
-   compared with all members of other components in their bucket. Of two sets of sizes n and m, of which at most c shingles
+   compared with all members of other components in their bucket, by finer sketches of more samples. Of two sets of sizes n and m, of which at most c shingles
    each occur anywhere else among these documents, no more than c are shared, so pairs (and stragglers, against the smallest
    set of their bucket) for which ``c / (n + m - c)`` is below the threshold are ruled out without being looked at. After
    that, every pair of every bucket is compared, ruled out or already connected.
 
-With 40 bands of 5, a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7; the estimate drops such a
-pair with about the same probability. Links are confirmed exactly, up to 64-bit hash collisions of shingles.
+With 40 bands of 5, a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7; either estimate drops such a
+pair with about the same probability (its limit lies five deviations or more below 0.8). Links are confirmed exactly, up to 64-bit hash collisions of shingles.
 
 Nulls: null, empty and blank texts have an empty set and are linked with nothing; each is its own component. A null id takes
 part in no link. Rows of equal id count as one document: what links one links all. Very long texts are hashed in chunks.
@@ -39,7 +39,7 @@ from hazeworks.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold`` in percent; pairs whose estimated similarity is below ``floor`` are not confirmed."""
+    """``threshold`` in percent; pairs whose estimated similarity is below ``floor`` (stragglers: ``fine_floor``) are not confirmed."""
 
     width: int = 5
     threshold: int = 80
@@ -47,12 +47,15 @@ class Settings:
     rows: int = 5
     sketch_bits: int = 512
     floor: float = 0.6
+    fine_samples: int = 512
+    fine_bits: int = 1536
+    fine_floor: float = 0.7
     seed: int = 7
 
-    def most_flipped(self) -> int:
-        """Population count of the XOR of two sketches whose estimated similarity is ``floor``."""
-        samples = self.bands * self.rows
-        return math.ceil(self.sketch_bits / 2 * (1 - math.exp(-4 * samples * (1 - self.floor) / self.sketch_bits)))
+
+def most_flipped(samples: int, bits: int, floor: float) -> int:
+    """Population count of the XOR of two sketches whose estimated similarity is ``floor``."""
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - floor) / bits)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,17 +97,28 @@ def signature(shingles: np.ndarray, multipliers: np.ndarray, addends: np.ndarray
     return least
 
 
+def hash_family(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and addends of ``samples`` hash functions."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 32, samples, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, samples, np.uint32)
+
+
+def odd_sketches(signatures: np.ndarray, bits: int) -> np.ndarray:
+    """Per signature (row) the parity bitmap of its samples, as longs."""
+    places = _mixed(np.arange(1, signatures.shape[1] + 1, dtype=np.uint64))
+    at = (_mixed(signatures + places) % np.uint64(bits)).astype(np.int64) + np.arange(len(signatures))[:, None] * bits
+    odd = (np.bincount(at.ravel(), minlength=len(signatures) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 PROFILE = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch array<long>"
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def _profile_task(s: Settings) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(s.seed)
         samples = s.bands * s.rows
-        multipliers = rng.integers(0, 1 << 32, samples, np.uint32) | np.uint32(1)
-        addends = rng.integers(0, 1 << 32, samples, np.uint32)
-        places = _mixed(np.arange(1, samples + 1, dtype=np.uint64))
+        multipliers, addends = hash_family(samples, s.seed)
         for part in slices(batches, "text", 2 << 20):
             digests, counts, signatures = [], [], []
             for w, shingles in shingle_sets(part.column(1), s.width):
@@ -117,9 +131,7 @@ def _profile_task(s: Settings) -> Callable:
             bands = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), (len(sig), s.bands)).copy()
             for r in range(s.rows):
                 bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r :: s.rows])
-            bits = (_mixed(sig + places) % np.uint64(s.sketch_bits)).astype(np.int64) + np.arange(len(sig))[:, None] * s.sketch_bits
-            odd = (np.bincount(bits.ravel(), minlength=len(sig) * s.sketch_bits) & 1).astype(np.uint8)
-            sketch = np.packbits(odd).view(np.int64)
+            sketch = odd_sketches(sig, s.sketch_bits)
             ends = np.concatenate([[0], np.cumsum(full)])
             lists = lambda values, each: pa.ListArray.from_arrays(pa.array(ends * each, pa.int32()), pa.array(values.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), lists(bands, s.bands), lists(sketch, s.sketch_bits // 64)], schema=_PROFILE)
@@ -138,9 +150,24 @@ def _sets_task(width: int) -> Callable:
     return run
 
 
-def flipped(a: Column, b: Column, s: Settings) -> Column:
+def _fine_task(s: Settings) -> Callable:
+    """Finer odd sketches of shingle sets."""
+    schema = pa.schema([("rep", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = hash_family(s.fine_samples, s.seed + 1)
+        for batch in batches:
+            signatures = [signature(x.values.to_numpy().view(np.uint64), *family) for x in batch.column(1)]
+            sketches = odd_sketches(np.asarray(signatures, np.uint64).reshape(-1, s.fine_samples), s.fine_bits)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (s.fine_bits // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(sketches))], schema=schema)
+
+    return run
+
+
+def flipped(a: Column, b: Column, bits: int) -> Column:
     """Population count of the XOR of two sketches."""
-    words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(s.sketch_bits // 64)]
+    words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)]
     return sum(words[1:], words[0])
 
 
@@ -185,7 +212,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     near = (
         stars.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
         .join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), "a")
-        .where(flipped(F.col("ka"), F.col("kb"), s) <= s.most_flipped())
+        .where(flipped(F.col("ka"), F.col("kb"), s.sketch_bits) <= most_flipped(s.bands * s.rows, s.sketch_bits, s.floor))
         .select("a", "b")
     )
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
@@ -203,14 +230,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     outside = labelled.where("own != led")
     mixed = labelled.join(outside.select("band").distinct(), "band", "left_semi")
     members = mixed.select("rep").distinct()
-    common = _common_counts(sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
-    mixed = materialize(mixed.join(common.join(sketches, "doc_id").withColumnRenamed("doc_id", "rep"), "rep"), "mixed")
+    theirs = sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    common = _common_counts(theirs).withColumnRenamed("doc_id", "rep")
+    fine = theirs.mapInArrow(_fine_task(s), "rep long, sketch array<long>")
+    mixed = materialize(mixed.join(common.join(fine, "rep"), "rep"), "mixed")
     smallest = mixed.groupBy("band").agg(F.min("n").alias("least"))
     possible = lambda c, n, m: 100 * c >= s.threshold * (n + m - c)
     u = mixed.where("own != led").join(smallest, "band").where(possible(F.col("common"), F.col("n"), F.col("least"))).alias("u")
     v = mixed.where("rep != leader").alias("v")
     apart = (F.col("u.own") != F.col("v.own")) & ((F.col("v.own") == F.col("v.led")) | (F.col("u.rep") < F.col("v.rep")))
-    close = possible(F.least("u.common", "v.common"), F.col("u.n"), F.col("v.n")) & (flipped(F.col("u.sketch"), F.col("v.sketch"), s) <= s.most_flipped())
+    alike = flipped(F.col("u.sketch"), F.col("v.sketch"), s.fine_bits) <= most_flipped(s.fine_samples, s.fine_bits, s.fine_floor)
+    close = possible(F.least("u.common", "v.common"), F.col("u.n"), F.col("v.n")) & alike
     more = u.join(v, (F.col("u.band") == F.col("v.band")) & apart & close).select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).distinct()
     more = materialize(_confirm(more, sets, s), "links")
     if not more.isEmpty():
