@@ -1,7 +1,7 @@
 """Connected components of a graph given as a table of links, by alternating large and small stars.
 
-Every round is two joins and aggregations over the links; the links never leave the executors. Rounds are written to the
-shared folder. A hub with most links costs a combined minimum and a join that AQE can split, never one task.
+Every round is two joins and aggregations over the links, and a count of ends to see if all are stars; the links never leave
+the executors. Rounds are written to the shared folder. A hub with most links costs a combined minimum and a join that AQE can split, never one task.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         small = _star(large.select(F.col("child").alias("u"), F.col("parent").alias("v")))
         hung = small.select(F.col("v").alias("child"), F.col("m").alias("parent")).union(small.select(F.col("u").alias("child"), F.col("m").alias("parent")))
         edges = materialize(hung.where("child != parent").distinct(), "links")
-        # All stars: nobody is both child and parent.
-        if edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").isEmpty():
+        # All stars: nobody is both child and parent, and every child has one parent.
+        ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -90,3 +90,11 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == {i: root(i) for i in list(parent)}
     assert components(df.limit(0)).count() == 0
+
+
+def test_components_with_two_hubs_that_share_a_member(spark):
+    """After the first round nobody is both child and parent, but node 3 still has two parents."""
+    df = spark.createDataFrame([(4, 3), (4, 1), (5, 3), (5, 2)], "a long, b long")
+    rows = components(df).collect()
+    assert len(rows) == 5
+    assert {r.node: r.component for r in rows} == dict.fromkeys(range(1, 6), 1)
