@@ -515,8 +515,7 @@ def aligned_rasters(spark, sf_dir):
 
 @query()
 def kriged_surface(spark, sf_dir):
-    readings = _stations(spark, sf_dir).where("s_nationkey < 5")
-    return models.kriged_surface(readings, _cells(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
+    return models.kriged_surface(_stations(spark, sf_dir), _cells(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
 
 
 @query()
@@ -524,4 +523,4 @@ def forest_downscaled(spark, sf_dir):
     k = F.col("p_partkey")
     fine = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 != 0, F.col("p_retailprice")).alias("covariate"))
     train = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("covariate"), F.when(k % 3 == 0, F.col("p_size").cast("double")).alias("target"))
-    return models.forest_downscaled(train, fine, ["covariate"], "target", trees=20, depth=6)
+    return models.forest_downscaled(train, fine, ["covariate"], "target")

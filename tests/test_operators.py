@@ -292,3 +292,20 @@ def test_reports_and_columns(spark):
     double = spark.createDataFrame([(1, 2, 3)], "x int, y int, z int").toDF("x", "y", "x")
     assert series.with_unique_columns(double).columns == ["x", "y"] and series.with_unique_columns(double).first().x == 1
     assert series.backfilled(cells, {"pm1": "double", "k": "string"}).dtypes[-1] == ("pm1", "double")
+
+
+def test_model_queries_take_whole_tables(spark, monkeypatch):
+    """Every nation's stations are kriged onto every part, and the forest has the operator's own size."""
+    from hazeworks.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(models, "kriged_surface", lambda *a, **b: seen.append((a, b)) or a[0])
+    monkeypatch.setattr(models, "forest_downscaled", lambda *a, **b: seen.append((a, b)) or a[0])
+    for name in ("kriged_surface", "forest_downscaled"):
+        catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    whole = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count()
+    (stations, cells, *_), _ = seen[0]
+    assert (stations.count(), cells.count()) == (whole("supplier"), whole("part"))
+    (train, fine, *rest), options = seen[1]
+    assert (train.count(), fine.count()) == (whole("part"), whole("part"))
+    assert len(rest) == 2 and not options
