@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazeworks.llm import bpe, mixing, neardup, pii, quality
 from hazeworks.llm.common import materialize
@@ -25,9 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of smallest id stays."""
-    kept = neardup.near_duplicates(docs, neardup.Settings(width=5, threshold=80)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of smallest id stays. Null ids stay."""
+    rated = neardup.near_duplicates(docs, neardup.Settings(width=5, threshold=80))
+    gone = rated.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_mix_counts(spark):
         if weights:
             total = sum(r.n for r in rows)
             assert {r.source: round(r.n / total * 4) for r in rows} == {"hot": 1, "s1": 1, "s2": 2}
+
+
+def test_null_ids_stay_in_near_duplicates(spark, edge_docs):
+    """Every row but those whose id has no kept row: null ids take part in no link."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, "en", "src0", 1), (None, "another text without an id", "en", None, 1), (50, long, "en", "src0", 1), (51, long, "en", "src0", 1)]
+    docs = edge_docs.unionByName(spark.createDataFrame(rows, edge_docs.schema))
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted(r.text for r in left if r.doc_id is None) == sorted(r[1] for r in rows[:2])
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [*range(6), *range(7, 12), 50]
