@@ -20,8 +20,9 @@ Copies of a whole text are found by digest first and need none of this: all of a
 A full suffix array of all positions would shuffle 100 bytes or more for every input byte; see the README.
 
 Nulls: a null text counts as empty. Texts under ``WINDOW`` bytes keep everything. Very long texts are processed in pieces that
-overlap by a window. A null id sorts after all others. Ids are expected to be unique; rows that repeat id and text are one
-document in two rows: neither is the other's earlier copy. An empty table gives an empty result. Only key and text are read.
+overlap by a window. A null id sorts after all others. Rows that repeat id and text (null ids too) are one document in two
+rows: neither is the other's earlier copy. Different texts of one id, or without any, are documents of their own, ordered by
+digest. An empty table gives an empty result. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ SHARE = 1 << 20
 SAMPLE_DOCS = 500
 #: An anchor's k-gram is heavy from this many occurrences and from this share of all shared anchors.
 HEAVY_LEAST, HEAVY_SHARE = 1000, 10_000
+#: The key of rows without an id, where they hold one text of a window or more at most.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -412,14 +414,15 @@ def _cut_task(with_text: bool) -> Callable:
             for i in range(batch.num_rows):
                 text, runs, copy = batch.column(1)[i], batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans = [(0, len(raw))] if copy and len(raw) >= WINDOW else merged_runs([(r["begin"], r["end"]) for r in runs or ()], len(raw))
+                if len(raw) < WINDOW:
+                    runs, copy = None, False  # its key may be another's
+                spans = [(0, len(raw))] if copy else merged_runs([(r["begin"], r["end"]) for r in runs or ()], len(raw))
                 kept, at = [], 0
                 for begin, end in spans:
                     kept.append(raw[at:begin])
                     at = end
                 kept = b"".join([*kept, raw[at:]])
-                doc = batch.column(0)[i].as_py()
-                rows.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                rows.append((batch.column(0)[i].as_py(), len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
                 held += len(kept) if with_text else 100
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
@@ -445,27 +448,48 @@ def _splitters(texts: DataFrame, total: int, buckets: int) -> np.ndarray:
     return np.unique(values[[len(values) * i // buckets for i in range(1, buckets)]])
 
 
+def _keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as (doc_id, id, text), and (doc_id, digest) of the texts of a window or more; each doc_id names one such text.
+
+    doc_id is the id itself. Where an id, or none, comes with several texts, it is instead a number in order of id and digest,
+    written with the texts once; shorter texts, which keep everything, then have a number without meaning.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    by_id, digest = F.coalesce("id", F.lit(NO_ID)).alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest")
+    enough = F.coalesce(F.octet_length("text") >= WINDOW, F.lit(False))
+    digests = materialize(rows.where(enough).select("id", by_id, digest), "digests")
+    if digests.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.select(by_id, "id", "text"), digests.select("doc_id", "digest")
+    ordered = digests.select("id", "digest").distinct().orderBy(F.asc_nulls_last("id"), "digest")
+    # Partitions are ranges in order, so these numbers follow the order.
+    ranks = materialize(ordered.select("id", "digest", F.monotonically_increasing_id().alias("doc_id")), "ranks")
+    named = ranks.withColumnsRenamed({"id": "of", "digest": "its"})
+    long = rows.where(enough).select("id", "text", digest).join(named.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("its")))
+    short = rows.where(~enough).select(F.monotonically_increasing_id().alias("doc_id"), "id", "text")
+    return materialize(long.select("doc_id", "id", "text").union(short), "keyed"), ranks.select("doc_id", "digest")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, null unless ``with_text``) of every row."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    digests = texts.where(F.octet_length("text") >= WINDOW).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    texts, digests = _keyed(docs, key, text)
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = materialize(digests.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct(), "copies")
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = even_keys(spark, partitions)
     splitters = _splitters(texts, docs.count(), partitions)
-    anchors = texts.mapInArrow(_anchor_task(splitters, keys), BLOCK).repartition(partitions, "bucket")
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_task(splitters, keys), BLOCK).repartition(partitions, "bucket")
     shared = materialize(anchors.mapInArrow(_shared_task, "doc_id long, place long, print long"), "anchors")
     least = max(HEAVY_LEAST, math.ceil(shared.count() / HEAVY_SHARE))
     # Each has a 10,000th of all rows at least, so there are 10,000 at most.
     heavy = np.asarray([r["print"] for r in shared.groupBy("print").count().where(F.col("count") >= least).select("print").collect()], np.int64).view(np.uint64)
 
     places = shared.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    around = texts.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places")
+    # The id rides along so that both joins deal out the same columns, once.
+    around = texts.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places", "id")
     windows = around.mapInArrow(_window_task(splitters, keys, heavy), BLOCK).repartition(partitions, "bucket")
     runs = windows.mapInArrow(_flag_task, RUN).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     marks = runs.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
-    marked = texts.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = texts.join(marks.hint("merge"), "doc_id", "left").select("id", "text", "runs", F.coalesce("copy", F.lit(False)).alias("copy"))
     return marked.mapInArrow(_cut_task(with_text), RESULT)

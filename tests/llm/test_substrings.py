@@ -92,3 +92,24 @@ def test_pieces(monkeypatch):
 def test_driver_documents(spark):
     rows = check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert any(r.n_removed for r in rows)
+
+
+def ranked(rows):
+    """``brute`` over rows numbered in order of id (nulls last) and digest; rows that repeat id and text share a number."""
+    place = lambda i, t: (i is None, i or 0, hashlib.md5(t.encode()).hexdigest())
+    places = sorted({place(*r) for r in rows})
+    ids = {places.index(place(*r)): r[0] for r in rows}
+    return sorted(((ids[n], *rest) for n, *rest in brute([(places.index(place(*r)), r[1]) for r in rows])), key=repr)
+
+
+def test_null_and_repeated_ids(spark):
+    """Texts without an id, or of one id, are apart: a copy among them takes nothing from the others."""
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c, d, passage = prose(300), prose(300), prose(300), prose(300), prose(150)
+    rows = [(1, a), (None, a), (None, b), (None, passage + c), (None, "short"), (None, passage[:99]), (2, passage), (2, d), (2, d + passage), (3, b), (3, b), (3, prose(200) + b[:120]), (-5, d[40:])]
+    rows += [(rng.choice([None, None, 7, i]), prose(rng.randrange(150)) + rng.choice([a, passage, ""])) for i in range(60)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == ranked(rows)
+    one = substrings.remove_repeats(spark.createDataFrame([(1, a), (None, a), (None, b)], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in one if r.doc_id is None) == [0, 300]
