@@ -6,14 +6,20 @@
 2. Documents that share a band are candidates. Within a bucket every member is compared with the bucket's leader only, the
    member that shares most buckets; the bitmaps' XOR population count estimates the similarity, and pairs far below the threshold go no further.
 3. The others are confirmed on their full shingle sets, which are made for documents in shared buckets alone.
-4. Components of these links leave stragglers: members of a bucket outside its leader's component. They, and only they, are
-   compared with all members of other components in their bucket, by finer sketches of more samples. Of two sets of sizes n and m, of which at most c shingles
-   each occur anywhere else among these documents, no more than c are shared, so pairs (and stragglers, against the smallest
-   set of their bucket) for which ``c / (n + m - c)`` is below the threshold are ruled out without being looked at. After
-   that, every pair of every bucket is compared, ruled out or already connected.
+4. Components of these links leave outsiders: members of a bucket outside its leader's component. They choose a leader among
+   themselves and are compared with it, up to ``elections`` times and while that finds links.
+5. Outsiders that are left are searched exactly, by how they differ from their leader L. With D(x) the shingles that only one of
+   x and L has, two sets differ in ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` shingles, and the threshold allows a fixed share of
+   their sizes. As an outsider differs from L by more than that, it is linked only with texts that share a good part of its
+   differences: with the shingles of D ordered from the rarest on, both must have one of them within a prefix whose length follows
+   from sizes (prefix and position filter). Edits that are a copy's own are never shared, so of a group of n copies around one text
+   few pairs are left to confirm, though all of them lie close to the threshold.
 
-With 40 bands of 5, a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7; either estimate drops such a
-pair with about the same probability (its limit lies five deviations or more below 0.8). Links are confirmed exactly, up to 64-bit hash collisions of shingles.
+Step 5 needs ``|D(x)|`` beyond the allowed share for outsiders. An outsider that the sketches of step 2 missed may be nearer; it is
+linked to its leader there and then.
+
+With 40 bands of 5, a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7; the estimate of steps 2 and 4
+drops such a pair with about the same probability (its limit lies five deviations or more below 0.8). Links are confirmed exactly, up to 64-bit hash collisions of shingles.
 
 Nulls: null, empty and blank texts have an empty set and are linked with nothing; each is its own component. A null id takes
 part in no link. Rows of equal id count as one document: what links one links all. Very long texts are hashed in chunks.
@@ -39,7 +45,7 @@ from hazeworks.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold`` in percent; pairs whose estimated similarity is below ``floor`` (stragglers: ``fine_floor``) are not confirmed."""
+    """``threshold`` in percent; pairs whose estimated similarity is below ``floor`` are not confirmed; ``elections`` bounds step 4."""
 
     width: int = 5
     threshold: int = 80
@@ -47,10 +53,8 @@ class Settings:
     rows: int = 5
     sketch_bits: int = 512
     floor: float = 0.6
-    fine_samples: int = 512
-    fine_bits: int = 1536
-    fine_floor: float = 0.7
     seed: int = 7
+    elections: int = 4
 
 
 def most_flipped(samples: int, bits: int, floor: float) -> int:
@@ -150,21 +154,6 @@ def _sets_task(width: int) -> Callable:
     return run
 
 
-def _fine_task(s: Settings) -> Callable:
-    """Finer odd sketches of shingle sets."""
-    schema = pa.schema([("rep", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = hash_family(s.fine_samples, s.seed + 1)
-        for batch in batches:
-            signatures = [signature(x.values.to_numpy().view(np.uint64), *family) for x in batch.column(1)]
-            sketches = odd_sketches(np.asarray(signatures, np.uint64).reshape(-1, s.fine_samples), s.fine_bits)
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (s.fine_bits // 64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(sketches))], schema=schema)
-
-    return run
-
-
 def flipped(a: Column, b: Column, bits: int) -> Column:
     """Population count of the XOR of two sketches."""
     words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)]
@@ -179,15 +168,75 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.where(100 * shared >= s.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _common_counts(sets: DataFrame) -> DataFrame:
-    """doc_id, n (size of its set) and common: how many of its shingles another of these documents has as well.
+def _near(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) whose sketches don't rule out the threshold."""
+    with_b = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
+    both = with_b.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), "a")
+    return both.where(flipped(F.col("ka"), F.col("kb"), s.sketch_bits) <= most_flipped(s.bands * s.rows, s.sketch_bits, s.floor)).select("a", "b")
 
-    A shingle that occurs once names its owner, so nothing is joined back and frequent shingles only meet in a count.
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _owners(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of three or more with their own component and that of the bucket's leader."""
+    return (
+        buckets.where("members > 2")
+        .join(found.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left")
+        .join(found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left")
+        .withColumns({"own": F.coalesce("own", "rep"), "led": F.coalesce("led", "leader")})
+    )
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components ``found``, joined by further links."""
+    return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+
+
+def _differences(owners: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Members of clusters (all buckets of one leader) that have an outsider, with the shingles ``d`` that they or their leader have alone.
+
+    ``w`` stands for how far rep is from the leader; where ``beyond`` isn't positive, the two are linked.
     """
-    alone = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
-    own = alone.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    n = F.size("shingles").cast("long")
-    return sets.join(own, "doc_id", "left").select("doc_id", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("common"))
+    clusters = owners.groupBy("leader", "rep").agg(F.first("own").alias("own"), F.first("led").alias("led")).where("rep != leader")
+    mixed = clusters.join(clusters.where("own != led").select("leader").distinct(), "leader", "left_semi")
+    own_set = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("sr"))
+    led_set = sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("sl"))
+    apart = F.concat(F.array_except("sr", "sl"), F.array_except("sl", "sr"))
+    rows = mixed.join(own_set, "rep").join(led_set, "leader").withColumn("d", apart)
+    # Two sets of n and m shingles reach the threshold t if they differ in (n + m) * (1 - t) / (1 + t) of them at most.
+    size = lambda c: F.size(c).cast("long")
+    reach, part = 100 + s.threshold, 100 - s.threshold
+    w = reach * size("d") - part * size("sr")
+    return rows.select("leader", "rep", "own", (F.col("own") != F.col("led")).alias("outside"), w.alias("w"), (w - part * size("sl")).alias("beyond"), "d")
+
+
+def _rarest_first(differences: DataFrame) -> DataFrame:
+    """Rows (leader, e, rep, own, outside, w, c, i, low_all, low_out): e is the i-th, from the rarest on, of the c differences of rep
+    that can be in a wanted pair's common part; low_all and low_out are the least w of all members and of the outsiders."""
+    each = differences.select("leader", "rep", "own", "outside", "w", F.explode("d").alias("e"))
+    # A difference that one component has alone, or no outsider, is in no wanted pair's common part.
+    counted = each.groupBy("leader", "e").agg(F.count("*").alias("f"), F.min("own").alias("o1"), F.max("own").alias("o2"), F.max("outside").alias("met"))
+    useful = counted.where("met and o1 < o2").select("leader", "e", "f")
+    least = differences.groupBy("leader").agg(F.min("w").alias("low_all"), F.min(F.when(F.col("outside"), F.col("w"))).alias("low_out"))
+    listed = each.join(useful, ["leader", "e"]).groupBy("leader", "rep", "own", "outside", "w").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
+    ranked = listed.join(least, "leader").select("leader", "rep", "own", "outside", "w", "low_all", "low_out", F.size("es").alias("c"), F.posexplode("es").alias("i", "x"))
+    return ranked.select("leader", F.col("x.e").alias("e"), "rep", "own", "outside", "w", "c", (F.col("i") + 1).alias("i"), "low_all", "low_out")
+
+
+def _outsiders(owners: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) to confirm: members outside their leader's component, each with members of other components."""
+    differences = materialize(_differences(owners, sets, s), "differences")
+    need = lambda w: F.greatest(F.lit(1), F.ceil(w / (2 * (100 + s.threshold))))
+    prefix = lambda low: F.col("i") <= F.col("c") - need(F.col("w") + F.col(low)) + 1
+    entries = materialize(_rarest_first(differences).where(prefix("low_all") | prefix("low_out")), "entries")
+    u, v = entries.where(F.col("outside") & prefix("low_all")).alias("u"), entries.where(prefix("low_out")).alias("v")
+    most = F.least(F.col("u.c") - F.col("u.i"), F.col("v.c") - F.col("v.i")) + 1
+    once = ~F.col("v.outside") | (F.col("u.rep") < F.col("v.rep"))
+    wanted = (F.col("u.own") != F.col("v.own")) & once & (need(F.col("u.w") + F.col("v.w")) <= most)
+    pairs = u.join(v, (F.col("u.leader") == F.col("v.leader")) & (F.col("u.e") == F.col("v.e")) & wanted).select(*_ordered("u.rep", "v.rep"))
+    return pairs.union(differences.where("outside and beyond <= 0").select(*_ordered("leader", "rep"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,48 +253,31 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     shared = materialize(banded.join(sizes, "band"), "shared-bands")
     # A text from which a group was copied shares more buckets than its copies, which differ twice as much among themselves.
     weights = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
-    central = shared.join(weights, "rep").groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
-    buckets = materialize(shared.join(central, "band"), "buckets")
+    weighed = shared.join(weights, "rep")
+    first = F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader")
+    buckets = materialize(weighed.join(weighed.groupBy("band").agg(first), "band"), "buckets")
     sketches = reps.select("doc_id", "sketch")
-
-    stars = buckets.where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-    near = (
-        stars.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
-        .join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), "a")
-        .where(flipped(F.col("ka"), F.col("kb"), s.sketch_bits) <= most_flipped(s.bands * s.rows, s.sketch_bits, s.floor))
-        .select("a", "b")
-    )
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_sets_task(s.width), "doc_id long, shingles array<long>"), "shingles")
-    links = materialize(_confirm(near, sets, s), "links")
-    found = components(links)
 
-    # Stragglers: in a bucket of three or more, outside the leader's component.
-    labelled = (
-        buckets.where("members > 2")
-        .join(found.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left")
-        .join(found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left")
-        .select("band", "rep", "leader", F.coalesce("own", "rep").alias("own"), F.coalesce("led", "leader").alias("led"))
-    )
-    outside = labelled.where("own != led")
-    mixed = labelled.join(outside.select("band").distinct(), "band", "left_semi")
-    members = mixed.select("rep").distinct()
-    theirs = sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    common = _common_counts(theirs).withColumnRenamed("doc_id", "rep")
-    fine = theirs.mapInArrow(_fine_task(s), "rep long, sketch array<long>")
-    mixed = materialize(mixed.join(common.join(fine, "rep"), "rep"), "mixed")
-    smallest = mixed.groupBy("band").agg(F.min("n").alias("least"))
-    possible = lambda c, n, m: 100 * c >= s.threshold * (n + m - c)
-    u = mixed.where("own != led").join(smallest, "band").where(possible(F.col("common"), F.col("n"), F.col("least"))).alias("u")
-    v = mixed.where("rep != leader").alias("v")
-    apart = (F.col("u.own") != F.col("v.own")) & ((F.col("v.own") == F.col("v.led")) | (F.col("u.rep") < F.col("v.rep")))
-    alike = flipped(F.col("u.sketch"), F.col("v.sketch"), s.fine_bits) <= most_flipped(s.fine_samples, s.fine_bits, s.fine_floor)
-    close = possible(F.least("u.common", "v.common"), F.col("u.n"), F.col("v.n")) & alike
-    more = u.join(v, (F.col("u.band") == F.col("v.band")) & apart & close).select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).distinct()
-    more = materialize(_confirm(more, sets, s), "links")
+    stars = buckets.where("rep != leader").select(*_ordered("leader", "rep")).distinct()
+    found = components(materialize(_confirm(_near(stars, sketches, s), sets, s), "links"))
+    # Members outside their leader's component choose a leader among themselves, while that finds links.
+    for _ in range(s.elections):
+        outside = _owners(buckets, found).where("own != led").select("band", "rep", "own", "weight")
+        ahead = outside.groupBy("band").agg(first, F.min("own").alias("o1"), F.max("own").alias("o2")).where("o1 < o2").select("band", F.col("leader").alias("next"))
+        chosen = outside.select(F.col("band"), F.col("rep").alias("next"), F.col("own").alias("led"))
+        pairs = outside.join(ahead.join(chosen, ["band", "next"]), "band").where("own != led").select(*_ordered("next", "rep")).distinct()
+        more = materialize(_confirm(_near(pairs, sketches, s), sets, s), "links")
+        if more.isEmpty():
+            break
+        found = _joined(found, more)
+    more = materialize(_confirm(_outsiders(_owners(buckets, found), sets, s), sets, s), "links")
     if not more.isEmpty():
-        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+        found = _joined(found, more)
 
-    placed = profiles.join(firsts, "digest", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = ["doc_id", "n_shingles", "component_id"]
+    placed = texts.select("doc_id", "n_shingles", "digest").join(firsts, "digest").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    alone = profiles.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    both = placed.withColumn("component_id", F.coalesce("component", "rep")).select(out).union(alone)
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -98,3 +98,54 @@ def test_components_with_two_hubs_that_share_a_member(spark):
     rows = components(df).collect()
     assert len(rows) == 5
     assert {r.node: r.component for r in rows} == dict.fromkeys(range(1, 6), 1)
+
+
+def test_large_group_of_near_copies_close_to_the_threshold(spark):
+    """2000 copies of one text whose similarities lie around 0.6 to 0.9, with some copies of copies."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    texts = [" ".join(base)]
+    for _ in range(2000):
+        w = list(base) if rng.random() < 0.9 else texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.randrange(1, 28)):
+            at, kind = rng.randrange(len(w)), rng.random()
+            if kind < 0.6:
+                w[at] = f"x{rng.randrange(100_000)}" if rng.random() < 0.8 else base[rng.randrange(160)]
+            elif kind < 0.8:
+                w.insert(at, base[rng.randrange(160)])
+            else:
+                del w[at]
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_families_of_copies_in_one_bucket(spark, seed):
+    """Families whose members are alike, and families alike enough to share buckets but not to be linked."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(6):
+        root = [w if rng.random() > 0.12 else f"f{rng.randrange(10_000)}" for w in base]
+        for _ in range(40):
+            texts.append(" ".join(w if rng.random() > 0.04 else f"g{rng.randrange(10_000)}" for w in root))
+    rng.shuffle(texts)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2 + seed)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_one_small_graph(spark, seed):
+    """Paths, trees and cycles alone, in random numberings: no other component forces further rounds."""
+    rng = random.Random(seed)
+    n = rng.randrange(5, 14)
+    names = rng.sample(range(100), n)
+    graph = {0: [(i, i + 1) for i in range(n - 1)], 1: [(rng.randrange(i), i) for i in range(1, n)], 2: [(i, (i + 1) % n) for i in range(n)], 3: [(i, i % 2 + n - 2) for i in range(n - 2)] + [(n - 2, n - 1)]}[seed]
+    rows = components(spark.createDataFrame([(names[a], names[b]) for a, b in graph], "a long, b long")).collect()
+    assert len(rows) == n and {r.component for r in rows} == {min(names)}
+
+
+def test_components_of_a_path_that_once_stopped_early(spark):
+    rows = components(spark.createDataFrame([(5, 6), (6, 10), (10, 20), (8, 20), (1, 8)], "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in rows) == [(i, 1) for i in (1, 5, 6, 8, 10, 20)]
