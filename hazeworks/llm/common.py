@@ -55,6 +55,33 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Elements that one step of ``running`` folds by itself.
+FOLD = 256
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Running fold of an array, each element included: of ``FOLD`` at a time, then over these parts. Growing an array copies it, so
+    a single fold would cost the square of its size."""
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, x: F.concat(a, F.array(join(last(a), x)))
+
+    def folded(v: Column) -> Column:
+        part = lambda b: F.slice(F.aggregate(F.slice(v, b * FOLD + 1, FOLD), F.array(zero), grown), 2, FOLD)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), part)
+        joined = lambda ps: F.flatten(F.zip_with(F.slice(F.aggregate(ps, F.array(zero), lambda a, p: grown(a, last(p))), 1, F.size(ps)), ps, lambda o, p: F.transform(p, lambda x: join(o, x))))
+        return F.when(F.size(v) > 0, bind(parts, joined)).otherwise(F.slice(F.array(zero), 1, 0))
+
+    return bind(values, folded)
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names (in any case) renamed, and what brings ``docs``'s own columns back from a result."""
+    taken = {n.lower() for n in names}
+    renamed = {c: f"_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in taken}
+    columns = docs.columns
+    return docs.withColumnsRenamed(renamed), lambda out: out.select(*(F.col(f"`{renamed.get(c, c)}`").alias(c) for c in columns))
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank texts give an empty one."""
     bare = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))

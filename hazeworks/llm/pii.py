@@ -10,9 +10,9 @@ pieces and matches before it, so no search by position is needed and the work is
 Patterns are the contract's, written with possessive repeats and a look-behind at the start of a run. Both leave the matches
 as they are (what follows a repeat is never in its character class) and keep long runs linear.
 
-Nulls: a null text counts as empty and has no spans. Very long texts cost linear time. Repeated rows get equal results; an
+Nulls: a null text counts as empty and has no spans. Very long texts, also with very many matches, cost near linear time. Repeated rows get equal results; an
 empty table gives an empty one. ``find`` keeps all input columns and prefixes its own with ``pii_``; columns of that name are
-replaced.
+replaced. ``redact`` adds no column, so all input columns come back as they are but for the text.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazeworks.llm.common import bind, running
+
 #: Characters before and after a span that are searched for context words.
 CONTEXT_CHARS = 40
 IBAN_THRESHOLD = 0.5
+#: Characters of the blocks by which positions in a text are found.
+BLOCK_CHARS = 256
 
 
 @dataclass(frozen=True)
@@ -89,20 +93,21 @@ def _spans(text: Column, kind: Kind) -> Column:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
     def placed(x: Column) -> Column:
-        numbered = F.transform(x["matches"], lambda m, i: F.struct(m.alias("m"), F.get(x["pieces"], i).alias("before"), F.get(x["pieces"], i + 1).alias("after")))
-        first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        lengths = F.zip_with(F.slice(x["pieces"], 1, F.size(x["matches"])), x["matches"], lambda before, m: F.length(before) + F.length(m))
+
+        def spans(ends: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                near = F.lower(F.concat_ws(" ", F.right(F.get(x["pieces"], i), F.lit(CONTEXT_CHARS)), F.left(F.get(x["pieces"], i + 1), F.lit(CONTEXT_CHARS))))
+                score = F.lit(kind.base_score) + F.when(near.rlike(kind.likely), 0.1).otherwise(0.0) - F.when(near.rlike(kind.unlikely), 0.3).otherwise(0.0)
+                end = F.get(ends, i)
+                whole = F.struct(F.lit(kind.name).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.round(score, 2).alias("score"))
+                return F.when(kind.valid(m), whole)
 
-        def step(done: Column, m: Column) -> Column:
-            start = done["at"] + F.length(m["before"])
-            end = start + F.length(m["m"])
-            near = F.lower(F.concat_ws(" ", F.right(m["before"], F.lit(CONTEXT_CHARS)), F.left(m["after"], F.lit(CONTEXT_CHARS))))
-            score = F.lit(kind.base_score) + F.when(near.rlike(kind.likely), 0.1).otherwise(0.0) - F.when(near.rlike(kind.unlikely), 0.3).otherwise(0.0)
-            span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.round(score, 2).alias("score"))
-            return F.struct(end.alias("at"), F.when(kind.valid(m["m"]), F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+            return F.filter(F.transform(x["matches"], span), lambda s: s.isNotNull())
 
-        return F.aggregate(numbered, first, step)["spans"]
+        return bind(running(lengths, lambda a, b: a + b, F.lit(0)), spans)
 
-    out = F.element_at(F.transform(F.array(found), placed), 1)
+    out = bind(found, placed)
     if kind.threshold:
         out = F.filter(out, lambda s: s["score"] >= kind.threshold)
     return F.when(kind.gate(text), out).otherwise(none)
@@ -134,22 +139,41 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Spans (start, end, kind) in order of start, with those that overlap joined under the first one's kind."""
+
+    def joined(s: Column) -> Column:
+        def cut(most: Column) -> Column:
+            begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(most, i - 1)), i)), lambda i: i.isNotNull())
+            last = lambda p, i: F.get(most, F.coalesce(F.get(p, i + 1), F.size(s)) - 1)
+            return bind(begins, lambda p: F.transform(p, lambda b, i: F.struct(F.get(s, b)["start"].alias("start"), last(p, i).alias("end"), F.get(s, b)["kind"].alias("kind"))))
+
+        return bind(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0)), cut)
+
+    return bind(spans, joined)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each of the disjoint, ordered ``spans`` as ``[KIND]``. Positions are found by blocks, not from the start of the text."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+    def built(x: Column) -> Column:
+        def between(low: Column, high: Column) -> Column:
+            first = F.floor(low / BLOCK_CHARS).cast("int")
+            near = F.array_join(F.slice(x["b"], first + 1, F.floor(high / BLOCK_CHARS).cast("int") - first + 1), "")
+            return F.substring(near, low - first * BLOCK_CHARS + 1, high - low)
+
+        end = lambda i: F.coalesce(F.get(x["s"], i)["end"], F.lit(0))
+        parts = F.transform(x["s"], lambda s, i: F.concat(between(end(i - 1), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), between(end(F.size(x["s"]) - 1), F.length(text)))
+
+    return bind(F.struct(blocks.alias("b"), spans.alias("s")), built)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Input columns with every found span of ``text`` replaced by ``[KIND]``; spans that overlap become one replacement."""
-    found = find(docs, text)
-    every = F.array_sort(F.transform(F.concat(*(F.col(f"pii_{k.name}") for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(done) > 0) & (s["start"] < F.get(done, F.size(done) - 1)["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
-
-    def rebuilt(s: Column) -> Column:
-        t = F.col(text)
-        parts = F.transform(s, lambda x, i: F.concat(F.substring(t, F.coalesce(F.get(s, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(s, i - 1)["end"], F.lit(0))), F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        return F.concat(F.array_join(parts, ""), F.substring(t, F.element_at(s, -1)["end"] + 1, F.length(t)))
-
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    merged = found.withColumn("pii_spans", F.aggregate(every, none, merge))
-    replaced = F.when(F.size("pii_spans") == 0, F.col(text)).otherwise(rebuilt(F.col("pii_spans")))
-    return merged.withColumn(text, replaced).select(*docs.columns)
+    t = F.coalesce(F.col(text), F.lit(""))
+    every = F.concat(*(_spans(t, kind) for kind in KINDS))
+    ordered = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    new = bind(every, lambda spans: F.when(F.size(spans) > 0, _replaced(t, _merged(ordered(spans)))))
+    return docs.withColumn(text, F.coalesce(new, F.col(text)))

@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hazeworks.llm import pii
@@ -83,3 +85,38 @@ def test_redaction_covers_every_base_span(spark, edge_docs):
 @pytest.mark.parametrize("empty", [True])
 def test_empty(spark, edge_docs, empty):
     assert pii.report(edge_docs.limit(0)).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Spans and replacements are right, and time per match doesn't grow with their number."""
+    seconds = []
+    for n in (10_000, 40_000):
+        text = " ".join(f"x{i}@mail.org" if i % 3 else f"10.0.0.{i % 300}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.report(docs).first()
+        clean = pii.redact(docs).first().text
+        seconds.append(time.perf_counter() - began)
+        check([Row(text=text, **row.asDict())])
+        assert clean == re.sub(r"10\.0\.0\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?= |$)", "[IP]", re.sub(r"\S+@\S+", "[EMAIL]", text))
+    assert seconds[1] < 12 * seconds[0] and seconds[1] < 60
+
+
+def test_overlapping_spans_become_one(spark):
+    texts = ["+4111111111111111 1 x", "a@10.0.0.1.2 and 1.1.1.1@b.cc", "IP 10.0.0.1", "😀" * 300 + "a@b.cc" + "é" * 600 + "c@d.ee"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.redact(docs).collect():
+        covered = sorted((s, e) for v in brute(texts[r.doc_id]).values() for s, e in v)
+        kept, at = [], 0
+        for s, e in covered:
+            if s >= at:
+                kept.append(texts[r.doc_id][at:s])
+            at = max(at, e)
+        kept.append(texts[r.doc_id][at:])
+        assert re.sub(r"\[[A-Z]+\]", "\0", r.text).split("\0") == kept
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc", "note", 5)], "doc_id long, text string, pii_note string, pii_email int")
+    assert pii.redact(docs).collect() == [Row(doc_id=1, text="[EMAIL]", pii_note="note", pii_email=5)]
+    assert pii.report(docs).first().n_email == 1
