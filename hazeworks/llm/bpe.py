@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ LEAF_CHARS, WINDOW_CHARS = 2048, 32
 LOOK_AHEAD = 3
 #: Entries of a task's cache from piece to ids; pieces are mostly words.
 CACHE_ENTRIES = 200_000
+#: Pieces of more bytes are merged with a heap.
+LONG_PIECE, NO_RANK = 128, 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,12 +46,67 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one piece: the neighbours whose union has the least rank are joined, the left-most on ties, while there are any."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    if n > LONG_PIECE:
+        return _merged_long(piece, ranks)
+    parts = [piece[i : i + 1] for i in range(n)]
+    pairs = [ranks.get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NO_RANK:
+            break
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs and a list of neighbours, n log n: (rank, begin, end) is dropped when its ends have moved."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def push(i: int) -> None:
+        if i >= 0 and end[i] < n:
+            j = end[end[i]]
+            r = ranks.get(piece[i:j])
+            if r is not None:
+                heapq.heappush(heap, (r, i, j))
+
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        middle = end[i]
+        if middle == 0 or middle >= n or end[middle] != j:
+            continue
+        end[i], end[middle] = j, 0
+        if j < n:
+            before[j] = i
+        push(before[i])
+        push(i)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class TreeCodec:
     """Encodes by tree reduction; ``pieces`` of a text are its pattern matches in order, covering it."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS):
         self.split = regex.compile(pattern).findall
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.leaf, self.window = leaf, window
         self.cache: dict[str, tuple[int, str]] = {}
@@ -87,7 +144,7 @@ class TreeCodec:
             want = 2 * size
 
     def ids(self, piece: str) -> list[int]:
-        return self.merge(piece.encode("utf-8"))
+        return merged(piece.encode("utf-8"), self.ranks)
 
     def numbered(self, piece: str) -> tuple[int, str]:
         """Number of ids of a piece and the ids as text."""

@@ -10,13 +10,15 @@ sorted as a long; neighbours of equal hash are candidates, and the candidates al
 collisions cannot count.
 
 Nulls: a null text has no words and fails the base rule, like empty and blank texts. Very long texts stay in one row but cost
-n log n. Repeated rows get equal verdicts. An empty table gives an empty result. ``measures`` keeps the input's columns and
-replaces those of the same name as a measure.
+n log n. Repeated rows get equal verdicts. An empty table gives an empty result. ``measures`` and ``rate_documents`` keep the input's
+columns and replace those of the names in ``COLUMNS``; ``keep_documents`` gives rows as they are, so there no name of ``COLUMNS`` may
+be in the input (see ``common.set_aside``).
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +35,11 @@ BASE_WORDS, BASE_REPEATED = 50, 50
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a row where ``rejects`` (over the measures and ``text``) is true."""
+    """Rejects a row where ``rejects`` (over the measures and ``text``) is true. ``repeats`` says that it uses n_repeat_words, which costs most."""
 
     name: str
     rejects: Column
+    repeats: bool = False
 
 
 def default_rules(text: str = "text") -> list[Rule]:
@@ -47,7 +50,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("symbols", F.col("n_symbols") * 10 > n),
         Rule("repeated_lines", (F.col("n_dup_lines") > 3) & (F.col("n_dup_lines") * 10 > F.size(F.split(t, "\n", -1)) * 3)),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
-        Rule("repeated_words", F.col("n_repeat_words") * 10 > n * 4),
+        Rule("repeated_words", F.col("n_repeat_words") * 10 > n * 4, True),
         Rule("exclamations", (F.length(t) - F.length(F.translate(t, "!", ""))) * 5 > n),
         Rule("capitals", count("A-Z") * 2 > chars),
         Rule("digits", count("0-9") * 5 > chars * 2),
@@ -88,32 +91,47 @@ def _covered(p: Column) -> Column:
     return F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Input columns plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"]
+
+
+def _measured(docs: DataFrame, text: str, wanted: Column | None = None) -> DataFrame:
+    """Input columns plus the measures but base_failed; n_repeat_words only where ``wanted`` (over the other measures) is true, if given.
 
     Each array is a column of its own projection: it is used more than once by the next, so it is computed once per row.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in COLUMNS]
     t = F.coalesce(F.col(text), F.lit(""))
     without = lambda chars: F.length(F.translate(t, chars, "")).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(*kept, words(F.col(text)).alias("_w"), lines.alias("_lines"))
-    rows = rows.select("*", _repeat_words(F.col("_w")).alias("_z"))
-    rows = rows.select("*", _candidates(F.col("_z")).alias("_c")).drop("_z")
-    rows = rows.select("*", _confirmed(F.col("_c"), F.col("_w")).alias("_s")).drop("_c")
-    rows = rows.select("*", _starts(F.col("_s")).alias("_p")).drop("_s")
+    # Never false, but not known to the optimizer: a filter on measures would else move below and compute each array again for every use.
+    unknown = F.monotonically_increasing_id() >= 0
+    w, z, c, d, p, ls = (f"_{uuid.uuid4().hex}" for _ in range(6))
+    cheap = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    rows = docs.select(*kept, words(F.col(text)).alias(w), lines.alias(ls))
     rows = rows.select(
         *kept,
-        # Never false, but not known to the optimizer: a filter on measures would else move below and compute each array again for every use.
-        F.when(F.monotonically_increasing_id() >= 0, F.size("_w").cast("long")).alias("n_words"),
+        w,
+        F.when(unknown, F.size(w).cast("long")).alias("n_words"),
         without(SPACES).alias("word_chars"),
         (F.length(t).cast("long") - without(SYMBOLS)).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("_p")).alias("n_repeat_words"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
     )
-    failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    if wanted is not None:
+        rows = rows.withColumn(w, F.when(wanted, F.col(w)))
+    rows = rows.select("*", _repeat_words(F.col(w)).alias(z))
+    rows = rows.select("*", _candidates(F.col(z)).alias(c)).drop(z)
+    rows = rows.select("*", _confirmed(F.col(c), F.col(w)).alias(d)).drop(c, w)
+    rows = rows.select("*", _starts(F.col(d)).alias(p)).drop(d)
+    return rows.select(*kept, *cheap, F.when(unknown, _covered(F.col(p))).alias("n_repeat_words"))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
+
+
+def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Input columns plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    return _measured(docs, text).withColumn("base_failed", _failed())
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
@@ -137,9 +155,9 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_R
     return [rule for _, rule in sorted(rated, key=lambda x: -x[0])]
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], failed: Column | None = None) -> Column:
     """Name of the first rule that rejects the row, in cascade order, or null."""
-    out = F.when(F.col("base_failed"), F.lit("base"))
+    out = F.when(F.col("base_failed") if failed is None else failed, F.lit("base"))
     for rule in rules:
         out = out.when(rule.rejects, F.lit(rule.name))
     return out
@@ -150,3 +168,14 @@ def rate_documents(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     ordered = plan_cascade(docs, rules if rules is not None else default_rules(text), text=text)
     rated = measures(docs, text).withColumn("rejected_by", verdict(ordered))
     return rated.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def keep_documents(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """The rows that ``rate_documents`` keeps, with the input's columns. Repeated words, which cost most of all measures, are
+    searched only in rows that the rules without them, in cascade order, let pass."""
+    ordered = plan_cascade(docs, rules if rules is not None else default_rules(text), text=text)
+    first = F.when(F.col("n_words") < BASE_WORDS, F.lit("base"))
+    for rule in ordered:
+        first = first if rule.repeats else first.when(rule.rejects, F.lit(rule.name))
+    rows = _measured(docs, text, first.isNull()).where(F.col("n_repeat_words").isNotNull())
+    return rows.where(verdict([r for r in ordered if r.repeats], _failed()).isNull()).select(*docs.columns)

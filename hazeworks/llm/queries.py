@@ -87,20 +87,20 @@ WITH sizes AS (
   SELECT source, pow(size, 0.7) * (sum(size) OVER ()) / (size * sum(pow(size, 0.7)) OVER ()) AS rate FROM sizes
 ), pmf AS (
   SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM shares, (SELECT unnest(range(0, 80)) AS k)
+  FROM shares, (SELECT unnest(range(0, 400)) AS k)
 ), cdf AS (
   SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf
 ), drawn AS (
   SELECT doc_id, source, text,
-         (CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
-  FROM documents
+         (CAST('0x' || substr(md5('17|' || id_text), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u, id_text
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, ''))) AS id_text FROM documents)
 ), counted AS (
-  SELECT d.doc_id, d.source, d.text, c.rate, count(*) FILTER (WHERE c.c < d.u) AS copies
+  SELECT d.doc_id, d.id_text, d.source, d.text, c.rate, count(*) FILTER (WHERE c.c < d.u) AS copies
   FROM (SELECT *, row_number() OVER () AS row_no FROM drawn) d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source
-  GROUP BY d.row_no, d.doc_id, d.source, d.text, c.rate
+  GROUP BY d.row_no, d.doc_id, d.id_text, d.source, d.text, c.rate
 )
 SELECT doc_id, source, CAST(copy AS INTEGER) AS "copy", CAST(copies AS INTEGER) AS copies, round(rate, 6) AS rate,
-       md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key,
+       md5('17|' || id_text || '|' || CAST(copy AS VARCHAR)) AS shuffle_key,
        md5(coalesce(text, '')) AS text_md5
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
 """

@@ -78,7 +78,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     tree, grown = planned_tree(shards, shards), planned_tree(shards + 1, shards)
     k = F.col(key)
     buckets = min(most_buckets, max(8, math.ceil(docs.count() / (shards * rows_per_bucket))))
-    placed = [k.alias("doc_id"), shard_of([k], tree).alias("shard"), F.pmod(F.xxhash64(k, F.lit("slot")), F.lit(buckets)).alias("bucket")]
+    # Rows without a key share a shard; their texts deal them out over its buckets.
+    apart = F.when(k.isNull(), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    placed = [k.alias("doc_id"), shard_of([k], tree).alias("shard"), F.pmod(F.xxhash64(k, apart, F.lit("slot")), F.lit(buckets)).alias("bucket")]
     counts = docs.select(*placed).groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

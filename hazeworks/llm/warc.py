@@ -18,6 +18,7 @@ long payloads are single records. An empty table writes no record. Only the name
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -33,7 +34,7 @@ DICTIONARY_MAGIC, FILLER_MAGIC = 0x184D2A5D, 0x184D2A50
 #: Ends every written row: a skippable frame of one byte, which the writer's line feed fills.
 FILLER = struct.pack("<II", FILLER_MAGIC, 1)
 REVISIT_BYTES = 1000
-#: Most bytes of the dictionary; most records, and bytes of them, it is trained on.
+#: Most bytes of the dictionary; records, and bytes of them, it is trained on (expected; twice the bytes at most).
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 65_536, 1000, 8 << 20
 LEVEL = 3
 URN = "urn:page:"
@@ -80,22 +81,29 @@ def _planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, length and refers_to (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
-    groups = rows.where(F.col("length") >= REVISIT_BYTES).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-    shared = groups.where("copies > 1").drop("copies")
+    groups = rows.where(F.col("length") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
+    shared = groups.where("copies > 1").select(F.col("digest").alias("group"), "keeper")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return rows.join(shared, ["digest", "length"], "left").select("page_id", "url", "payload", "digest", "length", refers.alias("refers_to"))
+    # Short payloads, however often one occurs, have keys of their own.
+    group = F.when(F.col("length") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
+    return rows.withColumn("group", group).join(shared, "group", "left").select("page_id", "url", "payload", "digest", "length", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", level: int = LEVEL) -> None:
     """Write all ``pages`` (page_id, url, html) as archives into the folder ``path``."""
     spark = pages.sparkSession
-    sample = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).orderBy(F.xxhash64("page_id", F.length("html"))).limit(SAMPLE_RECORDS)
+    html = F.coalesce("html", F.lit(""))
+    sizes = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(html)).alias("bytes")).first()
+    # Rows are chosen by hash where they lie, so no task gathers candidates.
+    share = min(1.0, SAMPLE_RECORDS / max(1, sizes["n"]), SAMPLE_BYTES / max(1, sizes["bytes"] or 0))
+    chosen = F.pmod(F.xxhash64("page_id", F.octet_length(html)), F.lit(1 << 40)) < math.ceil(share * (1 << 40))
+    sample = pages.select("page_id", "url", html.alias("html")).where(chosen)
     samples, held = [], 0
     for r in sample.toLocalIterator():
         body = r.html.encode()
         samples.append(record(r.page_id, r.url, body, hashlib.sha1(body).hexdigest(), None, len(body), date))
         held += len(body)
-        if held > SAMPLE_BYTES:
+        if held > 2 * SAMPLE_BYTES:
             break
     raw = spark.sparkContext.broadcast(train(samples))
 

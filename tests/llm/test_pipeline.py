@@ -3,7 +3,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from hazeworks.llm import bpe, mixing
+from hazeworks.llm import bpe, mixing, quality
 from hazeworks.llm.common import materialize
 from tests.llm.test_neardup import brute
 from tests.llm.test_pii import brute as spans
@@ -28,12 +28,31 @@ def test_stages_on_driver_documents(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in tokens.collect()) == want
 
 
+CLASHING = ["kept", "n_words", "rejected_by", "mix_copy", "mix_source", "mix_cdf", "mix_order", "pii_note", "pii_email", "component_id", "digest", "band", "ids", "_w", "_p"]
+
+
 def test_stages_take_edges_and_nothing(spark, edge_docs):
-    extra = edge_docs.withColumn("kept", F.lit("x")).withColumn("mix_copy", F.lit(1))
-    for docs in (edge_docs, edge_docs.limit(0), extra):
-        for name, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, docs, "").collect()
-            assert docs is not edge_docs.limit(0) or not rows, name
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, edge_docs, "").collect()
+        assert not stage(spark, edge_docs.limit(0), "").collect(), name
+
+
+def test_extra_columns_of_any_name_come_back_as_they_were(spark, edge_docs):
+    prose = " ".join(f"word{i} and" for i in range(60))
+    docs = edge_docs.unionByName(spark.createDataFrame([(90, prose, "en", "src0", 1)], edge_docs.schema))
+    extra = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, "")
+        assert out.dtypes == extra.dtypes, name
+        rows = out.collect()
+        assert any(r.doc_id == 90 for r in rows) and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, "").count() == extra.count()
+
+
+def test_the_quality_stage_keeps_what_the_operator_keeps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id for r in quality.rate_documents(docs).where("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == want
 
 
 def test_mix_counts(spark):
