@@ -3,7 +3,7 @@
 Each stage works on all rows its predecessor kept; all but the last return the columns of ``documents``.
 
 Nulls, empty and blank texts: the quality stage rejects them, so later stages do not see any; each stage alone handles them as
-its operator's docstring says. A missing or extra column is carried as it is, except that names of measures are internal.
+its operator's docstring says. Rows without an id stay. Extra columns of any name come back with their own values.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeworks.llm import bpe, mixing, neardup, pii, quality
-from hazeworks.llm.common import materialize
+from hazeworks.llm.common import materialize, set_aside
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.rate_documents(docs).where("kept").select(*docs.columns)
+    safe, restored = set_aside(docs, quality.COLUMNS)
+    return restored(quality.keep_documents(safe))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat as their source's rate says and come in global shuffle order."""
-    return mixing.mix(docs, temperature=0.7, seed=17).select(*docs.columns)
+    safe, restored = set_aside(docs, mixing.ADDED)
+    return restored(mixing.mix(safe, temperature=0.7, seed=17))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
