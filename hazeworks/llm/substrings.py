@@ -45,6 +45,8 @@ SPAN = WINDOW - GRAM + 1
 SLICE, PIECE = 2 << 20, 1 << 20
 #: Bytes of windows that a bucket's task sorts at once.
 SHARE = 1 << 20
+#: Bytes of text for each bucket, or less.
+BUCKET_BYTES = 12 << 20
 #: Documents sampled for the splitters.
 SAMPLE_DOCS = 500
 #: An anchor's k-gram is heavy from this many occurrences and from this share of all shared anchors.
@@ -283,8 +285,8 @@ def _window_task(splitters: np.ndarray, keys: list[int], heavy: np.ndarray) -> C
             piece = part.piece(start)
             doc, place = part.docs[piece], part.offsets[piece] + start - part.begins[piece]
             print_ = prints.at(sums, start, WINDOW)
-            _, first, inverse = np.unique(print_, return_index=True, return_inverse=True)
-            earlier = (doc > doc[first][inverse]) | (place > place[first][inverse])
+            first = _first(print_, part.data, start)
+            earlier = (doc > doc[first]) | (place > place[first])
             rows = []
             runs = _runs(doc[earlier], place[earlier])
             if len(runs):
@@ -293,7 +295,8 @@ def _window_task(splitters: np.ndarray, keys: list[int], heavy: np.ndarray) -> C
             start, anchor, doc, place, print_ = start[left], anchor[left], doc[left], place[left], print_[left]
             spread = np.isin(grams[anchor], heavy)
             for b, e in _by_bucket((print_[spread] % np.uint64(len(keys))).astype(np.int64)):
-                rows.append((keys[b], SPREAD, len(e), _packed(print_[spread][e], doc[spread][e], place[spread][e]), None))
+                text = b"".join(part.data[i : i + WINDOW].tobytes() for i in start[spread][e])
+                rows.append((keys[b], SPREAD, len(e), _packed(print_[spread][e], doc[spread][e], place[spread][e]), text))
             start, anchor, doc, place = start[~spread], anchor[~spread], doc[~spread], place[~spread]
             if len(start):
                 # Windows of one anchor follow each other (its piece may repeat it); a gap that the local comparison left is filled.
@@ -318,13 +321,23 @@ def _run_batches(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in runs[i : i + 100_000].T], schema=_RUN)
 
 
-def _first(print_: np.ndarray) -> np.ndarray:
-    """For each of some windows in order of (doc, place), the number of the first equal one."""
+def _first(print_: np.ndarray, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each of some windows of ``data``, in order of (doc, place), the number of the first equal one."""
     order = np.argsort(print_, kind="stable")
     sorted_ = print_[order]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     first = np.empty(len(order), np.int64)
     first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    # Equal fingerprints are confirmed byte by byte, in words of eight.
+    rest = np.flatnonzero(first != np.arange(len(first)))
+    other = np.zeros(len(rest), bool)
+    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        other |= _leading(data, start[rest] + i) != _leading(data, start[first[rest]] + i)
+    if other.any():
+        # Different windows of one fingerprint: told apart by their bytes.
+        seen: dict[bytes, int] = {}
+        for w in np.flatnonzero(np.isin(print_, print_[rest[other]])):
+            first[w] = seen.setdefault(data[start[w] : start[w] + WINDOW].tobytes(), int(w))
     return first
 
 
@@ -337,12 +350,8 @@ def _near_runs(data: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.nd
     offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
     start, doc, place = begin[each] + offset, doc[each], place[each] + offset
     prints = Fingerprints()
-    first = _first(prints.at(prints.sums(data), start, WINDOW))
+    first = _first(prints.at(prints.sums(data), start, WINDOW), data, start)
     flagged = np.flatnonzero((doc > doc[first]) | (place > place[first]))
-    # Equal fingerprints are confirmed byte by byte, in words of eight.
-    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
-        if (_leading(data, start[flagged] + i) != _leading(data, start[first[flagged]] + i)).any():
-            raise ValueError("two different windows have one fingerprint")
     return _runs(doc[flagged], place[flagged])
 
 
@@ -353,24 +362,26 @@ def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _flag_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's buckets, the windows with an earlier equal one. Works on a share of the anchors at a time."""
-    near, spread, text = [], [], []
+    near, spread, text, spread_text = [], [], [], []
     for batch in batches:
         for kind, n, body, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
             if kind == RUNS:
                 yield from _run_batches(np.stack(_unpacked(body.as_buffer(), n, np.int64, np.int64, np.int64), axis=1))
             elif kind == SPREAD:
                 spread.append(_unpacked(body.as_buffer(), n, np.uint64, np.int64, np.int64))
+                spread_text.append(raw.as_buffer().to_pybytes())
             else:
                 near.append(_unpacked(body.as_buffer(), n, np.int64, np.int64, np.int64, np.uint8))
                 text.append(raw.as_buffer().to_pybytes())
     if spread:
         print_, doc, place = (np.concatenate(c) for c in zip(*spread))
+        data = np.frombuffer(b"".join(spread_text), np.uint8)
         for of in _shares(print_, len(print_) * 100):
             of = of[np.lexsort((place[of], doc[of]))]
-            first = of[_first(print_[of])]
+            first = of[_first(print_[of], data, of * WINDOW)]
             flagged = of[(doc[of] > doc[first]) | (place[of] > place[first])]
             yield from _run_batches(_runs(doc[flagged], place[flagged]))
-    del spread
+    del spread, spread_text
     if near:
         doc, place, size, ahead = (np.concatenate(c) for c in zip(*near))
         data = np.frombuffer(b"".join(text), np.uint8)
@@ -476,9 +487,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = materialize(digests.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct(), "copies")
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket's task holds its anchors and windows, so buckets follow the size of the input.
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes")).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
     keys = even_keys(spark, partitions)
-    splitters = _splitters(texts, docs.count(), partitions)
+    splitters = _splitters(texts, size["n"], partitions)
     anchors = texts.select("doc_id", "text").mapInArrow(_anchor_task(splitters, keys), BLOCK).repartition(partitions, "bucket")
     shared = materialize(anchors.mapInArrow(_shared_task, "doc_id long, place long, print long"), "anchors")
     least = max(HEAVY_LEAST, math.ceil(shared.count() / HEAVY_SHARE))

@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 
@@ -113,3 +114,19 @@ def test_null_and_repeated_ids(spark):
     assert sorted((tuple(r)[:5] for r in got), key=repr) == ranked(rows)
     one = substrings.remove_repeats(spark.createDataFrame([(1, a), (None, a), (None, b)], "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in one if r.doc_id is None) == [0, 300]
+
+
+def test_different_windows_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    """With fingerprints of windows cut to three bits nearly all collide; the result is the same."""
+    plain = substrings.Fingerprints.at
+    monkeypatch.setattr(substrings.Fingerprints, "at", lambda self, sums, starts, length: plain(self, sums, starts, length) & np.uint64(7))
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcd "), 150)) for _ in range(6)]
+    pieces = [(i, 0, (t + texts[i - 1][:120] + t[20:140]).encode()) for i, t in enumerate(texts)]
+    part = substrings.Slice(pieces)
+    start = part.starts()
+    prints = substrings.Fingerprints()
+    first = substrings._first(prints.at(prints.sums(part.data), start, substrings.WINDOW), part.data, start)
+    seen = {}
+    for w, s in enumerate(start):
+        assert first[w] == seen.setdefault(part.data[s : s + substrings.WINDOW].tobytes(), w)
