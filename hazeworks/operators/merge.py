@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeworks.operators.series import first_per_key
@@ -42,14 +42,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], mode: str = "coalesc
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df``, which may read the table at ``path``, beside it, and move it there once it is whole."""
+    """Write ``df``, which may read the table at ``path``, beside it, and move it there once it is whole.
+
+    The old table is moved aside before and deleted last, so at every moment a whole table, old or new, is there; after an interruption
+    between the two moves ``recovered_table`` puts the old one back.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
+    place = path.rstrip("/")
+    aside = f"{place}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    target, source, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (place, aside, f"{place}-old"))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
+    df.write.parquet(aside)
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"can't move {path} aside")
     if not fs.rename(source, target):
         raise OSError(f"can't move {aside} to {path}")
+    fs.delete(old, True)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def recovered_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``; where ``replace_table`` was interrupted between its moves, the old one is put back first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/"), f"{path.rstrip('/')}-old"))
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+    return spark.read.parquet(path)

@@ -33,13 +33,19 @@ def fit_spherical(d: np.ndarray, gamma: np.ndarray, lags: int = 4) -> tuple[floa
     return best[1:]
 
 
-def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit(px: np.ndarray, py: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
+    """Variogram of some points; (0, 0, 1) for one point or equal values, whose surface is constant."""
+    if len(v) < 2 or np.ptp(v) == 0:
+        return 0.0, 0.0, 1.0
+    i, j = np.triu_indices(len(v), 1)
+    return fit_spherical(np.hypot(px[i] - px[j], py[i] - py[j]), 0.5 * (v[i] - v[j]) ** 2)
+
+
+def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ordinary kriging estimate and variance; one point, or equal values, give a constant surface of variance 0."""
     if len(v) == 1 or np.ptp(v) == 0:
         return np.full(len(x), v[0]), np.zeros(len(x))
-    i, j = np.triu_indices(len(v), 1)
-    d = np.hypot(px[i] - px[j], py[i] - py[j])
-    model = fit_spherical(d, 0.5 * (v[i] - v[j]) ** 2)
+    model = model or fit(px, py, v)
     n = len(v)
     left = np.zeros((n + 1, n + 1))
     left[:n, :n] = spherical(np.hypot(px[:, None] - px, py[:, None] - py), *model)
@@ -50,35 +56,79 @@ def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.nd
     return weights[:n].T @ v, (weights * right).sum(axis=0)
 
 
-def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str = "px", py: str = "py", value: str = "value", key_types: str = "") -> DataFrame:
-    """Kriging of every group of ``keys`` (hour, band) onto all cells (x, y): estimate and variance.
+#: A network has at most so many stations, and a grid so many tiles; more are refused, not cut.
+MOST_STATIONS, MOST_TILES = 2000, 100_000
+
 
-    A group's stations are few (a network, not the data); they are collected into one array per group, and the groups are
-    joined to tiles of cells, so a task holds one tile of one group and never a whole surface.
+def _networks(readings: DataFrame, keys: list[str], px: str, py: str, value: str) -> DataFrame:
+    """One row per group with its valued stations as an array, empty where there are none."""
+    valued = F.when(F.col(value).isNotNull(), F.struct(px, py, value))
+    stations = F.sort_array(F.collect_list(valued)).alias("stations")
+    few = F.when(F.size("stations") <= MOST_STATIONS, F.col("stations")).otherwise(F.raise_error(F.lit(f"more than {MOST_STATIONS} stations in a group")))
+    return readings.groupBy(*keys).agg(stations).withColumn("stations", few)
+
+
+def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str = "px", py: str = "py", value: str = "value") -> DataFrame:
+    """Kriging of every group of ``keys`` (hour, band) onto all cells (x, y): estimate and variance, null for groups without a value.
+
+    Each group's variogram is fitted once. Every group then meets every tile of the fixed grid, a tile of cells at a time, so no
+    task holds a whole surface.
     """
     tiles = cells.withColumns({"_tx": F.floor(F.col("x") / 5000).cast("long"), "_ty": F.floor(F.col("y") / 5000).cast("long")})
     blocks = tiles.groupBy("_tx", "_ty").agg(F.collect_list(F.struct(*cell_keys, "x", "y")).alias("cells"))
-    stations = readings.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(px, py, value))).alias("stations"))
-    # Every group needs every tile: the tiles' list is a fixed grid, so each group is dealt to its tiles by an explicit key.
-    listed = blocks.select("_tx", "_ty").agg(F.collect_list(F.struct("_tx", "_ty")).alias("t"))
-    pairs = stations.withColumn("_one", F.lit(1)).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one").select(*keys, "stations", F.explode("t").alias("t"))
-    work = pairs.select(*keys, "stations", "t.*").join(blocks, ["_tx", "_ty"])
+    listed = tiles.select("_tx", "_ty").distinct().orderBy("_tx", "_ty").limit(MOST_TILES + 1).collect()
+    if len(listed) > MOST_TILES:
+        raise ValueError(f"more than {MOST_TILES} tiles")
+    types = dict(readings.dtypes) | dict(cells.dtypes)
+    names = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def fitted(batches):
+        for pdf in batches:
+            arrays = [np.array([(r[px], r[py], r[value]) for r in s], float).reshape(-1, 3) for s in pdf["stations"]]
+            yield pdf.assign(model=[list(fit(a[:, 0], a[:, 1], a[:, 2])) for a in arrays])
+
+    points = _networks(readings, keys, px, py, value)
+    models = points.mapInPandas(fitted, f"{names}, stations {points.schema['stations'].dataType.simpleString()}, model array<double>")
+    tile = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("_tx"), F.lit(r[1]).alias("_ty")) for r in listed))).alias("t")
+    work = models.select(*keys, "stations", "model", tile).select(*keys, "stations", "model", "t.*").join(blocks, ["_tx", "_ty"]) if listed else models.withColumn("cells", F.array()).where("false")
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                s = np.array([(r[px], r[py], r[value]) for r in row.stations], float)
+                s = np.array([(r[px], r[py], r[value]) for r in row.stations], float).reshape(-1, 3)
                 c = pd.DataFrame(list(row.cells))
-                estimate, variance = krige(s[:, 0], s[:, 1], s[:, 2], c["x"].to_numpy(float), c["y"].to_numpy(float))
+                estimate = variance = None
+                if len(s):
+                    estimate, variance = krige(s[:, 0], s[:, 1], s[:, 2], c["x"].to_numpy(float), c["y"].to_numpy(float), tuple(row.model))
                 part = c[cell_keys].assign(**{k: getattr(row, k) for k in keys}, estimate=estimate, variance=variance)
-                out.append(part[[*keys, *cell_keys, "estimate", "variance"]])
+                out.append(part[[*keys, *cell_keys, "estimate", "variance"]].astype({"estimate": float, "variance": float}))
             if out:
                 yield pd.concat(out)
 
-    types = dict(readings.dtypes) | dict(cells.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, *cell_keys]) + ", estimate double, variance double"
-    return work.select(*keys, "stations", "cells").mapInPandas(solve, schema)
+    return work.select(*keys, "stations", "model", "cells").mapInPandas(solve, schema)
+
+
+def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:
+    """Prediction of each reading by kriging from the other points of its group, each time with a variogram of their own; small groups leave."""
+    valued = F.when(F.col(value).isNotNull(), F.struct(F.col(point), F.col(px).alias("x"), F.col(py).alias("y"), F.col(value).alias("v")))
+    groups = readings.groupBy(*keys).agg(F.sort_array(F.collect_list(valued)).alias("s")).where(F.size("s") >= least)
+    few = F.when(F.size("s") <= MOST_STATIONS, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_STATIONS} stations in a group")))
+    types = dict(readings.dtypes)
+
+    def predicted(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                a = np.array([(r["x"], r["y"], r["v"]) for r in row.s], float)
+                for i, r in enumerate(row.s):
+                    rest = np.delete(a, i, axis=0)
+                    out.append((*(getattr(row, k) for k in keys), r[point], r["v"], float(krige(rest[:, 0], rest[:, 1], rest[:, 2], a[i : i + 1, 0], a[i : i + 1, 1])[0][0])))
+            yield pd.DataFrame(out, columns=[*keys, point, "observed", "predicted"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, point]) + ", observed double, predicted double"
+    return groups.withColumn("s", few).mapInPandas(predicted, schema)
 
 
 def forest_downscaled(train: DataFrame, fine: DataFrame, features: list[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:

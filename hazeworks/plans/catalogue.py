@@ -183,14 +183,16 @@ def keep_last(spark, sf_dir):
     return naive(series.first_per_key(rows, ["user_id", "day"], [F.desc("ts"), F.desc("event_id")]).drop("ts"), "day")
 
 
-@query("""WITH a AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, 1 AS p FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
-b AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, 2 AS p FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+@query("""WITH a AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value, 1 AS p FROM events GROUP BY ALL),
+b AS (SELECT event_type, date_trunc('hour', ts) AS hour, max(value) AS value, 2 AS p FROM events GROUP BY ALL HAVING count(ts) >= 2),
 u AS (SELECT *, row_number() OVER (PARTITION BY event_type, hour ORDER BY p DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
 SELECT event_type, hour, value FROM u WHERE n = 1""")
 def merged_sources(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    part = lambda k: series.hourly_mean(rows.where(F.col("event_id") % k == 0), ["event_type"], "ts", ["value"])
-    return naive(series.merged_sources([(1, part(2)), (2, part(3))], ["event_type", "hour"]), "hour")
+    """Hourly means, and hourly peaks of hours with two readings or more, which take precedence."""
+    rows = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    means = series.hourly_mean(rows.drop("hour"), ["event_type"], "ts", ["value"])
+    peaks = rows.groupBy("event_type", "hour").agg(F.max("value").alias("value"), F.count("ts").alias("n")).where("n >= 2").drop("n")
+    return naive(series.merged_sources([(1, means), (2, peaks)], ["event_type", "hour"]), "hour")
 
 
 @query("""SELECT event_type, min(v) AS "min", max(v) AS "max", avg(v) AS mean, stddev_pop(v) AS stddev, 100.0::DOUBLE * count(v) / count(*) AS valid_percent
@@ -267,14 +269,16 @@ def watermarks(spark, sf_dir):
     return naive(incremental.watermarks(events(spark, sf_dir), ["user_id"], "ts"), "watermark")
 
 
-@query("""WITH m AS (SELECT user_id, max(ts) AS watermark FROM events WHERE event_id % 97 <> 0 GROUP BY user_id HAVING count(*) % 2 = 0),
-j AS (SELECT user_id, coalesce(watermark, TIMESTAMP '2023-01-15') AS "start", TIMESTAMP '2024-01-31' AS "end", CASE WHEN watermark IS NULL THEN 0 ELSE 1 END AS priority FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN m USING (user_id))
+@query("""WITH m AS (SELECT user_id, max(ts) AS watermark FROM events GROUP BY user_id),
+k AS (SELECT user_id AS key FROM events UNION SELECT c_custkey FROM customer),
+j AS (SELECT key, coalesce(watermark, TIMESTAMP '2023-01-15') AS "start", TIMESTAMP '2024-01-25' AS "end", CASE WHEN watermark IS NULL THEN 0 ELSE 1 END AS priority FROM k LEFT JOIN m ON key = user_id)
 SELECT * FROM j WHERE "start" < "end" """)
 def pending_jobs(spark, sf_dir):
+    """Customers are sensors as well, most of them never loaded."""
     rows = events(spark, sf_dir)
-    marks = rows.where("event_id % 97 <> 0").groupBy("user_id").agg(F.max("ts").alias("watermark"), F.count("*").alias("n")).where("n % 2 = 0").drop("n")
-    jobs = incremental.pending(rows.select("user_id").distinct(), marks, ["user_id"], ts("2023-01-15"), ts("2024-01-31"))
-    return naive(jobs.drop("watermark"), "start", "end")
+    keys = rows.select(F.col("user_id").alias("key")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    marks = incremental.watermarks(rows.withColumnRenamed("user_id", "key"), ["key"], "ts")
+    return naive(incremental.pending(keys, marks, ["key"], ts("2023-01-15"), ts("2024-01-25")).drop("watermark"), "start", "end")
 
 
 @query("""WITH j AS (SELECT user_id, min(ts) - INTERVAL 500 DAY AS s, max(ts) AS e FROM events GROUP BY user_id),
@@ -317,6 +321,109 @@ def node_share(spark, sf_dir):
     return incremental.node_share(events(spark, sf_dir), "event_id", 4, 1).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE lower(event_type) IN ('click', 'view')")
+def known_parameters(spark, sf_dir):
+    return incremental.known_parameters(events(spark, sf_dir), F.upper("event_type"), {"click": "c", "view": "v"}).select("event_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1995-06-17' THEN 'archive' ELSE 'forecast' END AS endpoint FROM orders")
+def archive_or_forecast(spark, sf_dir):
+    return incremental.archive_or_forecast(table(spark, sf_dir, "orders"), "o_orderdate", ts("1995-06-17").cast("timestamp_ntz")).select("o_orderkey", "endpoint")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') AND DATE '2024-01-01' + CAST(p_size AS INTEGER) >= DATE '2024-01-11'
+AND p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice > 1500)""")
+def new_granules(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").withColumns({"granule": F.col("p_name"), "sensed_at": F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int"))})
+    found = incremental.new_granules(parts, parts.where("p_retailprice > 1500"), "a", F.lit("2024-01-11").cast("date"))
+    return found.select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey FROM part WHERE CASE WHEN p_partkey % 6 <> 0 THEN p_size * 3 END <= 80")
+def clear_scenes(spark, sf_dir):
+    scenes = table(spark, sf_dir, "part").withColumn("cloud_cover", F.when(F.col("p_partkey") % 6 != 0, F.col("p_size") * 3))
+    return incremental.clear_enough(scenes).select("p_partkey")
+
+
+@query("SELECT DISTINCT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT c_custkey FROM customer)")
+def processed_set(spark, sf_dir):
+    done = events(spark, sf_dir).where("event_type = 'click'").select("user_id")
+    return incremental.processed(done, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id")
+
+
+@query("""SELECT event_id, CAST(w AS INTEGER) AS w, CAST(date_trunc('month', ts) - to_months(3 * CAST(w + 1 AS INTEGER)) AS DATE) AS "start", CAST(date_trunc('month', ts) - to_months(3 * CAST(w AS INTEGER)) AS DATE) AS "end"
+FROM events, range(0, 4) r(w)""")
+def month_windows(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.posexplode(scalar.month_windows(F.trunc("ts", "month"), 4, 3)).alias("w", "x"))
+    return rows.select("event_id", "w", "x.start", "x.end")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND ts > TIMESTAMP '2024-01-05' THEN date_trunc('second', ts) ELSE TIMESTAMP '2024-01-05' END AS since FROM events")
+def history_start(spark, sf_dir):
+    seen = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("unknown")
+    return naive(events(spark, sf_dir).select("event_id", scalar.history_start(seen, ts("2024-01-05")).alias("since")), "since")
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS measured_at, lower(event_type) AS parameter FROM events")
+def measured_at(spark, sf_dir):
+    """Of every spelling of time and parameter a part of the rows."""
+    k, t, p = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.upper("event_type")
+    s = lambda **c: F.struct(*(v.alias(n) for n, v in c.items()))
+    spelled = [s(period=s(datetimeTo=s(utc=t)), parameter=s(name=p)), s(period=s(datetimeFrom=s(utc=t)), parameter=p), s(datetime=s(utc=t), parameter=p), s(datetime=t, parameter=p), s(date=s(utc=t), parameter=s(name=p)), s(datetimeUtc=t, parameter=p)]
+    json = F.coalesce(*(F.when(k % len(spelled) == i, F.to_json(x)) for i, x in enumerate(spelled)))
+    rows = events(spark, sf_dir).select("event_id", json.alias("json"))
+    return naive(rows.select("event_id", F.to_timestamp(scalar.measured_at(F.col("json"))).alias("measured_at"), scalar.parameter_name(F.col("json")).alias("parameter")), "measured_at")
+
+
+@query("""SELECT location, date_trunc('hour', ts) AS timestamp_utc, substr(event_type, 1, 1) AS parameter, value FROM (SELECT *, user_id % 9 AS location FROM events)
+WHERE event_type IN ('click', 'view') AND value IS NOT NULL AND event_id % 10 <> 0""")
+def normalized_measurements(spark, sf_dir):
+    """Values as texts, some unreadable; only known parameters stay."""
+    value = F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    made = F.to_json(F.struct(F.struct(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).alias("datetimeTo")).alias("period"), F.struct(F.upper("event_type").alias("name")).alias("parameter"), value.alias("value")))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 9).alias("location"), made.alias("json"))
+    return naive(series.normalized_measurements(rows, {"click": "c", "view": "v"}, "location"), "timestamp_utc")
+
+
+@query("""SELECT s_suppkey, 6371007.181 * radians(lon) * cos(radians(lat)) AS x, 6371007.181 * radians(lat) AS y FROM (SELECT s_suppkey, (s_suppkey % 160) - 80.0 AS lat, (s_suppkey % 340) - 170.0 AS lon FROM supplier)""")
+def sinusoidal_points(spark, sf_dir):
+    k = F.col("s_suppkey")
+    x, y = scalar.sinusoidal(k % 160 - F.lit(80.0), k % 340 - F.lit(170.0))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"))
+
+
+@query("""WITH g AS (SELECT s_suppkey, 12.0::DOUBLE + (s_suppkey % 40) * 0.1::DOUBLE AS lat, 120.0::DOUBLE + (s_suppkey % 60) * 0.1::DOUBLE AS lon FROM supplier),
+c AS (SELECT *, 0.00669437999014::DOUBLE AS e2, radians(lat) AS p, radians(lon - 123.0) AS l FROM g),
+d AS (SELECT *, 6378137.0 / sqrt(1 - e2 * sin(p) * sin(p)) AS n, tan(p) * tan(p) AS t, e2 / (1 - e2) * cos(p) * cos(p) AS k, e2 / (1 - e2) AS q, cos(p) * l AS a,
+  6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * p - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * p) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * p) - 35 * e2 * e2 * e2 / 3072 * sin(6 * p)) AS m FROM c)
+SELECT s_suppkey, round(500000 + 0.9996 * n * (a + (1 - t + k) * a * a * a / 6 + (5 - 18 * t + t * t + 72 * k - 58 * q) * pow(a, 5) / 120), 1) AS easting,
+round(0.9996 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * k + 4 * k * k) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * k - 330 * q) * pow(a, 6) / 720)), 1) AS northing FROM d""")
+def utm_points(spark, sf_dir):
+    """Against another series of the projection, in powers of longitude; both agree far below the decimetre shown."""
+    k = F.col("s_suppkey")
+    x, y = scalar.utm(F.lit(12.0) + k % 40 * 0.1, F.lit(120.0) + k % 60 * 0.1)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(x, 1).alias("easting"), F.round(y, 1).alias("northing"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%e' THEN p_name[:-2] ELSE p_name END AS stem FROM part")
+def file_stems(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.stem_without(F.col("p_name"), "e").alias("stem"))
+
+
+@query("""SELECT n_name AS variable, 'unit' || n_regionkey AS unit, CASE WHEN n_nationkey % 3 <> 0 THEN 'unit' || (n_nationkey % 5) END AS found FROM nation
+WHERE ('unit' || n_regionkey) IS DISTINCT FROM CASE WHEN n_nationkey % 3 <> 0 THEN 'unit' || (n_nationkey % 5) END""")
+def units_checked(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation")
+    said = rows.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("variable"), F.concat(F.lit("unit"), F.col("n_nationkey") % 5).alias("unit"))
+    return series.units_checked(said, rows.select(F.col("n_name").alias("variable"), F.concat(F.lit("unit"), F.col("n_regionkey")).alias("unit")))
+
+
+@query("SELECT user_id, ts, click, CAST(NULL AS DOUBLE) AS \"view\" FROM (SELECT user_id, ts, value AS click FROM events)")
+def backfilled_columns(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "ts", F.col("value").alias("click"))
+    return naive(series.backfilled(rows, {"click": "double", "view": "double"}), "ts")
+
+
 # Upserts
 
 
@@ -476,12 +583,13 @@ def masked_value(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    """Rasters of 10 columns per event type, valid where the value is under 30."""
+    """All events as rasters of 10 x 10 pixels, valid where the value is under 30."""
     k = F.col("event_id")
-    return events(spark, sf_dir).where(k < 400).select((k % 4).cast("string").alias("raster_id"), F.floor(k / 40).cast("int").alias("row"), F.floor(k / 4 % 10).cast("int").alias("col"), F.when(F.col("value") < 30, F.col("value")).alias("v"))
+    cell = [F.floor(k / 100).cast("string").alias("raster_id"), F.floor(k % 100 / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col")]
+    return events(spark, sf_dir).select(*cell, F.when(F.col("value") < 30, F.col("value")).alias("v"))
 
 
-_PIXELS = """WITH p AS (SELECT CAST(event_id % 4 AS VARCHAR) AS raster_id, CAST(event_id // 40 AS INTEGER) AS "row", CAST(event_id // 4 % 10 AS INTEGER) AS "col", CASE WHEN value < 30 THEN value END AS v FROM events WHERE event_id < 400),
+_PIXELS = """WITH p AS (SELECT CAST(event_id // 100 AS VARCHAR) AS raster_id, CAST(event_id % 100 // 10 AS INTEGER) AS "row", CAST(event_id % 10 AS INTEGER) AS "col", CASE WHEN value < 30 THEN value END AS v FROM events),
 x AS (SELECT raster_id, min("row") AS r0, max("row") AS r1, min("col") AS c0, max("col") AS c1 FROM p WHERE v IS NOT NULL GROUP BY raster_id)
 """
 
@@ -502,12 +610,44 @@ def trimmed_origins(spark, sf_dir):
     return raster.trimmed(pixels, _meta(pixels), ["v"])[1]
 
 
-@query(_PIXELS + """, f AS (SELECT "row", "col" FROM p WHERE raster_id = '0'), k AS (SELECT "row" AS kr, "col" AS kc, v FROM p WHERE raster_id = '1')
-SELECT "row", "col", v FROM f LEFT JOIN k ON kr = CAST(floor((("row" + 0.5) * -10.0 + 40) / -40.0) AS INTEGER) AND kc = CAST(floor((("col" + 0.5) * 10.0 - 30) / 40.0) AS INTEGER)""")
+@query("""WITH f AS (SELECT event_id, event_id // 100 AS "row", event_id % 100 AS "col" FROM events),
+k AS (SELECT p_partkey // 25 AS kr, p_partkey % 25 AS kc, p_retailprice AS v FROM part)
+SELECT event_id, v FROM f LEFT JOIN k ON kr = floor((("row" + 0.5) * -10.0 + 40) / -40.0) AND kc = floor((("col" + 0.5) * 10.0 - 30) / 40.0)""")
 def aligned_rasters(spark, sf_dir):
-    pixels = _pixels(spark, sf_dir)
-    fine, coarse = pixels.where("raster_id = '0'").select("row", "col"), pixels.where("raster_id = '1'").select("row", "col", "v")
-    return raster.aligned(fine, coarse, {"a": 10.0, "c": 500.0, "e": -10.0, "f": 900.0}, {"a": 40.0, "c": 530.0, "e": -40.0, "f": 860.0}, "v")
+    """All events as a fine raster of 100 columns, all parts as a coarse one of 25."""
+    k, c = F.col("event_id"), F.col("p_partkey")
+    fine = events(spark, sf_dir).select("event_id", F.floor(k / 100).alias("row"), (k % 100).alias("col"))
+    coarse = table(spark, sf_dir, "part").select(F.floor(c / 25).cast("int").alias("row"), (c % 25).cast("int").alias("col"), F.col("p_retailprice").alias("v"))
+    return raster.aligned(fine, coarse, {"a": 10.0, "c": 500.0, "e": -10.0, "f": 900.0}, {"a": 40.0, "c": 530.0, "e": -40.0, "f": 860.0}, "v").select("event_id", "v")
+
+
+@query(f"""SELECT event_id, event_id % 7 <> 0 AS has_value, CASE WHEN event_id % 7 <> 0 AND event_id <> 65535 AND (event_id & 3) <= 1 AND (event_id & 4) = 0 THEN CAST(event_id * 0.001::DOUBLE AS FLOAT) END AS b1 FROM events""")
+def masked_bands(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 7 == 0, -28672).otherwise(F.col("event_id"))
+    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 7 != 0).alias("has_value"), raster.scaled(raw).alias("b1"), F.col("event_id").alias("qa"))
+    return raster.masked(rows, "qa", ["b1"]).drop("qa")
+
+
+@query("""SELECT event_id, degrees((900.0 - 10 * ("row" + 0.5)) * 1000 / 6371007.181) AS lat FROM (SELECT event_id, event_id % 100 // 10 AS "row" FROM events)
+WHERE degrees((900.0 - 10 * ("row" + 0.5)) * 1000 / 6371007.181) BETWEEN 7.3 AND 7.9""")
+def clipped_pixels(spark, sf_dir):
+    """The centres' latitudes in the sinusoidal projection; the box is open to east and west."""
+    k = F.col("event_id")
+    pixels = events(spark, sf_dir).select("event_id", F.floor(k / 100).cast("string").alias("raster_id"), F.floor(k % 100 / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col"))
+    meta = pixels.select("raster_id").distinct().select("raster_id", *(F.lit(v).alias(n) for n, v in dict(a=10000.0, b=0.0, c=0.0, d=0.0, e=-10000.0, f=900000.0).items()))
+    inside = raster.clipped(pixels, meta, (-180.0, 7.3, 180.0, 7.9))
+    return inside.select("event_id", scalar.from_sinusoidal(F.lit(0.0), 900000.0 - 10000.0 * (F.col("row") + 0.5))[0].alias("lat"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN -9999.0 WHEN 1 THEN NULL ELSE value END AS v FROM events) WHERE v IS NOT NULL AND v <> -9999.0")
+def valid_cells(spark, sf_dir):
+    v = F.when(F.col("event_id") % 5 == 0, raster.NODATA).when(F.col("event_id") % 5 != 1, F.col("value"))
+    return raster.valid_cells(events(spark, sf_dir).withColumn("v", v), "v").select("event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 1 THEN -9999.0 ELSE coalesce(value, -9999.0) END AS value FROM events")
+def exported_bands(spark, sf_dir):
+    return raster.exported(events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 5 != 1, F.col("value")).alias("value")), ["value"])
 
 
 # Models: no SQL, tested by their properties
@@ -518,6 +658,12 @@ def kriged_surface(spark, sf_dir):
     return models.kriged_surface(_stations(spark, sf_dir), _cells(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
 
 
+@query()
+def kriged_leave_one_out(spark, sf_dir):
+    rows = models.kriged_leave_one_out(_stations(spark, sf_dir), ["s_nationkey"], "station")
+    return spatial.error_metrics(rows, ["s_nationkey"])
+
+
 @query()
 def forest_downscaled(spark, sf_dir):
     k = F.col("p_partkey")

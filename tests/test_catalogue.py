@@ -52,10 +52,12 @@ def test_entry(spark):
 
 def test_entry_without_the_training_data_subpackage(monkeypatch):
     """The driver may delete that subpackage and the pipeline."""
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else real(name, *a))
+    for name in [n for n in sys.modules if n.startswith("hazeworks.llm")] + ["hazeworks.llm", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.delattr("hazeworks.llm", raising=False)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
     alone = importlib.import_module("__spark_entry__")
     assert set(alone.queries()) == set(catalogue.queries())
+    assert set(alone.oracle_sql()) == set(catalogue.oracle_sql())
     monkeypatch.undo()
     sys.modules["__spark_entry__"] = entry

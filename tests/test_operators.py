@@ -214,7 +214,7 @@ def test_kriging_properties(spark):
     readings = spark.createDataFrame([(1, 0.0, 0.0, 4.0), (2, 0.0, 0.0, 1.0), (2, 100.0, 0.0, 3.0), (2, 0.0, 90.0, 2.0), (3, 0.0, 0.0, None)], "hour int, px double, py double, value double")
     cells = spark.range(40).select(F.col("id").alias("cell"), (F.col("id") * 700.0).alias("x"), F.lit(5.0).alias("y"))
     got = models.kriged_surface(readings, cells, ["hour"], ["cell"]).collect()
-    assert len(got) == 80 and {r.estimate for r in got if r.hour == 1} == {4.0}
+    assert len(got) == 120 and {r.estimate for r in got if r.hour == 1} == {4.0} and {r.estimate for r in got if r.hour == 3} == {None}
 
 
 def test_forest(spark):
@@ -309,3 +309,26 @@ def test_model_queries_take_whole_tables(spark, monkeypatch):
     (train, fine, *rest), options = seen[1]
     assert (train.count(), fine.count()) == (whole("part"), whole("part"))
     assert len(rest) == 2 and not options
+
+
+def test_a_table_survives_an_interrupted_replacement(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge.replace_table(spark.range(3).toDF("k"), path)
+    (tmp_path / "t").rename(tmp_path / "t-old")
+    assert merge.recovered_table(spark, path).count() == 3
+    assert merge.replace_table(merge.recovered_table(spark, path).where("k > 0"), path).count() == 2 and not (tmp_path / "t-old").exists()
+
+
+def test_kriging_of_empty_groups_and_leave_one_out(spark):
+    points = [(h, i, float(i % 5) * 900, float(i // 5) * 800, float(i % 5) + 2.0 * (i // 5) if h else None) for h in (0, 1) for i in range(15)]
+    readings = spark.createDataFrame(points, "hour int, station int, px double, py double, value double")
+    cells = spark.createDataFrame([(i, 400.0 * i, 300.0 * i) for i in range(20)], "cell int, x double, y double")
+    got = models.kriged_surface(readings, cells, ["hour"], ["cell"]).collect()
+    assert len(got) == 40 and all((r.estimate is None) == (r.hour == 0) for r in got)
+    assert models.kriged_surface(readings, cells.limit(0), ["hour"], ["cell"]).count() == 0
+    left = models.kriged_leave_one_out(readings, ["hour"], "station").collect()
+    assert {r.hour for r in left} == {1} and len(left) == 15
+    one = next(r for r in left if r.station == 7)
+    rest = np.array([p[2:] for p in points if p[0] == 1 and p[1] != 7], float)
+    want = models.krige(rest[:, 0], rest[:, 1], rest[:, 2], np.array([1800.0]), np.array([800.0]))[0][0]
+    assert abs(one.predicted - want) < 1e-9 and abs(one.predicted - one.observed) < 1.5
