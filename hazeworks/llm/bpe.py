@@ -35,7 +35,7 @@ LEAF_CHARS, WINDOW_CHARS = 2048, 32
 #: A piece that doesn't reach the end of the text is decided by so many characters from its start, or by its own and the next.
 LOOK_AHEAD = 3
 #: Entries of a task's cache from piece to ids; pieces are mostly words.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE, NO_RANK = 128, 1 << 62
 
@@ -54,20 +54,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n > LONG_PIECE:
         return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(n)]
-    pairs = [ranks.get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+    get, cuts = ranks.get, list(range(n + 1))
+    pairs = [get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
     while pairs:
         least = min(pairs)
         if least == NO_RANK:
             break
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del cuts[i + 1], pairs[i]
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
-    return [ranks[p] for p in parts]
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
+    return [ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])]
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
