@@ -4,6 +4,11 @@ Every line, every paragraph (lines up to a blank one) and the whole text is a se
 runs of other characters than a-z and 0-9 become one space), its distinct word bigrams are compared with each template's, and
 ``2 * shared >= threshold * (own + template's)`` counts as a match; the best template wins, the first name on ties.
 
+Notices that fill no segment, such as one inside a sentence or one with blank lines in a longer text, are found in windows of the
+normalised text: wherever one of a template's anchors (its bigrams that hold a gate word) occurs, the window of the template's length
+that is aligned with it is compared. Each template's best window, the first on ties, counts as a match of kind ``window`` at its first word. A document's licence
+is that of its best match, the larger template's on ties, then the first name.
+
 Two bounds keep this cheap, both exact. Size: Dice t needs between ``t / (2 - t)`` and ``(2 - t) / t`` times the template's
 bigrams. Words: a match shares at least ``t / (2 - t)`` of a template's bigrams, so it must contain one of a few gate words,
 chosen per template such that fewer bigrams than that are free of them; a text without a gate word is not cut up at all.
@@ -17,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +66,19 @@ TEMPLATES = {
 COMMON = frozenset("a an and any are as at be by do for in is it not of on or that the this to was with you".split())
 
 
+def _pairs(text: str) -> list[tuple[str, str]]:
+    w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    return list(zip(w, w[1:]))
+
+
 def bigrams(text: str) -> set[str]:
     """Distinct word bigrams of the normalised text."""
-    w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
-    return {f"{a} {b}" for a, b in zip(w, w[1:])}
+    return {f"{a} {b}" for a, b in _pairs(text)}
+
+
+def length(text: str) -> int:
+    """Number of word bigrams of the normalised text, repeated ones included."""
+    return len(_pairs(text))
 
 
 def least_shared(size: int, threshold: int) -> int:
@@ -86,19 +101,54 @@ def gate_words(templates: dict[str, str], threshold: int) -> list[str]:
     return sorted(gate)
 
 
+def anchors(templates: dict[str, str], threshold: int) -> list[tuple[str, str, int]]:
+    """(template, bigram, its place in the template) of every bigram that holds a gate word."""
+    gate = set(gate_words(templates, threshold))
+    return [(n, f"{a} {b}", i) for n in sorted(templates) for i, (a, b) in enumerate(_pairs(templates[n])) if {a, b} & gate]
+
+
 def _normal_words(segment: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(segment), "[^a-z0-9]+", " ")), " ")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _bigrams(segment: Column) -> Column:
-    def pairs(w: Column) -> Column:
-        return F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+    """All word bigrams in order."""
+    return _let(_normal_words(segment), lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+
+
+def _windows(b: Column, templates: dict[str, str], threshold: int) -> Column:
+    """Per template the best window of a text with bigrams ``b``, as (kind, i, best)."""
+    names = sorted(n for n in templates if bigrams(templates[n]))
+    found = [(x, names.index(n), o) for n, x, o in anchors(templates, threshold) if n in names]
+    spots = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(t).alias("t"), F.lit(o).alias("o")) for x, t, o in found))
+    table = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("name"), F.lit(length(templates[n])).alias("n"), F.array(*map(F.lit, sorted(bigrams(templates[n])))).alias("b")) for t, n in enumerate(names)))
+    hits = F.filter(F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(sorted({x for x, _, _ in found})))
+    # A start and a template as one number, which makes them distinct by hashing.
+    code = lambda h, a: F.greatest(h["i"] - a["o"], F.lit(0)).cast("long") * len(names) + a["t"]
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(spots, lambda a: a["x"] == h["x"]), lambda a: code(h, a)))))
+
+    def rated(c: Column) -> Column:
+        def dice(x: Column) -> Column:
+            own = F.array_distinct(F.slice(b, F.floor(c / len(names)).cast("int") + 1, x["n"]))
+            return _let(own, lambda w: F.struct((-2.0 * F.size(F.array_intersect(w, x["b"])) / (F.size(w) + F.size(x["b"]))).alias("d"), F.floor(c / len(names)).cast("int").alias("i"), x["t"].alias("t")))
+
+        return _let(F.get(table, (c % len(names)).cast("int")), dice)
+
+    def least(near: Column) -> Column:
+        one = lambda x: F.array_min(F.filter(near, lambda r: r["t"] == x["t"]))
+        each = F.transform(table, lambda x: _let(one(x), lambda r: F.struct(F.lit("window").alias("kind"), r["i"].alias("i"), F.when(r.isNotNull(), F.struct(r["d"].alias("d"), x["name"].alias("name"))).alias("best"))))
+        return F.filter(each, lambda s: s["best"].isNotNull())
 
-    return F.element_at(F.transform(F.array(_normal_words(segment)), pairs), 1)
+    return _let(F.filter(F.transform(starts, rated), lambda r: -100 * r["d"] >= threshold), least)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: licence and dice of its best segment, number of matching segments, and all of them as text."""
+    """One row per document: licence and dice of its best segment, number of matches (segments and windows), and all of them as text."""
     chosen = TEMPLATES if templates is None else templates
     sets = {name: sorted(bigrams(body)) for name, body in sorted(chosen.items()) if bigrams(body)}
     table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in sets.items()))
@@ -124,12 +174,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
             # The largest coefficient first, then the first name.
             return F.array_min(F.transform(near, lambda x: F.struct((-2.0 * x["shared"] / x["both"]).alias("d"), x["name"].alias("name"))))
 
-        return F.element_at(F.transform(F.array(_bigrams(s["s"])), lambda b: F.when(F.size(b).between(smallest, largest), rated(b))), 1)
+        return F.element_at(F.transform(F.array(F.array_distinct(_bigrams(s["s"]))), lambda b: F.when(F.size(b).between(smallest, largest), rated(b))), 1)
 
     found = F.transform(segments, lambda s: F.struct(s["kind"].alias("kind"), s["i"].alias("i"), best(s).alias("best")))
-    matches = F.filter(found, lambda s: s["best"].isNotNull())
+    matches = F.concat(F.filter(found, lambda s: s["best"].isNotNull()), _let(_bigrams(t), lambda b: _windows(b, chosen, threshold)))
     none = F.array().cast("array<struct<kind:string,i:int,best:struct<d:double,name:string>>>")
     rows = docs.select(F.col(key).alias("doc_id"), F.when(F.lower(t).rlike(gate), matches).otherwise(none).alias("m"))
-    top = F.array_min(F.transform("m", lambda s: s["best"]))
+    sizes = F.create_map(*(F.lit(x) for n, b in sets.items() for x in (n, -len(b))))
+    # A template may be part of another: of equal matches the larger template's counts.
+    top = F.array_min(F.transform("m", lambda s: F.struct(s["best"]["d"].alias("d"), F.element_at(sizes, s["best"]["name"]).alias("size"), s["best"]["name"].alias("name"))))
     said = F.transform("m", lambda s: F.concat_ws(":", s["kind"], s["i"].cast("string"), s["best"]["name"], F.round(-s["best"]["d"], 4).cast("string")))
     return rows.select("doc_id", top["name"].alias("license"), F.round(-top["d"], 4).alias("dice"), F.size("m").cast("long").alias("n_matches"), F.array_join(said, ",").alias("matches"))

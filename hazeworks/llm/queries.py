@@ -155,23 +155,36 @@ FROM f
 
 
 def _op10_sql() -> str:
-    """Without the operator's bounds: every segment against every template."""
-    templates = ", ".join(f"('{n}', {sorted(licenses.bigrams(body))!r})" for n, body in licenses.TEMPLATES.items())
+    """Without the operator's bounds: every segment against every template, every anchored window against its own."""
+    templates = ", ".join(f"('{n}', {sorted(licenses.bigrams(body))!r}, {licenses.length(body)})" for n, body in licenses.TEMPLATES.items())
+    anchors = ", ".join(map(repr, licenses.anchors(licenses.TEMPLATES, licenses.THRESHOLD)))
     return r"""
-WITH templates(name, b) AS (VALUES TEMPLATES), segments AS (
+WITH templates(name, b, n) AS (VALUES TEMPLATES), anchors(name, x, o) AS (VALUES ANCHORS), segments AS (
   SELECT doc_id, 1 AS part, 'line' AS kind, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
   UNION ALL SELECT doc_id, 2, 'paragraph', unnest(p), generate_subscripts(p, 1) - 1 FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09\r]*\n') AS p FROM documents)
   UNION ALL SELECT doc_id, 3, 'text', coalesce(text, ''), 0 FROM documents
-), own AS (
-  SELECT doc_id, part, kind, i, list_distinct(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS b
+), pairs AS (
+  SELECT doc_id, part, kind, i, list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1]) AS p
   FROM (SELECT *, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM segments)
+), own AS (
+  SELECT doc_id, part, kind, i, list_distinct(p) AS b FROM pairs
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, p FROM pairs WHERE part = 3
+), starts AS (
+  SELECT DISTINCT r, name, greatest(i - o, 0) AS i FROM (SELECT r, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS i FROM texts) JOIN anchors USING (x)
+), windows AS (
+  SELECT doc_id, r, i, name, b AS tb, list_distinct(p[i + 1 : i + n]) AS b FROM starts JOIN texts USING (r) JOIN templates USING (name)
+), near AS (
+  SELECT doc_id, r, i, name, len(list_intersect(b, tb)) AS shared, len(b) + len(tb) AS total, len(tb) AS size FROM windows
 ), rated AS (
-  SELECT o.doc_id, o.part, o.kind, o.i, t.name, len(list_intersect(o.b, t.b)) AS shared, len(o.b) + len(t.b) AS total FROM own o, templates t WHERE len(o.b) > 0
+  SELECT o.doc_id, o.part, o.kind, o.i, t.name, len(list_intersect(o.b, t.b)) AS shared, len(o.b) + len(t.b) AS total, len(t.b) AS size FROM own o, templates t WHERE len(o.b) > 0
 ), best AS (
   SELECT *, round(2.0::DOUBLE * shared / total, 4) AS d, row_number() OVER (PARTITION BY doc_id, part, i ORDER BY 2.0::DOUBLE * shared / total DESC, name) AS n FROM rated WHERE 200 * shared >= 80 * total
+  UNION ALL SELECT doc_id, 4, 'window', i, name, shared, total, size, round(2.0::DOUBLE * shared / total, 4), row_number() OVER (PARTITION BY r, name ORDER BY 2.0::DOUBLE * shared / total DESC, i)
+  FROM near WHERE 200 * shared >= 80 * total
 ), found AS (
-  SELECT doc_id, arg_min(name, (-(2.0::DOUBLE * shared / total), name)) AS license, max(d) AS dice, count(*) AS n_matches, string_agg(kind || ':' || i || ':' || name || ':' || d, ',' ORDER BY part, i) AS matches
+  SELECT doc_id, arg_min(name, (-(2.0::DOUBLE * shared / total), -size, name)) AS license, max(d) AS dice, count(*) AS n_matches, string_agg(kind || ':' || i || ':' || name || ':' || d, ',' ORDER BY part, CASE part WHEN 4 THEN 0 ELSE i END, name) AS matches
   FROM best WHERE n = 1 GROUP BY doc_id
 )
 SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM documents d LEFT JOIN found USING (doc_id)
-""".replace("TEMPLATES", templates)
+""".replace("TEMPLATES", templates).replace("ANCHORS", anchors)
