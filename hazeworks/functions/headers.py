@@ -11,10 +11,14 @@ def normal(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
-def pick(columns: Iterable[str], tokens: Iterable[str], prefer: Iterable[str] = ()) -> str | None:
-    """First column whose normal form contains all tokens; among several, the first that contains a preferred token."""
+def pick(columns: Iterable[str], tokens: Iterable[str], prefer: Iterable[str] = (), exact: bool = False) -> str | None:
+    """First column whose normal form contains all tokens; among several, the first that contains a preferred token.
+
+    With ``exact`` a token must be a whole word of the name, a run of letters and digits, not a part of one.
+    """
     wanted = [normal(t) for t in tokens]
-    found = [c for c in columns if all(t in normal(c) for t in wanted)]
+    within = lambda c: re.split(r"[\W_]+", c.lower()) if exact else normal(c)
+    found = [c for c in columns if all(t in within(c) for t in wanted)]
     liked = [c for c in found if any(normal(p) in normal(c) for p in prefer)]
     return next(iter(liked or found), None)
 

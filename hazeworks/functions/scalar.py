@@ -161,3 +161,13 @@ def sinusoidal(lat: Column, lon: Column, radius: float = 6371007.181) -> tuple[C
 def from_sinusoidal(x: Column, y: Column, radius: float = 6371007.181) -> tuple[Column, Column]:
     """Latitude and longitude of a projected point."""
     return F.degrees(y / radius), F.degrees(x / (radius * F.cos(y / radius)))
+
+
+def text_or_unknown(c: Column) -> Column:
+    """A value as text, ``unknown`` where it is null."""
+    return F.coalesce(c.cast("string"), F.lit("unknown"))
+
+
+def field_or_default(json: Column, key: str, default: Column) -> Column:
+    """A field of a JSON object as text; the default where the key is absent, null where its value is null."""
+    return F.when(F.array_contains(F.json_object_keys(json), key), F.get_json_object(json, f"$.{key}")).otherwise(default.cast("string"))

@@ -71,6 +71,14 @@ def archive_or_forecast(df: DataFrame, day: str, today: Column) -> DataFrame:
     return df.withColumn("endpoint", F.when(F.col(day) <= today, "archive").otherwise("forecast"))
 
 
+def endpoint_ranges(df: DataFrame, start: str, end: str, today: Column) -> DataFrame:
+    """Each range of days as up to two: days up to today from the archive, later ones from the forecast. Empty ranges leave."""
+    past = F.struct(F.lit("archive").alias("endpoint"), F.col(start).alias("a"), F.least(F.col(end), today).alias("b"))
+    ahead = F.struct(F.lit("forecast").alias("endpoint"), F.greatest(F.col(start), F.date_add(today, 1)).alias("a"), F.col(end).alias("b"))
+    parts = df.withColumn("_part", F.explode(F.array(past, ahead))).where("_part.a <= _part.b")
+    return parts.withColumns({"endpoint": F.col("_part.endpoint"), start: F.col("_part.a"), end: F.col("_part.b")}).drop("_part")
+
+
 def new_granules(listing: DataFrame, done: DataFrame, tag: str, since: Column, name: str = "granule", ts: str = "sensed_at") -> DataFrame:
     """Catalogue entries whose name holds ``tag``, sensed since a time, that aren't in the state."""
     return unprocessed(listing.where(F.col(name).contains(tag) & (F.col(ts) >= since)), done, name)

@@ -19,17 +19,32 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def sniffed_separator(spark: SparkSession, path: str) -> str:
-    """Separator of a CSV, from its first line."""
-    line = spark.read.text(path).first()
+def _separator(line: str | None) -> str:
     try:
-        return csv.Sniffer().sniff(line[0], ",;\t|").delimiter if line else ","
+        return csv.Sniffer().sniff(line, ",;\t|").delimiter if line else ","
     except csv.Error:
         return ","
 
 
-def sensor_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """One sensor file: timestamp (UTC) and every known value column, null where the file lacks it.
+def sniffed_separator(spark: SparkSession, path: str) -> str:
+    """Separator of a CSV, from its first line."""
+    line = spark.read.text(path).first()
+    return _separator(line[0] if line else None)
+
+
+def header_groups(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, list[str]]]:
+    """(header line, files) of files, folders or globs, found in one job; files without a line are left out.
+
+    What reaches the driver is what listing the files holds anyway: their names, and their distinct headers.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(g.header, g.files) for g in groups]
+
+
+def sensor_csv(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
+    """One sensor file, or several of equal header: timestamp (UTC) and every known value column, null where the file lacks it.
 
     Undecodable bytes in headers are replaced; values are read as text and cast, so damage in a cell costs the cell only.
     """
@@ -41,11 +56,15 @@ def sensor_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFram
     return raw.select(F.try_to_timestamp(F.col(f"`{known['timestamp']}`")).alias("timestamp_utc"), *(value(c).alias(c) for c in SENSOR_VALUES), file_stem(F.input_file_name()).alias("stem"))
 
 
-def sensor_csvs(spark: SparkSession, paths: list[str], separator: str = ",") -> DataFrame:
-    """Several files, whose headers may differ, by name. The station is what precedes the first ``-`` and ``_`` of a stem."""
-    if not paths:
+def sensor_csvs(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+    """Files, folders or globs of sensor files, one scan per distinct header. Unless given, each header's separator is sniffed.
+
+    The station is what precedes the first ``-`` and ``_`` of a stem.
+    """
+    groups = header_groups(spark, paths) if paths else []
+    if not groups:
         raise ValueError("no sensor files")
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (sensor_csv(spark, p, separator) for p in paths))
+    rows = reduce(DataFrame.unionByName, (sensor_csv(spark, found, separator or _separator(header)) for header, found in groups))
     return rows.withColumn("station", F.split(F.split("stem", "-")[0], "_")[0])
 
 

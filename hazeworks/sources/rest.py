@@ -3,14 +3,19 @@
     register(spark)
     spark.read.format("paged_json").option("url", "https://...").option("requests", '[{"countries_id": 1}, ...]').load()
 
-``requests`` are the parameter sets to scan (regions, sensors, date chunks of ``hazeworks.operators.incremental.chunks``); each
-becomes a partition that walks its pages until an empty one or ``max_pages``. Rows are ``request`` (JSON) and ``json`` (one result).
-A reader keeps ``spacing`` seconds between its calls and retries busy or failing servers with doubling waits; rejected parameters
-(400, 422) give no rows, rejected credentials (401, 403) fail the query. With ``skip_failed`` a request that fails for good gives no rows.
+``requests`` are the parameter sets to scan (regions, sensors, date chunks of ``hazeworks.operators.incremental.chunks``). They are
+dealt to at most ``readers`` partitions, and each walks its requests' pages until an empty one. ``spacing`` is a key's time between
+calls: every reader waits that long times the number of readers, so all of them together keep the budget. ``max_pages`` (none unless
+given) ends a request early, with a row that says so.
+
+Rows are ``request`` (JSON) and ``json`` (one result), or ``error`` in its place. Busy or failing servers are tried again with doubling
+waits; other refusals are final. Rejected parameters (400, 422) give an error row, rejected credentials (401, 403) fail the query. With
+``skip_failed`` a request that fails for good gives an error row too, after the rows of its earlier pages.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import urllib.error
@@ -31,17 +36,31 @@ class AccessDenied(Exception):
     """The service refuses the credentials."""
 
 
+class Rejected(Exception):
+    """The service refuses the parameters."""
+
+
+def verify(url: str, key: str, header: str = "X-API-Key", **parameters: str) -> None:
+    """One small call before a load: raises if the service refuses the key."""
+    options = {"url": url, "api_key": key, "key_header": header, "attempts": "1"}
+    try:
+        PagedReader(options)._page({"limit": 1, "page": 1} | parameters)
+    except Rejected:
+        pass  # The key was accepted, only the parameters were not.
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.url, self.requests = options["url"], json.loads(options.get("requests", "[{}]"))
         self.results, self.page, self.limit = options.get("results", "results"), options.get("page_parameter", "page"), int(options.get("limit", 1000))
-        self.max_pages, self.attempts = int(options.get("max_pages", 50)), int(options.get("attempts", 4))
-        self.spacing, self.wait = float(options.get("spacing", 0)), float(options.get("wait", 1))
+        self.max_pages, self.attempts = int(options.get("max_pages", 0)), int(options.get("attempts", 4))
+        self.readers = max(1, min(int(options.get("readers", 4)), len(self.requests)))
+        self.spacing, self.wait = float(options.get("spacing", 0)) * self.readers, float(options.get("wait", 1))
         self.key, self.header = options.get("api_key"), options.get("key_header", "X-API-Key")
         self.skip_failed = options.get("skip_failed", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(json.dumps(r, sort_keys=True)) for r in self.requests]
+        return [InputPartition(self.requests[i :: self.readers]) for i in range(self.readers)]
 
     def _page(self, parameters: dict) -> list:
         request = urllib.request.Request(f"{self.url}?{urllib.parse.urlencode(parameters)}", headers={self.header: self.key} if self.key else {})
@@ -52,9 +71,11 @@ class PagedReader(DataSourceReader):
                     return json.load(answer).get(self.results) or []
             except urllib.error.HTTPError as e:
                 if e.code in (400, 422):
-                    return []
+                    raise Rejected(f"rejected: {e.code}") from e
                 if e.code in (401, 403):
                     raise AccessDenied(f"{self.url}: {e.code}") from e
+                if e.code not in (408, 429) and e.code < 500:
+                    raise ConnectionError(f"{self.url}: {e.code}") from e
                 failed = e
             except (urllib.error.URLError, TimeoutError) as e:
                 failed = e
@@ -63,15 +84,26 @@ class PagedReader(DataSourceReader):
         raise ConnectionError(f"{self.url} failed {self.attempts} times") from failed
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            for page in range(1, self.max_pages + 1):
-                found = self._page(json.loads(partition.value) | {"limit": self.limit, self.page: page})
-                yield from ((partition.value, json.dumps(r)) for r in found)
-                if not found:
-                    return
-        except ConnectionError:
-            if not self.skip_failed:
-                raise
+        for request in partition.value:
+            name = json.dumps(request, sort_keys=True)
+            try:
+                yield from self._pages(name, request)
+            except Rejected as e:
+                yield name, None, str(e)
+            except ConnectionError as e:
+                if not self.skip_failed:
+                    raise
+                yield name, None, str(e)
+
+    def _pages(self, name: str, request: dict) -> Iterator[tuple]:
+        for page in itertools.count(1):
+            if self.max_pages and page > self.max_pages:
+                yield name, None, f"ended after {self.max_pages} pages"
+                return
+            found = self._page(request | {"limit": self.limit, self.page: page})
+            yield from ((name, json.dumps(r), None) for r in found)
+            if not found:
+                return
 
 
 class PagedJson(DataSource):
@@ -80,7 +112,7 @@ class PagedJson(DataSource):
         return "paged_json"
 
     def schema(self) -> str:
-        return "request string, json string"
+        return "request string, json string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options))

@@ -41,6 +41,22 @@ def test_sensor_csvs(spark, tmp_path):
     assert south.first().co2 == 400.0
     with pytest.raises(ValueError):
         files.sensor_csvs(spark, [])
+    (tmp_path / "south_b-1HR.csv").write_text("timestamp;CO2 (ppm) corrected\n2026-01-21 12:00:00+08:00;500\n")
+    (tmp_path / "empty-1HR.csv").write_text("")
+    assert [len(found) for _, found in files.header_groups(spark, str(tmp_path))] == [1, 2]
+    both = files.sensor_csvs(spark, f"{tmp_path}/*.csv")
+    assert sorted((r.station, r.co2) for r in both.where("co2 is not null").collect()) == [("south", 400.0), ("south", 500.0)]
+    assert both.where("station = 'north'").count() == north.count()
+
+
+def test_defaults_and_ranges(spark):
+    assert headers.pick(["pm25 corr", "PM2.5 x", "pm 25"], ["pm25"], exact=True) == "pm25 corr" and headers.pick(["pm25b", "pm10"], ["pm25"], exact=True) is None
+    df = spark.createDataFrame([(1, '{"a": 5}'), (2, '{"a": null}'), (3, '{"b": 1}'), (4, None)], "id int, json string")
+    got = df.orderBy("id").select(scalar.field_or_default(F.col("json"), "a", F.lit(9)).alias("a"), scalar.text_or_unknown(F.col("json")).alias("t")).collect()
+    assert [r.a for r in got] == ["5", None, "9", "9"] and got[3].t == "unknown"
+    days = spark.sql("SELECT id, date(a) AS a, date(b) AS b FROM VALUES (1, '2024-01-01', '2024-01-09'), (2, '2024-01-05', '2024-01-05'), (3, '2024-01-06', '2024-01-07') AS t(id, a, b)")
+    parts = incremental.endpoint_ranges(days, "a", "b", F.lit("2024-01-05").cast("date"))
+    assert sorted((r.id, r.endpoint, r.a.day, r.b.day) for r in parts.collect()) == [(1, "archive", 1, 5), (1, "forecast", 6, 9), (2, "archive", 5, 5), (3, "forecast", 6, 7)]
 
 
 def test_location_documents(spark, tmp_path):

@@ -40,12 +40,22 @@ def url():
 def test_paged_scan(spark, url):
     rest.register(spark)
     read = lambda regions, **o: spark.read.format("paged_json").options(url=url, requests=json.dumps([{"region": r} for r in regions]), wait="0.01", attempts="2", **o).load()
-    got = read([1, 2, 9]).select(F.get_json_object("json", "$.id").alias("id")).collect()
+    everything = read([1, 2, 9])
+    assert [(r.request, r.error) for r in everything.where("error is not null").collect()] == [('{"region": 9}', "rejected: 422")]
+    got = everything.where("error is null").select(F.get_json_object("json", "$.id").alias("id")).collect()
     assert sorted(r.id for r in got) == sorted(f"{r}-{p}-{i}" for r in (1, 2) for p in (1, 2) for i in (0, 1))
-    assert read([1, 7], skip_failed="true").count() == 4 and read([1], max_pages="1").count() == 2
+    for found, error in ((read([1, 7], skip_failed="true"), "failed 2 times"), (read([1, 1], max_pages="1"), "ended after 1 pages")):
+        assert found.where("json is not null").count() == 4 and found.where(F.col("error").contains(error)).count() > 0
+    assert read([1, 2, 1, 2, 1], readers="2").rdd.getNumPartitions() == 2
     with pytest.raises(Exception, match="403"):
         read([8]).count()
     assert rest.spacing(45, 1500) == 2.4
+    budget = lambda n: rest.PagedReader({"url": url, "requests": json.dumps([{}] * n), "spacing": "1"})
+    assert [(budget(n).spacing, len(budget(n).partitions())) for n in (1, 3, 1000)] == [(1, 1), (3, 3), (4, 4)]
+    rest.verify(url, "k", region="1")
+    rest.verify(url, "k", region="9")
+    with pytest.raises(rest.AccessDenied):
+        rest.verify(url, "k", region="8")
 
 
 def test_sinks(spark, tmp_path):
