@@ -7,7 +7,8 @@ runs of other characters than a-z and 0-9 become one space), its distinct word b
 Notices that fill no segment, such as one inside a sentence or one with blank lines in a longer text, are found in windows of the
 normalised text: wherever one of a template's anchors (its bigrams that hold a gate word) occurs, the window of the template's length
 that is aligned with it is compared. Each template's best window, the first on ties, counts as a match of kind ``window`` at its first word. A document's licence
-is that of its best match, the larger template's on ties, then the first name.
+is that of the match whose template has most bigrams found less those missing, so that a short notice that is part of a longer one, or the
+start of it, doesn't stand for it; then that of the larger coefficient, then the first name.
 
 Two bounds keep this cheap, both exact. Size: Dice t needs between ``t / (2 - t)`` and ``(2 - t) / t`` times the template's
 bigrams. Words: a match shares at least ``t / (2 - t)`` of a template's bigrams, so it must contain one of a few gate words,
@@ -30,40 +31,79 @@ from pyspark.sql import functions as F
 #: Percent.
 THRESHOLD = 80
 
-#: Public licence notices.
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+        HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+        ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution."""
+_ENDORSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software."""
+
+#: Public licence notices; names in -full are whole licence texts below their copyright line.
 TEMPLATES = {
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
         the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
         agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
         KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
-        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-        disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "BSD-2-Clause": _BSD,
+    "BSD-2-Clause-full": f"{_BSD} {_AS_IS}",
+    "BSD-3-Clause": f"{_BSD} {_ENDORSE}",
+    "BSD-3-Clause-full": f"{_BSD} {_ENDORSE} {_AS_IS}",
     "BSD-statement": "Released under the BSD License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
         as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
         distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
         FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
-        the above copyright notice and this permission notice appear in all copies.""",
+    "ISC": _ISC,
+    "ISC-full": f"""{_ISC} THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This
+        library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     "MIT": "Released under the MIT License.",
-    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
-        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
-        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
-        subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
-        substantial portions of the Software.""",
+    "MIT-full": f"""{_MIT} THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-text": _MIT,
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
         this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
 #: Words too common in prose to gate on.
-COMMON = frozenset("a an and any are as at be by do for in is it not of on or that the this to was with you".split())
+COMMON = frozenset("a action all an and any are as at be by copy do for in including is it may must not of on or shall source that the this to use version was with without you".split())
 
 
 def _pairs(text: str) -> list[tuple[str, str]]:
@@ -135,20 +175,21 @@ def _windows(b: Column, templates: dict[str, str], threshold: int) -> Column:
     def rated(c: Column) -> Column:
         def dice(x: Column) -> Column:
             own = F.array_distinct(F.slice(b, F.floor(c / len(names)).cast("int") + 1, x["n"]))
-            return _let(own, lambda w: F.struct((-2.0 * F.size(F.array_intersect(w, x["b"])) / (F.size(w) + F.size(x["b"]))).alias("d"), F.floor(c / len(names)).cast("int").alias("i"), x["t"].alias("t")))
+            met = _let(own, lambda w: F.struct(F.size(F.array_intersect(w, x["b"])).alias("shared"), F.size(w).alias("own")))
+            return _let(met, lambda m: F.struct((-2.0 * m["shared"] / (m["own"] + F.size(x["b"]))).alias("d"), F.floor(c / len(names)).cast("int").alias("i"), x["t"].alias("t"), m["shared"].alias("shared")))
 
         return _let(F.get(table, (c % len(names)).cast("int")), dice)
 
     def least(near: Column) -> Column:
         one = lambda x: F.array_min(F.filter(near, lambda r: r["t"] == x["t"]))
-        each = F.transform(table, lambda x: _let(one(x), lambda r: F.struct(F.lit("window").alias("kind"), r["i"].alias("i"), F.when(r.isNotNull(), F.struct(r["d"].alias("d"), x["name"].alias("name"))).alias("best"))))
+        each = F.transform(table, lambda x: _let(one(x), lambda r: F.struct(F.lit("window").alias("kind"), r["i"].alias("i"), F.when(r.isNotNull(), F.struct(r["d"].alias("d"), x["name"].alias("name"), r["shared"].alias("shared"))).alias("best"))))
         return F.filter(each, lambda s: s["best"].isNotNull())
 
     return _let(F.filter(F.transform(starts, rated), lambda r: -100 * r["d"] >= threshold), least)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: licence and dice of its best segment, number of matches (segments and windows), and all of them as text."""
+    """One row per document: licence and dice of its best match, number of matches (segments and windows), and all of them as text."""
     chosen = TEMPLATES if templates is None else templates
     sets = {name: sorted(bigrams(body)) for name, body in sorted(chosen.items()) if bigrams(body)}
     table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in sets.items()))
@@ -172,16 +213,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
             shared = F.transform(fitting, lambda x: F.struct(F.size(F.array_intersect(b, x["bigrams"])).alias("shared"), (own + x["size"]).alias("both"), x["name"].alias("name")))
             near = F.filter(shared, lambda x: 200 * x["shared"] >= threshold * x["both"])
             # The largest coefficient first, then the first name.
-            return F.array_min(F.transform(near, lambda x: F.struct((-2.0 * x["shared"] / x["both"]).alias("d"), x["name"].alias("name"))))
+            return F.array_min(F.transform(near, lambda x: F.struct((-2.0 * x["shared"] / x["both"]).alias("d"), x["name"].alias("name"), x["shared"].alias("shared"))))
 
         return F.element_at(F.transform(F.array(F.array_distinct(_bigrams(s["s"]))), lambda b: F.when(F.size(b).between(smallest, largest), rated(b))), 1)
 
     found = F.transform(segments, lambda s: F.struct(s["kind"].alias("kind"), s["i"].alias("i"), best(s).alias("best")))
     matches = F.concat(F.filter(found, lambda s: s["best"].isNotNull()), _let(_bigrams(t), lambda b: _windows(b, chosen, threshold)))
-    none = F.array().cast("array<struct<kind:string,i:int,best:struct<d:double,name:string>>>")
+    none = F.array().cast("array<struct<kind:string,i:int,best:struct<d:double,name:string,shared:int>>>")
     rows = docs.select(F.col(key).alias("doc_id"), F.when(F.lower(t).rlike(gate), matches).otherwise(none).alias("m"))
-    sizes = F.create_map(*(F.lit(x) for n, b in sets.items() for x in (n, -len(b))))
-    # A template may be part of another: of equal matches the larger template's counts.
-    top = F.array_min(F.transform("m", lambda s: F.struct(s["best"]["d"].alias("d"), F.element_at(sizes, s["best"]["name"]).alias("size"), s["best"]["name"].alias("name"))))
+    sizes = F.create_map(*(F.lit(x) for n, b in sets.items() for x in (n, len(b))))
+    missing = lambda m: F.element_at(sizes, m["name"]) - 2 * m["shared"]
+    top = F.array_min(F.transform("m", lambda s: F.struct(missing(s["best"]).alias("missing"), s["best"]["d"].alias("d"), s["best"]["name"].alias("name"))))
     said = F.transform("m", lambda s: F.concat_ws(":", s["kind"], s["i"].cast("string"), s["best"]["name"], F.round(-s["best"]["d"], 4).cast("string")))
     return rows.select("doc_id", top["name"].alias("license"), F.round(-top["d"], 4).alias("dice"), F.size("m").cast("long").alias("n_matches"), F.array_join(said, ",").alias("matches"))

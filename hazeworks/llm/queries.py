@@ -183,7 +183,7 @@ WITH templates(name, b, n) AS (VALUES TEMPLATES), anchors(name, x, o) AS (VALUES
   UNION ALL SELECT doc_id, 4, 'window', i, name, shared, total, size, round(2.0::DOUBLE * shared / total, 4), row_number() OVER (PARTITION BY r, name ORDER BY 2.0::DOUBLE * shared / total DESC, i)
   FROM near WHERE 200 * shared >= 80 * total
 ), found AS (
-  SELECT doc_id, arg_min(name, (-(2.0::DOUBLE * shared / total), -size, name)) AS license, max(d) AS dice, count(*) AS n_matches, string_agg(kind || ':' || i || ':' || name || ':' || d, ',' ORDER BY part, CASE part WHEN 4 THEN 0 ELSE i END, name) AS matches
+  SELECT doc_id, arg_min(name, (size - 2 * shared, -(2.0::DOUBLE * shared / total), name)) AS license, arg_min(d, (size - 2 * shared, -(2.0::DOUBLE * shared / total), name)) AS dice, count(*) AS n_matches, string_agg(kind || ':' || i || ':' || name || ':' || d, ',' ORDER BY part, CASE part WHEN 4 THEN 0 ELSE i END, name) AS matches
   FROM best WHERE n = 1 GROUP BY doc_id
 )
 SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM documents d LEFT JOIN found USING (doc_id)

@@ -16,14 +16,15 @@ def brute(text):
         own = bigrams(s)
         rated = [(-2 * len(own & t) / (len(own) + len(t)), n) for n, t in ((n, bigrams(b)) for n, b in TEMPLATES.items()) if 200 * len(own & t) >= THRESHOLD * (len(own) + len(t))]
         if own and rated:
-            out.append((kind, i, min(rated)[1]))
+            out.append((kind, i, min(rated)[1], len(own & bigrams(TEMPLATES[min(rated)[1]])), min(rated)[0]))
     words = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()
     for name in sorted(TEMPLATES):
         own, n = bigrams(TEMPLATES[name]), licenses.length(TEMPLATES[name])
         starts = {max(i - o, 0) for i, x in enumerate(zip(words, words[1:])) for o in PLACES.get((name, " ".join(x)), ())}
-        near = [(-2 * len(w & own) / (len(w) + len(own)), i) for i in starts for w in [bigrams(" ".join(words[i : i + n + 1]))] if 200 * len(w & own) >= THRESHOLD * (len(w) + len(own))]
+        near = [(-2 * len(w & own) / (len(w) + len(own)), i, len(w & own)) for i in starts for w in [bigrams(" ".join(words[i : i + n + 1]))] if 200 * len(w & own) >= THRESHOLD * (len(w) + len(own))]
         if near:
-            out.append(("window", min(near)[1], name))
+            d, i, shared = min(near)
+            out.append(("window", i, name, shared, d))
     return out
 
 
@@ -33,8 +34,10 @@ def check(docs):
     assert len(rows) == len(texts)
     for r in rows:
         want = brute(texts[r.doc_id])
-        assert [tuple(m.split(":")[:3]) for m in r.matches.split(",") if m] == [(k, str(i), n) for k, i, n in want], texts[r.doc_id][:200]
+        assert [tuple(m.split(":")[:3]) for m in r.matches.split(",") if m] == [(k, str(i), n) for k, i, n, _, _ in want], texts[r.doc_id][:200]
         assert r.n_matches == len(want)
+        best = min(((len(bigrams(TEMPLATES[n])) - 2 * shared, d, n) for _, _, n, shared, d in want), default=(0, None, None))
+        assert (r.license, r.dice) == (best[2], best[1] and round(-best[1], 4))
     return rows
 
 
@@ -66,6 +69,16 @@ def test_published_layouts_and_notices_in_prose(spark):
     assert {r.doc_id: r.license for r in rows} == {i: n for i, (n, _) in texts.items()}
 
 
+def test_families_are_told_apart(spark):
+    """Names of holders differ, prose and code surround the notice, and shorter templates are part of longer ones."""
+    around = "Copyright (c) 2020 Someone\n\n{}\n\nimport os  # derived from older work without permission notice of any kind\n" + "x = 1\n" * 30
+    changed = {n: TEMPLATES[n].replace("the copyright holder nor", "Some Company Ltd. nor").replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") for n in TEMPLATES}
+    names = [n for n in TEMPLATES for _ in range(2)]
+    texts = [around.format(body) for n in TEMPLATES for body in (TEMPLATES[n], changed[n])]
+    rows = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.license for r in rows} == dict(enumerate(names))
+
+
 def test_repeated_notices_stay_linear(spark):
     check(spark.createDataFrame([(1, (TEMPLATES["MIT-text"] + "\n") * 20), (2, "license software " * 3000)], "doc_id long, text string"))
 
