@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeworks.llm import bpe, licenses, mixing, neardup, pii, quality, search, sharding, substrings, warc
+from hazeworks.llm import bpe, licenses, merkle, mixing, neardup, pii, quality, repeats, search, sharding, substrings, vectors, warc
 from hazeworks.llm.common import scratch_path
 
 
@@ -61,6 +61,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectors.quantize(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
+    digest = F.lit(vectors.codebooks_digest(books)).alias("codebooks_sha256")
+    return vectors.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = [F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if c == "text" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf(*lowered))
+    rows = merkle.manifest(_documents(spark, sf_dir), columns, "source", "doc_id", carried={"tampered": tampered})
+    seen = merkle.verified(rows.withColumn("seen", F.coalesce("tampered", "leaf")), "seen")
+    return seen.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -73,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_bpe": op9_bpe,
         "op10_licenses": op10_licenses,
+        "op11_vectors": op11_vectors,
+        "op12_merkle": op12_merkle,
+        "op13_repeats": op13_repeats,
     }
 
 
