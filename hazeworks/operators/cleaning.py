@@ -1,11 +1,14 @@
-"""Cleaning of time series: bounds, flat lines, rolling outliers. Every window is partitioned by the series' keys."""
+"""Cleaning of time series: bounds, flat lines, rolling outliers. Windows run within segments of series (see ``segments``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeworks.functions.scalar import round2
+from hazeworks.operators import segments
 
 #: Inclusive limits of plausible readings.
 BOUNDS = {"pm25": (0.0, 500.0), "pm10": (0.0, 600.0), "temperature_c": (-10.0, 60.0), "humidity_pct": (0.0, 100.0)}
@@ -20,63 +23,68 @@ def bounded(df: DataFrame, limits: dict[str, tuple[float, float]], mode: str = "
     return df.withColumns({c: F.when(F.col(c).between(low, high), F.col(c)) for c, (low, high) in limits.items()})
 
 
-def _run_lengths(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
-    """Adds _len, the length of each row's run of equal values; a null equals nothing, so it is a run of its own."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    runs = df.withColumn("_v", value).withColumn("_break", F.when(F.col("_v") == F.lag("_v").over(w), 0).otherwise(1))
-    runs = runs.withColumn("_run", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.withColumn("_len", F.count("*").over(Window.partitionBy(*keys, "_run")))
+def _dropped(df: DataFrame, order: list[str], column: str, max_run: int, rounded: Column | None = None) -> DataFrame:
+    value = round2(F.col(column)) if rounded is None else rounded
+    return segments.run_lengths(df, order, {"_len": value}, skip_nulls=False).where(F.col("_len") < max_run).drop("_len")
 
 
-def drop_flatlines(df: DataFrame, keys: list[str], order: list[str], column: str, max_run: int = 4, rounded: Column | None = None) -> DataFrame:
-    """Rows of runs of ``max_run`` or more equal values leave. Nulls stay and end a run."""
-    value = round2(F.col(column)) if rounded is None else rounded
-    return _run_lengths(df, keys, order, value).where(F.col("_len") < max_run).drop("_v", "_break", "_run", "_len")
+def _nulled(df: DataFrame, order: list[str], values: dict[str, Column], max_run: int) -> DataFrame:
+    lengths = segments.run_lengths(df, order, {f"_len_{c}": F.when(F.col(c).isNotNull(), v) for c, v in values.items()}, skip_nulls=True)
+    return lengths.withColumns({c: F.when(F.col(f"_len_{c}") < max_run, F.col(c)) for c in values}).drop(*(f"_len_{c}" for c in values))
+
+
+def _rolled(df: DataFrame, order: list[str], column: str, window: int, z_max: float, least: int, rows: int | None) -> DataFrame:
+    c = F.col(column)
+    found = lambda w: {"_n": F.count(c).over(w), "_med": F.percentile(c, F.lit(0.5)).over(w), "_sd": F.stddev_samp(c).over(w)}
+    stats = segments.framed(df, order, window // 2, (window - 1) // 2, found, rows)
+    off = (F.col("_n") >= least) & (F.try_divide(F.abs(c - F.col("_med")), F.col("_sd")) > z_max)
+    return stats.where(c.isNotNull() & ~F.coalesce(off, F.lit(False))).drop("_n", "_med", "_sd")
+
 
+def drop_flatlines(df: DataFrame, keys: list[str], order: list[str], column: str, max_run: int = 4, rounded: Column | None = None, rows: int | None = None) -> DataFrame:
+    """Rows of runs of ``max_run`` or more equal values leave. Nulls stay and end a run. ``rows``: of a segment (see ``segments``)."""
+    return segments.plain(_dropped(segments.segmented(df, keys, order, rows), order, column, max_run, rounded))
 
-def null_flatlines(df: DataFrame, keys: list[str], order: list[str], column: str, max_run: int = 3, rounded: Column | None = None) -> DataFrame:
+
+def null_flatlines(df: DataFrame, keys: list[str], order: list[str], column: str, max_run: int = 3, rounded: Column | None = None, rows: int | None = None) -> DataFrame:
     """Cells of runs of ``max_run`` or more equal values become null. Nulls are skipped: a run goes on across them."""
     value = round2(F.col(column)) if rounded is None else rounded
-    runs = _run_lengths(df.withColumn("_null", F.col(column).isNull()), [*keys, "_null"], order, value)
-    return runs.withColumn(column, F.when(~F.col("_null") & (F.col("_len") < max_run), F.col(column))).drop("_null", "_v", "_break", "_run", "_len")
+    return segments.plain(_nulled(segments.segmented(df, keys, order, rows), order, {column: value}, max_run))
 
 
-def rolling_outliers(df: DataFrame, keys: list[str], order: list[str], column: str, window: int = 12, z_max: float = 3.0, least: int = 6) -> DataFrame:
+def rolling_outliers(df: DataFrame, keys: list[str], order: list[str], column: str, window: int = 12, z_max: float = 3.0, least: int = 6, rows: int | None = None) -> DataFrame:
     """Rows whose value is null, or over ``z_max`` sample deviations off the centred rolling median, leave.
 
     An even window reaches one row further back than ahead. With fewer than ``least`` values, or no deviation, a row stays.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window // 2), (window - 1) // 2)
-    c = F.col(column)
-    stats = df.withColumns({"_n": F.count(c).over(w), "_med": F.percentile(c, F.lit(0.5)).over(w), "_sd": F.stddev_samp(c).over(w)})
-    off = (F.col("_n") >= least) & (F.try_divide(F.abs(c - F.col("_med")), F.col("_sd")) > z_max)
-    return stats.where(c.isNotNull() & ~F.coalesce(off, F.lit(False))).drop("_n", "_med", "_sd")
+    return segments.plain(_rolled(segments.segmented(df, keys, order, rows), order, column, window, z_max, least, rows))
 
 
-def clean_ten_minute(df: DataFrame, keys: list[str], ts: str, limits: dict[str, tuple[float, float]], flat: list[str], rolled: list[str]) -> DataFrame:
+def clean_ten_minute(df: DataFrame, keys: list[str], ts: str, limits: dict[str, tuple[float, float]], flat: list[str], rolled: list[str], rows: int | None = None) -> DataFrame:
     """Bounds, then flat lines column by column, then rolling outliers column by column, each on the rows that are left."""
-    df = bounded(df, limits, "drop")
-    for c in flat:
-        df = drop_flatlines(df, keys, [ts], c, 4)
-    for c in rolled:
-        df = rolling_outliers(df, keys, [ts], c)
-    return df
+    passes = [lambda d, c=c: _dropped(d, [ts], c, 4) for c in flat] + [lambda d, c=c: _rolled(d, [ts], c, 12, 3.0, 6, rows) for c in rolled]
+    return _in_turn(bounded(df, limits, "drop"), keys, ts, passes, rows)
 
 
-def clean_hourly(df: DataFrame, keys: list[str], ts: str, limits: dict[str, tuple[float, float]], flat: list[str]) -> DataFrame:
+def clean_hourly(df: DataFrame, keys: list[str], ts: str, limits: dict[str, tuple[float, float]], flat: list[str], rows: int | None = None) -> DataFrame:
     """Bounds and flat lines of hourly data, rows dropped."""
-    df = bounded(df, limits, "drop")
-    for c in flat:
-        df = drop_flatlines(df, keys, [ts], c, 3)
-    return df
-
-
-def clean_stored(df: DataFrame, keys: list[str] = ["location_key"], ts: str = "timestamp_utc", limits: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:  # noqa: B006
-    """Bounds and flat lines of stored measurements, cells nulled."""
-    df = bounded(df, limits)
-    for c in limits:
-        df = null_flatlines(df, keys, [ts], c, 3)
-    return df
+    return _in_turn(bounded(df, limits, "drop"), keys, ts, [lambda d, c=c: _dropped(d, [ts], c, 3) for c in flat], rows)
+
+
+def _in_turn(df: DataFrame, keys: list[str], ts: str, passes: list[Callable[[DataFrame], DataFrame]], rows: int | None) -> DataFrame:
+    """Passes one after the other over one segmented table; what each leaves is written for the next."""
+    if not passes:
+        return df
+    held = segments.segmented(df, keys, [ts], rows)
+    for step in passes[:-1]:
+        held = segments.settled(step(held), keys)
+    return segments.plain(passes[-1](held))
+
+
+def clean_stored(df: DataFrame, keys: list[str] = ["location_key"], ts: str = "timestamp_utc", limits: dict[str, tuple[float, float]] = BOUNDS, rows: int | None = None) -> DataFrame:  # noqa: B006
+    """Bounds and flat lines of stored measurements, cells nulled; all columns in one pass, as nulling one doesn't move another's runs."""
+    held = segments.segmented(bounded(df, limits), keys, [ts], rows)
+    return segments.plain(_nulled(held, [ts], {c: round2(F.col(c)) for c in limits}, 3))
 
 
 def nulled_cells(raw: DataFrame, clean: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
