@@ -15,9 +15,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], mode: str = "coalesc
 
     ``coalesce`` keeps a stored value where the new one is null; ``overwrite`` takes the whole new row. Columns in ``first``
     keep the stored value of a known key. ``now`` are columns set on inserted and updated rows. New rows are made unique by
-    key before, by ``newest`` (any order unless given). Columns that only one side has are null on the other.
+    key before, by ``newest``; unless that is given the row of largest values, column by column, is taken. Columns that only one side has are null on the other.
     """
-    new = first_per_key(new, keys, newest or [F.lit(1)])
+    new = first_per_key(new, keys, newest or [F.col(c).desc_nulls_last() for c in new.columns if c not in keys] or [F.lit(1)])
     columns = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
     o = old.select(*keys, *(F.col(c).alias(f"_o_{c}") for c in old.columns if c not in keys), F.lit(True).alias("_old"))
     n = new.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in new.columns if c not in keys), F.lit(True).alias("_new"))
@@ -38,6 +38,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], mode: str = "coalesc
         if now and c in now:
             value = F.when(F.col("_new"), now[c]).otherwise(stored)
         out.append(value.alias(c))
+    out += [F.when(F.col("_new"), value).alias(c) for c, value in (now or {}).items() if c not in columns]
     return both.select(*keys, *out)
 
 

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazeworks import shared
 from hazeworks.functions import scalar
 from hazeworks.operators import cleaning, incremental, merge, models, raster, series, spatial, splits
 from hazeworks.plans import views
+from hazeworks.sources import versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,7 +80,12 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FLAT + "SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS value FROM clean GROUP BY ALL HAVING count(ts) >= 5")
 def hourly_cleaned_series(spark, sf_dir):
-    return naive(series.hourly_mean(_cleaned(spark, sf_dir), ["event_type"], "ts", ["value"], 5), "hour")
+    return cleaned_hours(spark, sf_dir, 5)
+
+
+def cleaned_hours(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """Hourly means of cleaned readings, of hours with ``least`` readings or more."""
+    return naive(series.hourly_mean(_cleaned(spark, sf_dir), ["event_type"], "ts", ["value"], least), "hour")
 
 
 @query("SELECT event_id, CASE WHEN value BETWEEN 10 AND 200 THEN value END AS value FROM events")
@@ -447,6 +454,21 @@ def _upserted(spark, sf_dir, mode):
     return naive(merge.upsert(half(0), half(1), ["user_id", "day"], mode), "day")
 
 
+@query("""WITH h AS (SELECT event_type AS city, (user_id % 50) / 4.0::DOUBLE AS latitude, (user_id % 7) / 4.0::DOUBLE AS longitude, date_trunc('day', ts) AS day, avg(value) AS value, min(event_id) AS made FROM events GROUP BY ALL),
+n AS (SELECT city, latitude, longitude, day + INTERVAL 3 DAY AS day, CASE WHEN value < 60 THEN value END AS value, made + 1000000 AS made FROM h)
+SELECT coalesce(h.city, n.city) AS city, coalesce(h.latitude, n.latitude) AS latitude, coalesce(h.longitude, n.longitude) AS longitude, coalesce(h.day, n.day) AS day,
+coalesce(n.value, h.value) AS value, coalesce(h.made, n.made) AS made, CASE WHEN n.city IS NOT NULL THEN TIMESTAMP '2024-06-01' END AS seen
+FROM h FULL JOIN n ON h.city = n.city AND h.latitude = n.latitude AND h.longitude = n.longitude AND h.day = n.day""")
+def versioned_merge(spark, sf_dir):
+    """Daily means by a key of four columns, merged with those of three days before into a table of versions, whose second one is read."""
+    cell = lambda n: (F.col("user_id") % n / 4).cast("double")
+    days = events(spark, sf_dir).groupBy(F.col("event_type").alias("city"), cell(50).alias("latitude"), cell(7).alias("longitude"), F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("value"), F.min("event_id").alias("made"))
+    later = days.withColumns({"day": F.col("day") + F.expr("INTERVAL 3 DAYS"), "value": F.when(F.col("value") < 60, F.col("value")), "made": F.col("made") + 1000000})
+    table_ = versioned.Versioned.create(spark, shared.scratch(spark, "days"), days, ["city", "latitude", "longitude", "day"], "date_format(day, 'yyyy-MM-dd')")
+    table_.merge(later, first=["made"], now={"seen": ts("2024-06-01")})
+    return naive(table_.read(), "day", "seen")
+
+
 # Views
 
 

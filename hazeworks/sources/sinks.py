@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeworks.functions.scalar import nan_to_null
-from hazeworks.operators.merge import replace_table
 from hazeworks.operators.series import band_statistics
+from hazeworks.sources.versioned import Versioned
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -29,8 +29,18 @@ def write_surfaces(df: DataFrame, path: str, layers: list[str], value: str = "es
 
 
 def save_state(done: DataFrame, path: str) -> DataFrame:
-    """Replace a state table after its work succeeded."""
-    return replace_table(done, path)
+    """Replace a state table after its work succeeded: a new version, so that a reader finds a whole one at any moment."""
+    table = Versioned(done.sparkSession, path)
+    if table.versions():
+        table.replace(done)
+    else:
+        Versioned.create(done.sparkSession, path, done, done.columns, "'all'")
+    return table.read()
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state table's current version."""
+    return Versioned(spark, path).read()
 
 
 #: Table -> columns.

@@ -46,7 +46,8 @@ def test_against_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["event_type", "hour", "value"]
+    found = entry.entry(spark)
+    assert found.columns == ["event_type", "hour", "value"] and not found.isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
