@@ -74,12 +74,17 @@ def running(values: Column, join: Callable[[Column, Column], Column], zero: Colu
     return bind(values, folded)
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with columns of these names (in any case) renamed, and what brings ``docs``'s own columns back from a result."""
+    """``docs`` with columns of these names (in any case), and of such as need quotes, renamed, and what brings ``docs``'s own columns back from a result."""
     taken = {n.lower() for n in names}
-    renamed = {c: f"_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in taken}
+    renamed = {c: f"_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in taken or not c.isidentifier()}
     columns = docs.columns
-    return docs.withColumnsRenamed(renamed), lambda out: out.select(*(F.col(f"`{renamed.get(c, c)}`").alias(c) for c in columns))
+    return docs.withColumnsRenamed(renamed), lambda out: out.select(*(quoted(renamed.get(c, c)).alias(c) for c in columns))
 
 
 def words(text: Column) -> Column:

@@ -192,6 +192,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     """One row per document: licence and dice of its best match, number of matches (segments and windows), and all of them as text."""
     chosen = TEMPLATES if templates is None else templates
     sets = {name: sorted(bigrams(body)) for name, body in sorted(chosen.items()) if bigrams(body)}
+    if not sets:  # nothing to compare with
+        return docs.select(F.col(key).alias("doc_id"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit(0).cast("long").alias("n_matches"), F.lit("").alias("matches"))
     table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for n, b in sets.items()))
     smallest = min(least_shared(len(b), threshold) for b in sets.values())
     largest = max(len(b) * (200 - threshold) // threshold for b in sets.values())

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeworks.llm.common import materialize
+from hazeworks.llm.common import materialize, quoted
 
 #: Up to this many sources, the table of rates (some 100 bytes a row plus its CDF) is broadcast; beyond it, joined with salt.
 BROADCAST_SOURCES = 10_000
@@ -62,7 +62,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: the input's columns plus mix_rate, mix_copies, mix_copy and mix_order, globally shuffled."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [quoted(c) for c in docs.columns if c not in ADDED]
     own = lambda name: f"_{name}_{uuid.uuid4().hex}"
     table = rates(docs, weights, temperature, source, text)
     names = {c: own(c) for c in table.columns}

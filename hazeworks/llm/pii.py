@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeworks.llm.common import bind, running
+from hazeworks.llm.common import bind, quoted, running
 
 #: Characters before and after a span that are searched for context words.
 CONTEXT_CHARS = 40
@@ -115,7 +115,7 @@ def _spans(text: Column, kind: Kind) -> Column:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Input columns plus pii_<kind> (spans of each kind), one array column per kind of ``KINDS``."""
-    kept = [c for c in docs.columns if not c.startswith("pii_")]
+    kept = [quoted(c) for c in docs.columns if not c.startswith("pii_")]
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(*kept, *(_spans(t, kind).alias(f"pii_{kind.name}") for kind in KINDS))
 

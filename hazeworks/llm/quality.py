@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeworks.llm.common import SPACES, materialize, words
+from hazeworks.llm.common import SPACES, materialize, quoted, words
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are estimated.
@@ -99,7 +99,7 @@ def _measured(docs: DataFrame, text: str, wanted: Column | None = None) -> DataF
 
     Each array is a column of its own projection: it is used more than once by the next, so it is computed once per row.
     """
-    kept = [c for c in docs.columns if c not in COLUMNS]
+    kept = [quoted(c) for c in docs.columns if c not in COLUMNS]
     t = F.coalesce(F.col(text), F.lit(""))
     without = lambda chars: F.length(F.translate(t, chars, "")).cast("long")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -178,4 +178,4 @@ def keep_documents(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     for rule in ordered:
         first = first if rule.repeats else first.when(rule.rejects, F.lit(rule.name))
     rows = _measured(docs, text, first.isNull()).where(F.col("n_repeat_words").isNotNull())
-    return rows.where(verdict([r for r in ordered if r.repeats], _failed()).isNull()).select(*docs.columns)
+    return rows.where(verdict([r for r in ordered if r.repeats], _failed()).isNull()).select(*map(quoted, docs.columns))

@@ -86,3 +86,8 @@ def test_repeated_notices_stay_linear(spark):
 def test_driver_documents(spark):
     rows = check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert any(r.license for r in rows)
+
+
+def test_no_templates(spark, edge_docs):
+    rows = licenses.scan(edge_docs, templates={}).collect()
+    assert len(rows) == edge_docs.count() and {(r.license, r.dice, r.n_matches, r.matches) for r in rows} == {(None, None, 0, "")}

@@ -28,7 +28,7 @@ def test_stages_on_driver_documents(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in tokens.collect()) == want
 
 
-CLASHING = ["kept", "n_words", "rejected_by", "mix_copy", "mix_source", "mix_cdf", "mix_order", "pii_note", "pii_email", "component_id", "digest", "band", "ids", "_w", "_p"]
+CLASHING = ["kept", "n_words", "rejected_by", "mix_copy", "mix_source", "mix_cdf", "mix_order", "pii_note", "pii_email", "component_id", "digest", "band", "ids", "_w", "_p", "a b.c", "tick`"]
 
 
 def test_stages_take_edges_and_nothing(spark, edge_docs):
