@@ -28,9 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of smallest id stays. Null ids stay."""
-    rated = neardup.near_duplicates(docs, neardup.Settings(width=5, threshold=80))
+    safe, restored = set_aside(docs, [])
+    rated = neardup.near_duplicates(safe, neardup.Settings(width=5, threshold=80))
     gone = rated.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return restored(safe.join(gone, "doc_id", "left_anti"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
