@@ -35,18 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeworks.llm.common import arrow_rows, materialize
+from hazeworks.llm.common import arrow_rows, materialize, scratch_path
 from hazeworks.llm.substrings import _mixed, _packed, _unpacked
 
 WINDOW = 20
 #: Bytes of text in a slice; a longer document is a slice of its own.
-SLICE = 4 << 20
-#: Windows that are parsed at once.
-STRETCH = 1 << 18
+SLICE = 2 << 20
+#: Windows that are parsed at once, and words that are named at once.
+STRETCH, PIECE = 1 << 17, 1 << 15
 #: Names, and windows, in a partition of the two rounds, or fewer. Buckets for each partition.
 NAMES, ENTRIES, SPREAD = 1 << 20, 1 << 19, 4
 #: Rows sent to Python at a time: documents, slices or blocks.
-DOCUMENT_ROWS, SLICE_ROWS = 256, 32
+DOCUMENT_ROWS, SLICE_ROWS = 256, 16
 #: The place of rows without an id in the order of ids.
 NO_ID = (1 << 63) - 1
 _BASE, _SECOND, _RUN, _PAIR = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -61,7 +61,7 @@ class Powers:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(values):
-            full = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * len(values), b, np.uint64))])
+            full = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(values), b, np.uint64))])
             self.up, self.down = full(self.base), full(self.back)
         out = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.up[: len(values)], out=out[1:])
@@ -79,7 +79,11 @@ def word_names(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.
     raw = np.frombuffer(data, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
-    return powers.of(powers.sums(_BYTES[raw]), begin, end), begin, end
+    names = np.empty(len(begin), np.uint64)
+    for at in range(0, len(begin), PIECE):
+        b, e = begin[at : at + PIECE], end[at : at + PIECE]
+        names[at : at + PIECE] = powers.of(powers.sums(_BYTES[raw[b[0] : e[-1]]]), b - b[0], e - b[0])
+    return names, begin, end
 
 
 def compressed(names: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +92,7 @@ def compressed(names: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, n
     run = np.flatnonzero(new)
     length = np.diff(run, append=len(names)).astype(np.uint64)
     name = np.where(length > 1, _mixed(names[run] * _RUN + length), names[run])
-    left = (_mixed(name + np.uint64(level + 1) * _SECOND) & np.uint64(1)) == 0
+    left = (_mixed(name + np.uint64((level + 1) * int(_SECOND) % (1 << 64))) & np.uint64(1)) == 0
     paired = np.zeros(len(run), bool)
     paired[:-1] = left[:-1] & ~left[1:]
     second = np.concatenate([[False], paired[:-1]])
@@ -177,10 +181,15 @@ def _slices_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, begin, end = word_names(data := b" ".join(d[2] for d in held if d[3]), powers)
         if not data:
             names, begin, end = names[:0], begin[:0], end[:0]
-        _, first, codes = np.unique(names, return_index=True, return_inverse=True)
-        dictionary = b" ".join(data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist()))
+        _, first, codes, count = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        words = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
+        # Frequent words first, equally frequent ones in their own order: both numbers and dictionary compress better.
+        order = sorted(range(len(words)), key=lambda i, n=count.tolist(): (-n[i], words[i]))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        dictionary = b" ".join(words[i] for i in order)
         head = np.asarray([len(dictionary)], np.int64).tobytes()
-        body = zstandard.compress(head + dictionary + (_packed(codes.astype(np.uint32)) if data else b""), 3)
+        body = zstandard.compress(head + dictionary + (_packed(rank[codes]) if data else b""), 3)
         number += 1
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([[d[0] for d in held]], _SLICES.field(1).type), pa.array([[d[1] for d in held]]), pa.array([counts], _SLICES.field(3).type), pa.array([len(names)]), pa.array([body], pa.binary())], schema=_SLICES)
 
@@ -386,18 +395,26 @@ def _per(total: int, each: int, least: int) -> int:
     return max(least, -(-total // each))
 
 
+def _bucketed(slices: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """``slices`` as a table in the shared folder, bucketed so that joins by slice leave it where it is, and its name in the catalogue."""
+    spark, path = slices.sparkSession, scratch_path(slices.sparkSession, "word-slices")
+    name = f"word_slices_{path[-32:]}"
+    with arrow_rows(spark, DOCUMENT_ROWS):
+        slices.write.option("path", path).bucketBy(buckets, "slice").format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; ``with_text`` adds ``spans`` (removed word ranges) and ``kept``, the words left (null where nothing was removed)."""
     spark = docs.sparkSession
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     narrow = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text"))
-    with arrow_rows(spark, DOCUMENT_ROWS):
-        slices = materialize(narrow.mapInArrow(_slices_task, SLICES), "word-slices")
-    total = slices.agg(F.sum("words")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices, name = _bucketed(narrow.mapInArrow(_slices_task, SLICES), least)
+    total = slices.agg(F.sum("words")).first()[0] or 0
 
     each = slices.select("slice", F.posexplode(F.arrays_zip("ids", "digests", "counts")).alias("at", "d"))
-    rows = each.select("slice", "at", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.counts").cast("long").alias("n_words"))
+    rows = materialize(each.select("slice", "at", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.counts").cast("long").alias("n_words")), "word-counts")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "slice", "at")
     firsts = materialize(rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")), "first-copies")
     own = firsts.where(F.col("n_words") >= WINDOW).groupBy(F.col("first.slice").alias("slice")).agg(F.sort_array(F.collect_list("first.at")).alias("own"))
@@ -417,6 +434,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     kept = slices.join(by_slice, "slice").select("digests", "counts", "words", "body", "told").mapInArrow(_kept_task(with_text), CHANGED)
     with arrow_rows(spark, SLICE_ROWS):
         changed = materialize(kept, "kept-words")
+    spark.sql(f"DROP TABLE {name}")
 
     found = rows.join(firsts.select("digest", "first"), "digest").join(changed, "digest", "left")
     copy = ~F.col("id").eqNullSafe(F.col("first.id")) & (F.col("n_words") >= WINDOW)
