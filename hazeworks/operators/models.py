@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazeworks.operators.neighbours import in_reach, within_reach
+from hazeworks.shared import written
+
 
 def spherical(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
     """Variogram: nugget + sill * (1.5 h - 0.5 h^3) for h = d / reach up to 1, flat beyond, 0 at distance 0."""
@@ -14,14 +17,10 @@ def spherical(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.nda
     return np.where(d == 0, 0.0, nugget + sill * (1.5 * h - 0.5 * h**3))
 
 
-def fit_spherical(d: np.ndarray, gamma: np.ndarray, lags: int = 4) -> tuple[float, float, float]:
-    """Least squares over lag means: for each of some reaches, the best non-negative nugget and sill."""
-    edges = np.linspace(0, d.max() * 1.000001, lags + 1)
-    bins = np.digitize(d, edges[1:-1])
-    means = [(d[bins == i].mean(), gamma[bins == i].mean()) for i in range(lags) if (bins == i).any()]
-    x, y = np.array([m[0] for m in means]), np.array([m[1] for m in means])
-    best = (np.inf, 0.0, max(float(y.mean()), 1e-12), float(d.max()))
-    for reach in np.linspace(d.max() / 10, d.max() * 1.5, 30):
+def fit_spherical(x: np.ndarray, y: np.ndarray, far: float) -> tuple[float, float, float]:
+    """Least squares over lag means (distance x, semivariance y): for each of some reaches up to 1.5 times the farthest pair, the best non-negative nugget and sill."""
+    best = (np.inf, 0.0, max(float(y.mean()), 1e-12), far)
+    for reach in np.linspace(far / 10, far * 1.5, 30) if far > 0 else []:
         shape = spherical(x, 0.0, 1.0, reach)
         basis = np.stack([np.ones_like(x), shape], axis=1)
         fits = [np.linalg.lstsq(basis, y, rcond=None)[0], np.array([0.0, y @ shape / max(shape @ shape, 1e-12)]), np.array([y.mean(), 0.0])]
@@ -30,84 +29,153 @@ def fit_spherical(d: np.ndarray, gamma: np.ndarray, lags: int = 4) -> tuple[floa
                 error = float(((nugget + sill * shape - y) ** 2).sum())
                 if error < best[0]:
                     best = (error, float(nugget), float(sill), float(reach))
-    return best[1:]
+    return best[1:] if far > 0 else (best[1], best[2], 1.0)
+
 
+#: Stations whose distances to all others are held at once when a variogram is fitted.
+ROWS = 512
 
-def fit(px: np.ndarray, py: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
-    """Variogram of some points; (0, 0, 1) for one point or equal values, whose surface is constant."""
+
+def fit(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> tuple[float, float, float]:
+    """Variogram of some points, from lag means over all their pairs; (0, 0, 1) for one point or equal values, whose surface is constant."""
     if len(v) < 2 or np.ptp(v) == 0:
         return 0.0, 0.0, 1.0
-    i, j = np.triu_indices(len(v), 1)
-    return fit_spherical(np.hypot(px[i] - px[j], py[i] - py[j]), 0.5 * (v[i] - v[j]) ** 2)
+
+    def pairs():
+        for at in range(0, len(v), ROWS):
+            i, j = np.nonzero(np.arange(at, min(at + ROWS, len(v)))[:, None] < np.arange(len(v)))
+            yield np.hypot(px[i + at] - px[j], py[i + at] - py[j]), 0.5 * (v[i + at] - v[j]) ** 2
+
+    far = max(float(d.max()) for d, _ in pairs() if len(d))
+    edges = np.linspace(0, far * 1.000001, lags + 1)
+    sums = np.zeros((3, lags))
+    for d, gamma in pairs():
+        lag = np.digitize(d, edges[1:-1])
+        sums += [np.bincount(lag, w, lags) for w in (None, d, gamma)]
+    n, x, y = sums[:, sums[0] > 0]
+    return fit_spherical(x / n, y / n, far)
+
+
+def factor(px: np.ndarray, py: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
+    """Pseudo-inverse of the kriging system of some points (of the last axis): weights are its product with a right side. Points in one place share their weight."""
+    n = px.shape[-1]
+    left = np.zeros((*px.shape[:-1], n + 1, n + 1))
+    left[..., :n, :n] = spherical(np.hypot(px[..., :, None] - px[..., None, :], py[..., :, None] - py[..., None, :]), *model)
+    left[..., n, :n] = left[..., :n, n] = 1.0
+    return np.linalg.pinv(left, rcond=np.finfo(float).eps * (n + 1), hermitian=True)
 
 
-def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinary kriging estimate and variance; one point, or equal values, give a constant surface of variance 0."""
+def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float] | None = None, inverse: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinary kriging estimate and variance; one point, or equal values, give a constant surface of variance 0. ``inverse``: the points' ``factor``."""
     if len(v) == 1 or np.ptp(v) == 0:
         return np.full(len(x), v[0]), np.zeros(len(x))
     model = model or fit(px, py, v)
-    n = len(v)
-    left = np.zeros((n + 1, n + 1))
-    left[:n, :n] = spherical(np.hypot(px[:, None] - px, py[:, None] - py), *model)
-    left[n, :n] = left[:n, n] = 1.0
-    right = np.ones((n + 1, len(x)))
-    right[:n] = spherical(np.hypot(px[:, None] - x, py[:, None] - y), *model)
-    weights = np.linalg.lstsq(left, right, rcond=None)[0]
-    return weights[:n].T @ v, (weights * right).sum(axis=0)
+    inverse = factor(px, py, model) if inverse is None else inverse
+    right = np.ones((len(v) + 1, len(x)))
+    right[:-1] = spherical(np.hypot(px[:, None] - x, py[:, None] - y), *model)
+    weights = inverse @ right
+    return weights[:-1].T @ v, (weights * right).sum(axis=0)
 
 
-#: A network has at most so many stations, and a grid so many tiles; more are refused, not cut.
-MOST_STATIONS, MOST_TILES = 2000, 100_000
+#: Cells whose neighbourhoods are solved at once.
+CELLS = 256
 
 
-def _networks(readings: DataFrame, keys: list[str], px: str, py: str, value: str) -> DataFrame:
+def krige_nearest(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kriging of each cell from its ``k`` nearest points (of points as near, the first) with the group's variogram."""
+    estimate, variance = np.empty(len(x)), np.empty(len(x))
+    for at in range(0, len(x), CELLS):
+        cell = slice(at, at + CELLS)
+        d = np.hypot(px - x[cell, None], py - y[cell, None])
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        right = np.ones((len(near), near.shape[1] + 1))
+        right[:, :-1] = spherical(np.take_along_axis(d, near, axis=1), *model)
+        weights = (factor(px[near], py[near], model) @ right[:, :, None])[:, :, 0]
+        estimate[cell] = (weights[:, :-1] * v[near]).sum(axis=1)
+        variance[cell] = (weights * right).sum(axis=1)
+    return estimate, variance
+
+
+#: A network has at most so many stations (with a moving neighbourhood, and without), and a grid so many tiles; more are refused, not cut.
+MOST_NEAREST, MOST_STATIONS, MOST_TILES = 20_000, 2000, 100_000
+#: Up to so many stations the system's factor travels from the group to its tiles.
+CARRIED = 512
+#: Side of a tile of cells, and of the squares that are searched first for neighbours.
+TILE = 5000.0
+
+
+def _networks(readings: DataFrame, keys: list[str], px: str, py: str, value: str, most: int) -> DataFrame:
     """One row per group with its valued stations as an array, empty where there are none."""
     valued = F.when(F.col(value).isNotNull(), F.struct(px, py, value))
     stations = F.sort_array(F.collect_list(valued)).alias("stations")
-    few = F.when(F.size("stations") <= MOST_STATIONS, F.col("stations")).otherwise(F.raise_error(F.lit(f"more than {MOST_STATIONS} stations in a group")))
+    few = F.when(F.size("stations") <= most, F.col("stations")).otherwise(F.raise_error(F.lit(f"more than {most} stations in a group")))
     return readings.groupBy(*keys).agg(stations).withColumn("stations", few)
 
 
-def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str = "px", py: str = "py", value: str = "value") -> DataFrame:
+def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str = "px", py: str = "py", value: str = "value", nearest: int | None = None) -> DataFrame:
     """Kriging of every group of ``keys`` (hour, band) onto all cells (x, y): estimate and variance, null for groups without a value.
 
     Each group's variogram is fitted once. Every group then meets every tile of the fixed grid, a tile of cells at a time, so no
-    task holds a whole surface.
+    task holds a whole surface. All stations count: the system is factored once a group and its factor carried to the tiles (to ``CARRIED`` stations;
+    beyond, tiles factor it themselves). Or, with ``nearest``, each cell takes its so many nearest stations: tiles then get the stations that
+    may be among those, found by growing squares, and solve a small system for each cell.
     """
-    tiles = cells.withColumns({"_tx": F.floor(F.col("x") / 5000).cast("long"), "_ty": F.floor(F.col("y") / 5000).cast("long")})
+    tiles = cells.withColumns({"_tx": F.floor(F.col("x") / TILE).cast("long"), "_ty": F.floor(F.col("y") / TILE).cast("long")})
     blocks = tiles.groupBy("_tx", "_ty").agg(F.collect_list(F.struct(*cell_keys, "x", "y")).alias("cells"))
     listed = tiles.select("_tx", "_ty").distinct().orderBy("_tx", "_ty").limit(MOST_TILES + 1).collect()
     if len(listed) > MOST_TILES:
         raise ValueError(f"more than {MOST_TILES} tiles")
     types = dict(readings.dtypes) | dict(cells.dtypes)
     names = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    array = lambda s: np.array([(r[px], r[py], r[value]) for r in s], float).reshape(-1, 3)
 
     def fitted(batches):
         for pdf in batches:
-            arrays = [np.array([(r[px], r[py], r[value]) for r in s], float).reshape(-1, 3) for s in pdf["stations"]]
-            yield pdf.assign(model=[list(fit(a[:, 0], a[:, 1], a[:, 2])) for a in arrays])
-
-    points = _networks(readings, keys, px, py, value)
-    models = points.mapInPandas(fitted, f"{names}, stations {points.schema['stations'].dataType.simpleString()}, model array<double>")
-    tile = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("_tx"), F.lit(r[1]).alias("_ty")) for r in listed))).alias("t")
-    work = models.select(*keys, "stations", "model", tile).select(*keys, "stations", "model", "t.*").join(blocks, ["_tx", "_ty"]) if listed else models.withColumn("cells", F.array()).where("false")
+            out = []
+            for row in pdf.itertuples(index=False):
+                a = array(row.stations)
+                model = fit(a[:, 0], a[:, 1], a[:, 2]) if len(a) else (0.0, 0.0, 1.0)
+                carry = nearest is None and 1 < len(a) <= CARRIED and model[0] + model[1] > 0
+                out.append((list(model), factor(a[:, 0], a[:, 1], model).tobytes() if carry else None))
+            yield pdf.assign(model=[m for m, _ in out], factor=[f for _, f in out])
+
+    points = _networks(readings, keys, px, py, value, MOST_STATIONS if nearest is None else MOST_NEAREST)
+    models = points.mapInPandas(fitted, f"{names}, stations {points.schema['stations'].dataType.simpleString()}, model array<double>, factor binary")
+    tile = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("_tx"), F.lit(r[1]).alias("_ty")) for r in listed)) if listed else F.array().cast("array<struct<_tx: bigint, _ty: bigint>>")).alias("t")
+    if nearest is not None and listed:
+        models = written(models, "kriging")
+        # Constant groups, and such as have no more stations than are asked for, take them all.
+        many = (F.size("stations") > nearest) & (F.col("model")[0] + F.col("model")[1] > 0)
+        spots = models.where(many).select(*keys, F.explode("stations").alias("s")).select(*keys, F.col(f"s.{px}").alias("px"), F.col(f"s.{py}").alias("py"), F.col(f"s.{value}").alias("_value"))
+        wide = models.where(many).select(*keys, "model", "factor", tile).select(*keys, "model", "factor", "t.*")
+        centred = wide.withColumns({"cx": (F.col("_tx") + 0.5) * TILE, "cy": (F.col("_ty") + 0.5) * TILE, "half": F.lit(TILE * 2**0.5 / 2)})
+        reach = within_reach(centred.drop("model", "factor"), spots, keys, ["_tx", "_ty"], nearest, TILE)
+        chosen = in_reach(reach, spots, keys, ["_tx", "_ty"], ["px", "py", "_value"], TILE)
+        own = wide.join(chosen, [*keys, "_tx", "_ty"]).select(*keys, F.transform("points", lambda p: F.struct(p["px"].alias(px), p["py"].alias(py), p["_value"].alias(value))).alias("stations"), "model", "factor", "_tx", "_ty")
+        work = own.unionByName(models.where(~many).select(*keys, "stations", "model", "factor", tile).select(*keys, "stations", "model", "factor", "t.*"))
+    else:
+        work = models.select(*keys, "stations", "model", "factor", tile).select(*keys, "stations", "model", "factor", "t.*")
+    work = work.join(blocks, ["_tx", "_ty"])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                s = np.array([(r[px], r[py], r[value]) for r in row.stations], float).reshape(-1, 3)
+                s, model, estimate, variance = array(row.stations), tuple(row.model), None, None
                 c = pd.DataFrame(list(row.cells))
-                estimate = variance = None
-                if len(s):
-                    estimate, variance = krige(s[:, 0], s[:, 1], s[:, 2], c["x"].to_numpy(float), c["y"].to_numpy(float), tuple(row.model))
+                x, y = c["x"].to_numpy(float), c["y"].to_numpy(float)
+                if len(s) and nearest is not None and len(s) > nearest and model[0] + model[1] > 0:
+                    estimate, variance = krige_nearest(s[:, 0], s[:, 1], s[:, 2], x, y, model, nearest)
+                elif len(s):
+                    inverse = None if row.factor is None else np.frombuffer(row.factor).reshape(len(s) + 1, -1)
+                    estimate, variance = krige(s[:, 0], s[:, 1], s[:, 2], x, y, model, inverse)
                 part = c[cell_keys].assign(**{k: getattr(row, k) for k in keys}, estimate=estimate, variance=variance)
                 out.append(part[[*keys, *cell_keys, "estimate", "variance"]].astype({"estimate": float, "variance": float}))
             if out:
                 yield pd.concat(out)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, *cell_keys]) + ", estimate double, variance double"
-    return work.select(*keys, "stations", "model", "cells").mapInPandas(solve, schema)
+    return work.select(*keys, "stations", "model", "factor", "cells").mapInPandas(solve, schema)
 
 
 def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:
