@@ -19,6 +19,12 @@ def grid_centres(spark: SparkSession, box: tuple[float, float, float, float], st
     return at.select(lat.alias("latitude"), lon.alias("longitude"))
 
 
+def extent(points: DataFrame, x: str, y: str) -> tuple[float, float, float, float] | None:
+    """(west, south, east, north) of all points, or None without any."""
+    r = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    return None if None in r else tuple(map(float, r))
+
+
 def metric_grid(spark: SparkSession, low: tuple[float, float], high: tuple[float, float], cell: float = 100.0) -> DataFrame:
     """Cells (row, col, x, y) of an extent snapped outwards to ``cell``; rows go from north to south, x and y are centres."""
     x0, y0 = math.floor(low[0] / cell) * cell, math.floor(low[1] / cell) * cell

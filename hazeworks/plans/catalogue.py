@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from hazeworks import shared
 from hazeworks.functions import scalar
-from hazeworks.operators import cleaning, incremental, merge, models, raster, series, spatial, splits
+from hazeworks.operators import cleaning, incremental, merge, models, polygons, raster, series, spatial, splits
 from hazeworks.plans import views
-from hazeworks.sources import versioned
+from hazeworks.sources import sinks, versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -566,15 +566,50 @@ def leave_one_out_errors(spark, sf_dir):
     return spatial.error_metrics(rows, ["s_nationkey"])
 
 
-@query("SELECT CAST(round(14.25 + 0.125 + r * 0.25, 4) AS DOUBLE) AS latitude, CAST(round(120.75 + 0.125 + c * 0.25, 4) AS DOUBLE) AS longitude FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 3)) AS c)")
+@query(_SPACE + """, b AS (SELECT 100 + min(px) / 8000 AS w, min(py) / 8000 AS s, 100 + max(px) / 8000 AS e, max(py) / 8000 AS n FROM s),
+r AS (SELECT unnest(range(0, greatest(0, CAST(floor((n - s - 0.125::DOUBLE + 1e-9::DOUBLE) / 0.25::DOUBLE) AS BIGINT) + 1))) AS r FROM b),
+q AS (SELECT unnest(range(0, greatest(0, CAST(floor((e - w - 0.125::DOUBLE + 1e-9::DOUBLE) / 0.25::DOUBLE) AS BIGINT) + 1))) AS c FROM b)
+SELECT CAST(round(s + 0.125::DOUBLE + r * 0.25::DOUBLE, 4) AS DOUBLE) AS latitude, CAST(round(w + 0.125::DOUBLE + c * 0.25::DOUBLE, 4) AS DOUBLE) AS longitude FROM b, r, q""")
 def grid_centres(spark, sf_dir):
-    return spatial.grid_centres(spark, (120.75, 14.25, 121.5, 15.25))
+    """Weather cells over the box around all stations, whose metres here stand for degrees."""
+    degrees = _stations(spark, sf_dir).select((100 + F.col("px") / 8000).alias("lon"), (F.col("py") / 8000).alias("lat"))
+    return spatial.grid_centres(spark, spatial.extent(degrees, "lon", "lat"))
 
 
-@query(_SPACE + """, g AS (SELECT CAST(range AS INTEGER) AS "row" FROM range(0, 4))
-SELECT "row", CAST(c2.range AS INTEGER) AS "col", 100.0::DOUBLE + (c2.range + 0.5) * 100 AS x, 900.0::DOUBLE - ("row" + 0.5) * 100 AS y FROM g, range(0, 5) c2""")
+@query(_SPACE + """, b AS (SELECT floor(min(px) / 500) * 500 AS x0, floor(min(py) / 500) * 500 AS y0, ceil(max(px) / 500) * 500 AS x1, ceil(max(py) / 500) * 500 AS y1 FROM s),
+r AS (SELECT unnest(range(0, CAST((y1 - y0) / 500 AS BIGINT))) AS r FROM b), q AS (SELECT unnest(range(0, CAST((x1 - x0) / 500 AS BIGINT))) AS c FROM b)
+SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", x0 + (c + 0.5::DOUBLE) * 500 AS x, y1 - (r + 0.5::DOUBLE) * 500 AS y FROM b, r, q""")
 def metric_grid(spark, sf_dir):
-    return spatial.metric_grid(spark, (120.0, 510.0), (590.0, 890.0))
+    """Cells of half a kilometre over all stations."""
+    west, south, east, north = spatial.extent(_stations(spark, sf_dir), "px", "py")
+    return spatial.metric_grid(spark, (west, south), (east, north), 500.0)
+
+
+_FEW = _SPACE + """, v AS (SELECT s_nationkey, CASE s_nationkey % 3 WHEN 1 THEN s_nationkey + 0.5::DOUBLE WHEN 2 THEN CASE WHEN station = min(station) OVER (PARTITION BY s_nationkey) THEN value END END AS value FROM s),
+g AS (SELECT s_nationkey, max(value) AS estimate FROM v GROUP BY s_nationkey)
+"""
+
+
+def _constant(spark, sf_dir):
+    """Kriging of nations whose stations have one value, one valued station, or none."""
+    stations = _stations(spark, sf_dir)
+    first = stations.groupBy("s_nationkey").agg(F.min("station").alias("first"))
+    n = F.col("s_nationkey")
+    value = F.when(n % 3 == 1, n + 0.5).when((n % 3 == 2) & (F.col("station") == F.col("first")), F.col("value"))
+    return models.kriged_surface(stations.join(first, "s_nationkey").withColumn("value", value), _cells(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
+
+
+@query(_FEW + "SELECT s_nationkey, p_partkey, estimate, CASE WHEN estimate IS NOT NULL THEN 0.0::DOUBLE END AS variance FROM g, c")
+def constant_surfaces(spark, sf_dir):
+    return _constant(spark, sf_dir)
+
+
+@query(_FEW + """, l AS (SELECT s_nationkey, 'estimate' AS kind, estimate AS value FROM g, c UNION ALL SELECT s_nationkey, 'variance', CASE WHEN estimate IS NOT NULL THEN 0.0::DOUBLE END FROM g, c)
+SELECT s_nationkey, kind, min(value) AS "min", max(value) AS "max", avg(value) AS mean, stddev_pop(value) AS stddev, 100.0::DOUBLE * count(value) / count(*) AS valid_percent FROM l GROUP BY ALL""")
+def surface_layers(spark, sf_dir):
+    """Statistics of surfaces written as layers of values and variances."""
+    layers = sinks.as_layers(_constant(spark, sf_dir), ["s_nationkey"], ["p_partkey"])
+    return sinks.write_surfaces(layers, shared.scratch(spark, "surfaces"), ["s_nationkey", "kind"], "value")
 
 
 # Pixels
@@ -650,17 +685,34 @@ def masked_bands(spark, sf_dir):
     return raster.masked(rows, "qa", ["b1"]).drop("qa")
 
 
-@query("""SELECT event_id, degrees((900.0 - 10 * ("row" + 0.5)) * 1000 / 6371007.181) AS lat FROM (SELECT event_id, event_id % 100 // 10 AS "row" FROM events)
-WHERE degrees((900.0 - 10 * ("row" + 0.5)) * 1000 / 6371007.181) BETWEEN 7.3 AND 7.9""")
-def clipped_pixels(spark, sf_dir):
-    """The centres' latitudes in the sinusoidal projection; the box is open to east and west."""
+#: A bent area with a hole, in degrees.
+AREA = [[(0.05, 7.25), (0.85, 7.25), (0.85, 7.65), (0.45, 7.6), (0.4, 8.05), (0.05, 8.05)], [(0.15, 7.35), (0.35, 7.35), (0.3, 7.55), (0.15, 7.55)]]
+_DEGREES = """WITH p AS (SELECT event_id, degrees(y / 6371007.181) AS lat, degrees(x / (6371007.181 * cos(y / 6371007.181))) AS lon
+FROM (SELECT event_id, 10000.0::DOUBLE * (event_id % 10 + 0.5) AS x, 900000.0::DOUBLE - 10000 * (event_id % 100 // 10 + 0.5) AS y FROM events))"""
+_EDGES = ", ".join(f"({x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for ring in AREA for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))
+
+
+def _rasters(spark, sf_dir):
+    """All events as pixels of rasters of 10 x 10 in the sinusoidal projection, and the rasters."""
     k = F.col("event_id")
     pixels = events(spark, sf_dir).select("event_id", F.floor(k / 100).cast("string").alias("raster_id"), F.floor(k % 100 / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col"))
-    meta = pixels.select("raster_id").distinct().select("raster_id", *(F.lit(v).alias(n) for n, v in dict(a=10000.0, b=0.0, c=0.0, d=0.0, e=-10000.0, f=900000.0).items()))
-    inside = raster.clipped(pixels, meta, (-180.0, 7.3, 180.0, 7.9))
+    fixed = dict(a=10000.0, b=0.0, c=0.0, d=0.0, e=-10000.0, f=900000.0, width=10, height=10)
+    return pixels, pixels.select("raster_id").distinct().select("raster_id", *(F.lit(v).alias(n) for n, v in fixed.items()))
+
+
+@query(_DEGREES + " SELECT event_id, lat FROM p WHERE lat BETWEEN 7.3 AND 7.9 AND lon BETWEEN 0.2 AND 0.7")
+def clipped_pixels(spark, sf_dir):
+    """Pixels in a box of degrees, with their centres' latitudes."""
+    inside = raster.clipped(*_rasters(spark, sf_dir), (0.2, 7.3, 0.7, 7.9))
     return inside.select("event_id", scalar.from_sinusoidal(F.lit(0.0), 900000.0 - 10000.0 * (F.col("row") + 0.5))[0].alias("lat"))
 
 
+@query(_DEGREES + f""", e(x1, y1, x2, y2) AS (VALUES {_EDGES})
+SELECT event_id FROM p WHERE (SELECT count(*) FROM e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1""")
+def polygon_pixels(spark, sf_dir):
+    return polygons.clipped_to(*_rasters(spark, sf_dir), AREA).select("event_id")
+
+
 @query("SELECT event_id FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN -9999.0 WHEN 1 THEN NULL ELSE value END AS v FROM events) WHERE v IS NOT NULL AND v <> -9999.0")
 def valid_cells(spark, sf_dir):
     v = F.when(F.col("event_id") % 5 == 0, raster.NODATA).when(F.col("event_id") % 5 != 1, F.col("value"))

@@ -28,6 +28,12 @@ def write_surfaces(df: DataFrame, path: str, layers: list[str], value: str = "es
     return df.sparkSession.read.parquet(f"{path}/statistics")
 
 
+def as_layers(surface: DataFrame, keys: list[str], cell_keys: list[str], kinds: list[str] = ["estimate", "variance"]) -> DataFrame:  # noqa: B006
+    """A surface's columns as layers: rows (keys, cell_keys, ``kind``, ``value``), as ``write_surfaces`` takes them with layers [*keys, "kind"]."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds))).alias("l")
+    return surface.select(*keys, *cell_keys, each).select(*keys, *cell_keys, "l.*")
+
+
 def save_state(done: DataFrame, path: str) -> DataFrame:
     """Replace a state table after its work succeeded: a new version, so that a reader finds a whole one at any moment."""
     table = Versioned(done.sparkSession, path)
