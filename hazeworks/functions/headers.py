@@ -12,15 +12,14 @@ def normal(name: str) -> str:
 
 
 def pick(columns: Iterable[str], tokens: Iterable[str], prefer: Iterable[str] = (), exact: bool = False) -> str | None:
-    """First column whose normal form contains all tokens; among several, the first that contains a preferred token.
+    """First column whose normal form contains all tokens; among several, the first that contains all preferred tokens as well.
 
-    With ``exact`` a token must be a whole word of the name, a run of letters and digits, not a part of one.
+    With ``exact`` the normal form must be the tokens joined, nothing more.
     """
-    wanted = [normal(t) for t in tokens]
-    within = lambda c: re.split(r"[\W_]+", c.lower()) if exact else normal(c)
-    found = [c for c in columns if all(t in within(c) for t in wanted)]
-    liked = [c for c in found if any(normal(p) in normal(c) for p in prefer)]
-    return next(iter(liked or found), None)
+    wanted, liked = [normal(t) for t in tokens], [normal(p) for p in prefer]
+    fits = (lambda name: name == "".join(wanted)) if exact else (lambda name: all(t in name for t in wanted))
+    found = [c for c in columns if fits(normal(c))]
+    return next((c for c in found if all(p in normal(c) for p in liked)), next(iter(found), None))
 
 
 def pick_pm1(columns: Iterable[str]) -> str | None:
@@ -42,8 +41,16 @@ SENSOR_COLUMNS = {
 }
 
 
+#: Headers that are taken first, in this order, where a file has them.
+CANDIDATES = {
+    "co2": ["CO2 (ppm) corrected", "CO2 (ppm) raw", "CO2 (ppm)"],
+    "tvoc": ["TVOC (ppb)", "TVOC", "TVOC (ppb) corrected"],
+}
+
+
 def sensor_columns(columns: list[str]) -> dict[str, str]:
     """Target column -> header, for the headers that are there."""
-    found = {target: pick(columns, tokens, prefer) for target, (tokens, prefer) in SENSOR_COLUMNS.items()}
+    named = lambda target: next((c for c in CANDIDATES.get(target, []) if c in columns), None)
+    found = {target: named(target) or pick(columns, tokens, prefer) for target, (tokens, prefer) in SENSOR_COLUMNS.items()}
     found["pm1"] = pick_pm1(columns)
     return {t: c for t, c in found.items() if c is not None}

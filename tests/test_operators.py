@@ -50,7 +50,10 @@ def test_sensor_csvs(spark, tmp_path):
 
 
 def test_defaults_and_ranges(spark):
-    assert headers.pick(["pm25 corr", "PM2.5 x", "pm 25"], ["pm25"], exact=True) == "pm25 corr" and headers.pick(["pm25b", "pm10"], ["pm25"], exact=True) is None
+    assert headers.pick(["pm25 corr", "PM2.5 x", "pm 25"], ["pm25"], exact=True) == "pm 25" and headers.pick(["pm25b", "pm10"], ["pm25"], exact=True) is None
+    assert headers.pick(["PM2.5 (ug)", "pm25-ug"], ["pm25", "ug"], exact=True) == "PM2.5 (ug)"
+    assert headers.pick(["temp corr", "temp raw c", "temp corr c"], ["temp"], ["corr", "c"]) == "temp corr" and headers.pick(["temp raw", "temp cal x", "temp cal y"], ["temp"], ["cal", "y"]) == "temp cal y"
+    assert headers.sensor_columns(["CO2 raw", "CO2 (ppm)", "CO2 (ppm) raw", "TVOC x", "TVOC (ppb) corrected"]) == {"co2": "CO2 (ppm) raw", "tvoc": "TVOC (ppb) corrected"}
     df = spark.createDataFrame([(1, '{"a": 5}'), (2, '{"a": null}'), (3, '{"b": 1}'), (4, None)], "id int, json string")
     got = df.orderBy("id").select(scalar.field_or_default(F.col("json"), "a", F.lit(9)).alias("a"), scalar.text_or_unknown(F.col("json")).alias("t")).collect()
     assert [r.a for r in got] == ["5", None, "9", "9"] and got[3].t == "unknown"
