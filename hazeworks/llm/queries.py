@@ -99,7 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_quality": OP5_SQL, "op6_search": OP6_SQL, "op10_licenses": _op10_sql()}
+    return {"op4_mixing": OP4_SQL, "op5_quality": OP5_SQL, "op6_search": OP6_SQL, "op10_licenses": _op10_sql(), "op11_vectors": OP11_SQL, "op12_merkle": _op12_sql(), "op13_repeats": OP13_SQL}
 
 
 OP4_SQL = """
@@ -210,3 +210,87 @@ WITH templates(name, b, n) AS (VALUES TEMPLATES), anchors(name, x, o) AS (VALUES
 )
 SELECT d.doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM documents d LEFT JOIN found USING (doc_id)
 """.replace("TEMPLATES", templates).replace("ANCHORS", anchors)
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Every distance of every part to every entry, in whole numbers."""
+    apart = "list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - b.q[i]) * (p.q[i] - b.q[i])))"
+    nearest = f"SELECT r, part, any_value(q) AS q, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.r, p.part, p.q, b.entry, {apart} AS d FROM p JOIN b{{n}} b USING (part)) GROUP BY r, part"
+    steps = []
+    for n in range(rounds):
+        mean = "(s - ((s % n + n) % n)) // n"
+        sums = f"SELECT part, entry, i, {mean} AS c FROM (SELECT part, entry, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, q, unnest(range(1, len(q) + 1)) AS i FROM a{n}) GROUP BY part, entry, i)"
+        steps.append(f"a{n} AS ({nearest.format(n=n)})")
+        steps.append(f"b{n + 1} AS (SELECT part, entry, coalesce(m.q, b.q) AS q FROM b{n} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS q FROM ({sums}) GROUP BY part, entry) m USING (part, entry))")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT r, part, list_transform(e[part * w + 1 : (part + 1) * w], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM (SELECT r, e, w, unnest(range(0, 16)) AS part FROM v)
+), b0 AS (
+  SELECT part, r - 1 AS entry, q FROM p WHERE r <= 64
+), {", ".join(steps)}, a AS ({nearest.format(n=rounds)}), coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), books
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def _op12_sql(levels: int = 5) -> str:
+    """Trees of up to 16^levels leaves, level by level."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, first: str) -> list[str]:
+        """Nodes name0 .. (g, i, h, n), their siblings name_s0 .., and the last node of each group, name_top."""
+        steps = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            steps.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 15) // 16 AS n FROM {name}{k} WHERE n > 1 GROUP BY g, i // 16, n)")
+            left, right = (f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i {sign} a.i), '')" for sign in "<>")
+            steps.append(f"{name}_s{k} AS (SELECT a.g, a.i, {left} AS l, {right} AS r FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.g, a.i)")
+        return [*steps, f"{name}_top AS ({' UNION ALL '.join(f'SELECT g, h FROM {name}{k} WHERE n = 1' for k in range(levels + 1))})"]
+
+    steps = [
+        "bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)",
+        "crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, bits)",
+        f"leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf('text')} AS h, CASE WHEN crc % 5 = 0 THEN {leaf(lowered)} END AS tampered FROM crc)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+        *tree("u", "SELECT g, i, h, n FROM placed"),
+        *tree("v", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n FROM u_top"),
+        "tops AS (SELECT g AS source, h, row_number() OVER (ORDER BY g) - 1 AS place FROM u_top)",
+        "f0 AS (SELECT doc_id, p.h AS leaf, coalesce(tampered, p.h) AS x, '' AS proof, p.g AS own, p.i AS at, t.h AS subroot, t.place FROM placed p JOIN tops t ON p.g = t.source)",
+    ]
+    k = 0
+    for name, group, at in (("u", "f.own", "f.at"), ("v", "''", "f.place")):
+        for level in range(levels):
+            steps.append(f"f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN s.l IS NULL THEN x ELSE sha256(s.l || x || s.r) END AS x, proof || coalesce(s.l || s.r, '') AS proof) FROM f{k} f LEFT JOIN {name}_s{level} s ON s.g = {group} AND s.i = {at} // {16**level})")
+            k += 1
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, v_top.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = v_top.h AS verified FROM f{k}, v_top"
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
