@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hazeworks import shared
 from hazeworks.functions import scalar
-from hazeworks.operators import cleaning, incremental, merge, models, polygons, raster, series, spatial, splits
+from hazeworks.operators import backfill, cleaning, incremental, merge, models, polygons, raster, series, spatial, splits
 from hazeworks.plans import views
 from hazeworks.sources import sinks, versioned
 
@@ -431,6 +431,25 @@ def backfilled_columns(spark, sf_dir):
     return naive(series.backfilled(rows, {"click": "double", "view": "double"}), "ts")
 
 
+@query("""SELECT event_type, date_trunc('day', ts) AS day, avg(value) AS value, count(*) AS n FROM events GROUP BY ALL""")
+def backfilled_days(spark, sf_dir):
+    """Daily means loaded by units of an event type and three months; views fail in the first run, and only they are loaded by the second."""
+    rows = events(spark, sf_dir)
+    days = rows.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    kinds = rows.groupBy("event_type").agg(F.add_months(F.trunc(F.max("ts"), "month"), 1).alias("until"), F.min("ts").alias("since"))
+    most = kinds.agg(F.max(F.ceil(F.months_between("until", "since") / 3))).first()[0] or 1
+    wanted = backfill.units(kinds, "event_type", F.col("until"), int(most), 3).drop("until", "since")
+    table_ = versioned.Versioned.create(spark, shared.scratch(spark, "filled"), days.limit(0), ["event_type", "day"], "event_type")
+
+    def load(units, refused):
+        held = units.join(days, "event_type").where((F.col("day") >= F.col("start")) & (F.col("day") < F.col("end")))
+        return held.select("unit", *days.columns, F.when(F.col("event_type").isin(refused), "refused").alias("error"))
+
+    backfill.run(table_, wanted, lambda u: load(u, ["view"]))
+    backfill.run(table_, wanted, lambda u: load(u, []))
+    return naive(table_.read(), "day")
+
+
 # Upserts
 
 

@@ -6,7 +6,8 @@ until they ask again. A commit writes its manifest under another name and rename
 version is whole or not there, whatever step a writer is killed at, and of two writers one gets ``Conflict`` and may try again.
 
 A row's partition follows from its key by an SQL expression that is kept in the manifest. A manifest has one entry a partition, whatever the rows; the driver
-handles those, as it does the listing of any partitioned table, and no rows.
+handles those, as it does the listing of any partitioned table, and no rows. A manifest may name side tables as well, to which a merge adds rows in the same
+commit as its data: a ledger of what has been loaded can't run ahead of the rows, or lag behind.
 """
 
 from __future__ import annotations
@@ -72,14 +73,19 @@ class Versioned:
         """The table's rows at a version; only those of some partitions if these are given."""
         return self._read(self.manifest(version), partitions)
 
+    def side(self, name: str, schema: str) -> DataFrame:
+        """Rows of a side table at the current version; empty if nothing was ever added."""
+        folders = self.manifest().get("sides", {}).get(name, [])
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{d}" for d in folders)) if folders else self.spark.createDataFrame([], schema)
+
     # Changes
 
-    def merge(self, new: DataFrame, mode: str = "coalesce", first: list[str] = [], now: dict[str, Column] | None = None, newest: list[Column] | None = None) -> int:  # noqa: B006
-        """Upsert ``new`` (see ``merge.upsert``) into the current version; returns the new version. Other partitions keep their files."""
+    def merge(self, new: DataFrame, mode: str = "coalesce", first: list[str] = [], now: dict[str, Column] | None = None, newest: list[Column] | None = None, sides: dict[str, DataFrame] | None = None) -> int:  # noqa: B006
+        """Upsert ``new`` (see ``merge.upsert``) into the current version; returns the new version. Other partitions keep their files. ``sides``: rows to add to side tables."""
         at = self.manifest()
         placed = new.withColumn(PARTITION, _partition(at["partition"]))
         touched = [r[0] for r in placed.select(PARTITION).distinct().collect()]
-        if not touched:
+        if not touched and not sides:
             return at["version"]
         merged = upsert(self._read(at, touched), new, at["keys"], mode, first, now, newest)
         schema = StructType.fromJson(at["schema"])
@@ -87,25 +93,29 @@ class Versioned:
             for f in more:
                 f.nullable = True
                 schema.add(f)
-        parts = {p: d for p, d in at["parts"].items() if p not in touched} | self._store(merged, at["partition"])
-        return self._commit(at["version"] + 1, {"keys": at["keys"], "partition": at["partition"], "schema": json.loads(schema.json()), "parts": parts})
+        parts = {p: d for p, d in at["parts"].items() if p not in touched} | (self._store(merged, at["partition"]) if touched else {})
+        beside = dict(at.get("sides", {}))
+        for name, rows in (sides or {}).items():
+            beside[name] = [*beside.get(name, []), f"data/{uuid.uuid4().hex}"]
+            rows.write.parquet(f"{self.path}/{beside[name][-1]}")
+        return self._commit(at["version"] + 1, {"keys": at["keys"], "partition": at["partition"], "schema": json.loads(schema.json()), "parts": parts, "sides": beside})
 
     def replace(self, df: DataFrame) -> int:
         """Make the rows of ``df``, which may read the table, its new version."""
         at = self.manifest()
-        return self._commit(at["version"] + 1, {"keys": at["keys"], "partition": at["partition"], "schema": json.loads(df.schema.json()), "parts": self._store(df, at["partition"])})
+        return self._commit(at["version"] + 1, {"keys": at["keys"], "partition": at["partition"], "schema": json.loads(df.schema.json()), "parts": self._store(df, at["partition"]), "sides": at.get("sides", {})})
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete all but the last ``keep`` versions, and data folders that none of these names; returns the folders. Not while a merge runs."""
         there = self.versions()
         for version in there[:-keep]:
             self._fs.delete(self._file(f"versions/{version:012d}.json"), False)
-        used = {d.split("/")[1] for v in there[-keep:] for d in self.manifest(v)["parts"].values()}
+        kept = {d for v in there[-keep:] for m in [self.manifest(v)] for d in [*m["parts"].values(), *(d for side in m.get("sides", {}).values() for d in side)]}
+        used = {d.split("/")[1] for d in kept}
         writes = [s.getPath().getName() for s in self._fs.listStatus(self._file("data"))]
         gone = [w for w in writes if w not in used]
         # Partitions that a later write replaced leave their folder, not the whole write.
-        kept = {d for v in there[-keep:] for d in self.manifest(v)["parts"].values()}
-        gone += [f"{w}/{s.getPath().getName()}" for w in writes if w in used for s in self._fs.listStatus(self._file(f"data/{w}")) if s.isDirectory() and f"data/{w}/{s.getPath().getName()}" not in kept]
+        gone += [f"{w}/{s.getPath().getName()}" for w in writes if w in used for s in self._fs.listStatus(self._file(f"data/{w}")) if s.isDirectory() and f"data/{w}" not in kept and f"data/{w}/{s.getPath().getName()}" not in kept]
         for name in gone:
             self._fs.delete(self._file(f"data/{name}"), True)
         return gone
