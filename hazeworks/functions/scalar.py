@@ -153,6 +153,34 @@ def utm(lat: Column, lon: Column, zone: int = 51) -> tuple[Column, Column]:
     return 500_000 + _K0 * radius * x, _K0 * radius * y
 
 
+def from_utm(x: Column, y: Column, zone: int = 51) -> tuple[Column, Column]:
+    """Latitude and longitude of easting and northing (northern hemisphere), by the series that inverts ``utm``'s."""
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    )
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    )
+    xi, eta = y / (_K0 * radius), (x - 500_000) / (_K0 * radius)
+    p, q = xi, eta
+    for j, b in enumerate(beta, 1):
+        p = p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        q = q - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(p) / F.cosh(q))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(q), F.cos(p))) + (6 * zone - 183)
+
+
 def sinusoidal(lat: Column, lon: Column, radius: float = 6371007.181) -> tuple[Column, Column]:
     """The sinusoidal projection of satellite tiles."""
     return radius * F.radians(lon) * F.cos(F.radians(lat)), radius * F.radians(lat)

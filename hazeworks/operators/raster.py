@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeworks.functions.scalar import from_sinusoidal, ndvi
+from hazeworks.functions.scalar import from_sinusoidal, from_utm, ndvi, sinusoidal, utm
 
 NODATA = -9999.0
 QA_FILL = 65535
@@ -63,11 +63,39 @@ def masked_value(value: Column, mask: Column) -> Column:
     return F.when(mask == 0, 0.0).otherwise(value)
 
 
-def aligned(fine: DataFrame, coarse: DataFrame, fine_meta: dict[str, float], coarse_meta: dict[str, float], value: str) -> DataFrame:
-    """Fine cells with the value of the coarse cell their centre lies in, null outside. Both affines are without rotation."""
-    x = F.lit(fine_meta["c"]) + (F.col("col") + 0.5) * fine_meta["a"]
-    y = F.lit(fine_meta["f"]) + (F.col("row") + 0.5) * fine_meta["e"]
-    at = fine.withColumns({"_c": F.floor((x - coarse_meta["c"]) / coarse_meta["a"]).cast("int"), "_r": F.floor((y - coarse_meta["f"]) / coarse_meta["e"]).cast("int")})
+def degrees_of(x: Column, y: Column, crs: str) -> tuple[Column, Column]:
+    """Latitude and longitude of a point in a raster's reference system: ``degrees`` (x is longitude), ``sinusoidal`` or ``utm:<zone>``."""
+    if crs == "degrees":
+        return y, x
+    return from_sinusoidal(x, y) if crs == "sinusoidal" else from_utm(x, y, int(crs.removeprefix("utm:")))
+
+
+def point_of(lat: Column, lon: Column, crs: str) -> tuple[Column, Column]:
+    """x and y of a place in a reference system."""
+    if crs == "degrees":
+        return lon, lat
+    return sinusoidal(lat, lon) if crs == "sinusoidal" else utm(lat, lon, int(crs.removeprefix("utm:")))
+
+
+def cell_of(x: Column, y: Column, meta: dict[str, float]) -> tuple[Column, Column]:
+    """Row and column of the cell that a point lies in, by the inverse of a raster's affine a..f (b and d, its rotation, are 0 unless given)."""
+    a, b, d, e = (meta.get(k, 0.0) for k in "abde")
+    u, v = x - meta["c"], y - meta["f"]
+    if b == d == 0:
+        return F.floor(v / e).cast("int"), F.floor(u / a).cast("int")
+    det = a * e - b * d
+    return F.floor((a * v - d * u) / det).cast("int"), F.floor((e * u - b * v) / det).cast("int")
+
+
+def aligned(fine: DataFrame, coarse: DataFrame, fine_meta: dict[str, float], coarse_meta: dict[str, float], value: str, fine_crs: str = "degrees", coarse_crs: str = "degrees") -> DataFrame:
+    """Fine cells with the value of the coarse cell their centre lies in, null outside. Rasters may be rotated, and of different reference systems."""
+    c, r = F.col("col") + 0.5, F.col("row") + 0.5
+    x = F.lit(fine_meta["c"]) + c * fine_meta["a"] + r * fine_meta.get("b", 0.0)
+    y = F.lit(fine_meta["f"]) + c * fine_meta.get("d", 0.0) + r * fine_meta["e"]
+    if fine_crs != coarse_crs:
+        x, y = point_of(*degrees_of(x, y, fine_crs), coarse_crs)
+    row, col = cell_of(x, y, coarse_meta)
+    at = fine.withColumns({"_c": col, "_r": row})
     return at.join(coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value)), ["_r", "_c"], "left").drop("_r", "_c")
 
 

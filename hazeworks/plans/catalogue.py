@@ -697,13 +697,6 @@ def aligned_rasters(spark, sf_dir):
     return raster.aligned(fine, coarse, {"a": 10.0, "c": 500.0, "e": -10.0, "f": 900.0}, {"a": 40.0, "c": 530.0, "e": -40.0, "f": 860.0}, "v").select("event_id", "v")
 
 
-@query(f"""SELECT event_id, event_id % 7 <> 0 AS has_value, CASE WHEN event_id % 7 <> 0 AND event_id <> 65535 AND (event_id & 3) <= 1 AND (event_id & 4) = 0 THEN CAST(event_id * 0.001::DOUBLE AS FLOAT) END AS b1 FROM events""")
-def masked_bands(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 7 == 0, -28672).otherwise(F.col("event_id"))
-    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 7 != 0).alias("has_value"), raster.scaled(raw).alias("b1"), F.col("event_id").alias("qa"))
-    return raster.masked(rows, "qa", ["b1"]).drop("qa")
-
-
 #: A bent area with a hole, in degrees.
 AREA = [[(0.05, 7.25), (0.85, 7.25), (0.85, 7.65), (0.45, 7.6), (0.4, 8.05), (0.05, 8.05)], [(0.15, 7.35), (0.35, 7.35), (0.3, 7.55), (0.15, 7.55)]]
 _DEGREES = """WITH p AS (SELECT event_id, degrees(y / 6371007.181) AS lat, degrees(x / (6371007.181 * cos(y / 6371007.181))) AS lon
@@ -719,6 +712,24 @@ def _rasters(spark, sf_dir):
     return pixels, pixels.select("raster_id").distinct().select("raster_id", *(F.lit(v).alias(n) for n, v in fixed.items()))
 
 
+@query(_DEGREES + """, k AS (SELECT p_partkey // 25 AS kr, p_partkey % 25 AS kc, p_retailprice AS v FROM part),
+u AS (SELECT event_id, lon - 0.1::DOUBLE AS u, lat - 8.0::DOUBLE AS v FROM p)
+SELECT event_id, k.v FROM u LEFT JOIN k ON kr = floor((0.08::DOUBLE * u.v - 0.03::DOUBLE * u) / -0.0073::DOUBLE) AND kc = floor((-0.08::DOUBLE * u - 0.03::DOUBLE * u.v) / -0.0073::DOUBLE)""")
+def reprojected_rasters(spark, sf_dir):
+    """All events as pixels in the sinusoidal projection over all parts as a turned raster in degrees."""
+    c = F.col("p_partkey")
+    coarse = table(spark, sf_dir, "part").select(F.floor(c / 25).cast("int").alias("row"), (c % 25).cast("int").alias("col"), F.col("p_retailprice").alias("v"))
+    turned = {"a": 0.08, "b": 0.03, "c": 0.1, "d": 0.03, "e": -0.08, "f": 8.0}
+    return raster.aligned(_rasters(spark, sf_dir)[0], coarse, {"a": 10000.0, "c": 0.0, "e": -10000.0, "f": 900000.0}, turned, "v", "sinusoidal", "degrees").select("event_id", "v")
+
+
+@query(f"""SELECT event_id, event_id % 7 <> 0 AS has_value, CASE WHEN event_id % 7 <> 0 AND event_id <> 65535 AND (event_id & 3) <= 1 AND (event_id & 4) = 0 THEN CAST(event_id * 0.001::DOUBLE AS FLOAT) END AS b1 FROM events""")
+def masked_bands(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 7 == 0, -28672).otherwise(F.col("event_id"))
+    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 7 != 0).alias("has_value"), raster.scaled(raw).alias("b1"), F.col("event_id").alias("qa"))
+    return raster.masked(rows, "qa", ["b1"]).drop("qa")
+
+
 @query(_DEGREES + " SELECT event_id, lat FROM p WHERE lat BETWEEN 7.3 AND 7.9 AND lon BETWEEN 0.2 AND 0.7")
 def clipped_pixels(spark, sf_dir):
     """Pixels in a box of degrees, with their centres' latitudes."""
