@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,18 +34,56 @@ def metric_grid(spark: SparkSession, low: tuple[float, float], high: tuple[float
     return at.select("row", "col", (F.lit(x0) + (F.col("col") + 0.5) * cell).alias("x"), (F.lit(y0 + rows * cell) - (F.col("row") + 0.5) * cell).alias("y"))
 
 
-def radius_join(cells: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+#: Points of a leaf, about; and how often a crowded square is halved at most.
+CROWD, DEPTH = 20_000, 8
+
+
+def leaves(points: DataFrame, radius: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Points with their leaf, and the leaves, of a quadtree over squares of side ``radius``: (sx, sy, level, lx, ly) and a number, ``part``.
+
+    A square of more than ``crowd`` points is quartered, and so on, ``DEPTH`` times at most; what is as crowded then, points in one place, is
+    dealt to ``parts`` by hash. Counts are all that the tree is made from, and only those of crowded squares are kept below the square.
+    """
+    unit = 1 << DEPTH
+    inner = lambda c: F.least(F.lit(unit - 1), F.floor((c / radius - F.floor(c / radius)) * unit)).cast("int")
+    square = lambda c: F.floor(c / radius).cast("long")
+    placed = points.withColumns({"sx": square(F.col("px")), "sy": square(F.col("py")), "_ux": inner(F.col("px")), "_uy": inner(F.col("py"))})
+    squares = placed.groupBy("sx", "sy").agg(F.count("*").alias("n"))
+    crowded = squares.where(F.col("n") > crowd).select("sx", "sy")
+    fine = placed.select("sx", "sy", "_ux", "_uy").join(crowded, ["sx", "sy"], "left_semi").groupBy("sx", "sy", "_ux", "_uy").agg(F.count("*").alias("n"))
+    at = lambda c, level: F.shiftright(c, DEPTH - level)
+    counts = {f"_c{k}": F.sum("n").over(Window.partitionBy("sx", "sy", at("_ux", k), at("_uy", k))) for k in range(1, DEPTH + 1)}
+    level = F.coalesce(*(F.when(F.col(f"_c{k}") <= crowd, k) for k in range(1, DEPTH + 1)), F.lit(DEPTH))
+    shift = lambda c: F.expr(f"shiftright({c}, {DEPTH} - level)")
+    deep = fine.withColumns(counts).withColumn("level", level).withColumns({"lx": shift("_ux"), "ly": shift("_uy")}).select("sx", "sy", "_ux", "_uy", "n", "level", "lx", "ly")
+    found = deep.groupBy("sx", "sy", "level", "lx", "ly").agg(F.sum("n").alias("n"))
+    top = squares.where(F.col("n") <= crowd).select("sx", "sy", F.lit(0).alias("level"), F.lit(0).alias("lx"), F.lit(0).alias("ly"), "n")
+    tree = top.unionByName(found).select("sx", "sy", "level", "lx", "ly", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    where = deep.select("sx", "sy", "_ux", "_uy", "level", "lx", "ly")
+    dealt = placed.join(where, ["sx", "sy", "_ux", "_uy"], "left").fillna(0, ["level", "lx", "ly"]).drop("_ux", "_uy")
+    number = F.pmod(F.xxhash64(*(F.col(c) for c in points.columns)), F.lit(1 << 20)).cast("int")
+    return dealt.withColumn("part", number), tree
+
+
+def radius_join(cells: DataFrame, points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:
     """Pairs of cells (x, y) and points (px, py) under ``radius`` apart, with their squared distance d2.
 
-    An equi-join on squares of side ``radius``: each point is put into its square and the eight around it. No nested loop,
-    whatever the number of points.
+    An equi-join: each cell meets the leaves (see ``leaves``) of its square and the eight around it that are in reach, and the points of these. No
+    nested loop, whatever the number of points, and no key with more than about ``crowd`` of them, wherever they crowd.
     """
-    square = lambda c, d=0: (F.floor(c / radius) + d).cast("long")
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = points.withColumn("_d", around).withColumns({"_sx": square(F.col("px")) + F.col("_d.dx"), "_sy": square(F.col("py")) + F.col("_d.dy")}).drop("_d")
-    left = cells.withColumns({"_sx": square(F.col("x")), "_sy": square(F.col("y"))})
+    dealt, tree = leaves(points, radius, crowd)
+    side = lambda c, i: (F.floor(c / radius) + i).cast("long")
+    around = F.explode(F.array(*(F.struct(side(F.col("x"), i).alias("sx"), side(F.col("y"), j).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    near = cells.withColumn("_s", around).withColumns({"sx": F.col("_s.sx"), "sy": F.col("_s.sy")}).drop("_s").join(tree, ["sx", "sy"])
+    edge = lambda s, leaf: (F.col(s) + F.col(leaf) / F.pow(F.lit(2.0), "level")) * radius
+    off = lambda c, low: F.greatest(low - c, c - low - radius / F.pow(F.lit(2.0), "level"), F.lit(0.0))
+    dx, dy = off(F.col("x"), edge("sx", "lx")), off(F.col("y"), edge("sy", "ly"))
+    # A little more than the radius, for rounding at a leaf's edges.
+    reached = near.where(dx * dx + dy * dy <= radius * radius * (1 + 1e-9)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    leaf = ["sx", "sy", "level", "lx", "ly"]
+    own = dealt.join(tree, leaf).withColumn("part", F.pmod("part", "parts")).drop("parts")
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    return left.join(near, ["_sx", "_sy"]).drop("_sx", "_sy").withColumn("d2", d2).where(F.col("d2") < radius * radius)
+    return reached.join(own, [*leaf, "part"]).drop(*leaf, "part").withColumn("d2", d2).where(F.col("d2") < radius * radius)
 
 
 def idw_mean(value: Column, d2: Column, point: Column, power: float = 2.0) -> Column:
