@@ -17,10 +17,11 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, in a local session only, one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, in a session within one process only, one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='hazeworks-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
