@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,24 +160,29 @@ def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_
     work = work.join(blocks, ["_tx", "_ty"])
 
     def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                s, model, estimate, variance = array(row.stations), tuple(row.model), None, None
-                c = pd.DataFrame(list(row.cells))
-                x, y = c["x"].to_numpy(float), c["y"].to_numpy(float)
-                if len(s) and nearest is not None and len(s) > nearest and model[0] + model[1] > 0:
-                    estimate, variance = krige_nearest(s[:, 0], s[:, 1], s[:, 2], x, y, model, nearest)
-                elif len(s):
-                    inverse = None if row.factor is None else np.frombuffer(row.factor).reshape(len(s) + 1, -1)
-                    estimate, variance = krige(s[:, 0], s[:, 1], s[:, 2], x, y, model, inverse)
-                part = c[cell_keys].assign(**{k: getattr(row, k) for k in keys}, estimate=estimate, variance=variance)
-                out.append(part[[*keys, *cell_keys, "estimate", "variance"]].astype({"estimate": float, "variance": float}))
-            if out:
-                yield pd.concat(out)
+        numbers = lambda structs, *names: [pc.struct_field(structs, [n]).to_numpy(zero_copy_only=False).astype(float) for n in names]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                spots, places = row.column("stations").flatten(), row.column("cells").flatten()
+                n, model = len(places), tuple(row.column("model").flatten().to_pylist())
+                estimate = variance = None
+                if len(spots):
+                    sx, sy, v = numbers(spots, px, py, value)
+                    x, y = numbers(places, "x", "y")
+                    if nearest is not None and len(v) > nearest and model[0] + model[1] > 0:
+                        estimate, variance = krige_nearest(sx, sy, v, x, y, model, nearest)
+                    else:
+                        held = row.column("factor")[0]
+                        inverse = np.frombuffer(held.as_buffer()).reshape(len(v) + 1, -1) if held.is_valid else None
+                        estimate, variance = krige(sx, sy, v, x, y, model, inverse)
+                first = pa.array(np.zeros(n, np.int32))
+                out = [row.column(k).take(first) for k in keys] + [pc.struct_field(places, [c]) for c in cell_keys]
+                out += [pa.nulls(n, pa.float64()) if e is None else pa.array(e) for e in (estimate, variance)]
+                yield pa.RecordBatch.from_arrays(out, names=[*keys, *cell_keys, "estimate", "variance"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, *cell_keys]) + ", estimate double, variance double"
-    return work.select(*keys, "stations", "model", "factor", "cells").mapInPandas(solve, schema)
+    return work.select(*keys, "stations", "model", "factor", "cells").mapInArrow(solve, schema)
 
 
 def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:
