@@ -30,6 +30,19 @@ def unprocessed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key).distinct(), key, "left_anti")
 
 
+def orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Keys of ``rows`` that ``parents`` lack, null among them, with the number of their rows: what a load must not bring in."""
+    return rows.join(parents.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+
+
+def require_parents(rows: DataFrame, parents: DataFrame, key: str, named: int = 10) -> DataFrame:
+    """``rows``, if every one has a parent; else an error that names some of the keys without."""
+    missing = orphans(rows, parents, key).orderBy(F.desc("n"), key).limit(named).collect()
+    if missing:
+        raise ValueError(f"rows without a parent by {key}: {', '.join(f'{r[key]} ({r.n})' for r in missing)}")
+    return rows
+
+
 def processed(done: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """The state after ``items``."""
     return done.select(key).union(items.select(key)).distinct()

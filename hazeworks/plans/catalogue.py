@@ -15,7 +15,7 @@ from hazeworks import shared
 from hazeworks.functions import scalar
 from hazeworks.operators import backfill, cleaning, incremental, merge, models, polygons, raster, series, spatial, splits
 from hazeworks.plans import views
-from hazeworks.sources import sinks, versioned
+from hazeworks.sources import files, sinks, versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -302,6 +302,19 @@ def unprocessed(spark, sf_dir):
     return incremental.unprocessed(rows, rows.where("event_type = 'click'"), "event_id").select("event_id")
 
 
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id")
+def orphan_readings(spark, sf_dir):
+    return incremental.orphans(events(spark, sf_dir), table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "user_id"), "user_id")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END AS location_key FROM events")
+def default_locations(spark, sf_dir):
+    """Measurements without a location of their own, with a null one, and with one."""
+    own = F.when(F.col("event_id") % 3 == 1, F.lit("null")).otherwise(F.col("user_id").cast("string"))
+    json = F.when(F.col("event_id") % 3 == 0, F.lit('{"value": 1}')).otherwise(F.concat(F.lit('{"locationId": '), own, F.lit("}")))
+    return files.located(events(spark, sf_dir).withColumn("json", json), F.col("event_id")).select("event_id", "location_key")
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
 def look_back(spark, sf_dir):
     return incremental.look_back(events(spark, sf_dir), "ts", ts("2024-01-20"), 7).select("event_id")

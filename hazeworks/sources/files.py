@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeworks.functions import headers
-from hazeworks.functions.scalar import ewkt_point, nan_to_null
+from hazeworks.functions.scalar import ewkt_point, field_or_default, nan_to_null, text_or_unknown
 
 SENSOR_VALUES = ["pm1", "pm25", "pm10", "co2", "tvoc", "temperature_c", "humidity_pct"]
 
@@ -101,9 +101,18 @@ def location_sensors(documents: DataFrame) -> DataFrame:
     return rows.select("location_id", "first_seen", F.col("s.id").alias("sensor_id"), F.lower("s.parameter.name").alias("parameter"))
 
 
-def measurement_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Measurements as raw JSON texts (``json``): their fields are objects or texts, so no schema is inferred."""
-    return spark.read.text(path).select(F.col("value").alias("json"))
+def measurement_rows(spark: SparkSession, path: str, location: Column | None = None) -> DataFrame:
+    """Measurements as raw JSON texts (``json``): their fields are objects or texts, so no schema is inferred.
+
+    With ``location`` there is a ``location_key`` too (see ``located``).
+    """
+    rows = spark.read.text(path).select(F.col("value").alias("json"))
+    return rows if location is None else located(rows, location)
+
+
+def located(rows: DataFrame, location: Column) -> DataFrame:
+    """Adds ``location_key``: a measurement's own ``locationId``, ``location`` where it has none, ``unknown`` where what it has is null."""
+    return rows.withColumn("location_key", text_or_unknown(field_or_default(F.col("json"), "locationId", location)))
 
 
 def hourly_block(blocks: DataFrame, variables: list[str], block: str = "hourly") -> DataFrame:

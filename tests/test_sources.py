@@ -68,3 +68,16 @@ def test_sinks(spark, tmp_path):
     assert spark.table("openmeteo_pm10_grid").columns[0] == "grid_key"
     spark.sql("DROP TABLE openmeteo_pm10_grid")
     assert sinks.save_state(df.select("cell").distinct(), str(tmp_path / "state")).count() == 2
+
+
+def test_parents_and_locations(spark, tmp_path):
+    from hazeworks.operators import incremental
+    from hazeworks.sources import files
+
+    (tmp_path / "m.json").write_text('{"locationId": 5}\n{"locationId": null}\n{"value": 1}\n')
+    rows = files.measurement_rows(spark, str(tmp_path / "m.json"), F.lit(7))
+    assert sorted(r.location_key for r in rows.collect()) == ["5", "7", "unknown"]
+    stations = spark.createDataFrame([("5",), ("7",)], "location_key string")
+    with pytest.raises(ValueError, match=r"location_key: unknown \(1\)"):
+        incremental.require_parents(rows, stations, "location_key")
+    assert incremental.require_parents(rows.where("location_key <> 'unknown'"), stations, "location_key").count() == 2
