@@ -21,7 +21,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -34,8 +34,8 @@ from hazeworks.llm.common import slices
 LEAF_CHARS, WINDOW_CHARS = 2048, 32
 #: A piece that doesn't reach the end of the text is decided by so many characters from its start, or by its own and the next.
 LOOK_AHEAD = 3
-#: Entries of a task's cache from piece to ids; pieces are mostly words.
-CACHE_ENTRIES = 600_000
+#: Entries of a generation of a task's cache from piece to ids, and the longest piece it keeps; pieces are mostly words.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE, NO_RANK = 128, 1 << 62
 
@@ -55,18 +55,20 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n > LONG_PIECE:
         return _merged_long(piece, ranks)
     get, cuts = ranks.get, list(range(n + 1))
+    ids = [ranks[piece[i : i + 1]] for i in range(n)]
     pairs = [get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
     while pairs:
         least = min(pairs)
         if least == NO_RANK:
             break
         i = pairs.index(least)
-        del cuts[i + 1], pairs[i]
+        ids[i] = least
+        del cuts[i + 1], pairs[i], ids[i + 1]
         if i:
             pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
         if i < len(pairs):
             pairs[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
-    return [ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])]
+    return ids
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,6 +102,26 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Recent(dict):
+    """Values of a function by argument. A full generation becomes the older one, whose entries come back as they are asked for."""
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]], entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.of, self.entries, self.older = of, entries, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.of(piece)
+            if len(piece) > CACHE_CHARS:
+                return found
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class TreeCodec:
     """Encodes by tree reduction; ``pieces`` of a text are its pattern matches in order, covering it."""
 
@@ -107,8 +129,9 @@ class TreeCodec:
         self.split = regex.compile(pattern).findall
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimals = {rank: str(rank) for rank in ranks.values()}
         self.leaf, self.window = leaf, window
-        self.cache: dict[str, tuple[int, str]] = {}
+        self.cache = Recent(lambda piece: tuple(self.ids(piece)))
 
     def pieces(self, text: str) -> list[str]:
         if len(text) <= self.leaf:
@@ -145,20 +168,8 @@ class TreeCodec:
     def ids(self, piece: str) -> list[int]:
         return merged(piece.encode("utf-8"), self.ranks)
 
-    def numbered(self, piece: str) -> tuple[int, str]:
-        """Number of ids of a piece and the ids as text."""
-        found = self.cache.get(piece)
-        if found is None:
-            ids = self.ids(piece)
-            found = (len(ids), " ".join(map(str, ids)))
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            if len(piece) <= 64:
-                self.cache[piece] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pieces(text) for i in self.ids(piece)]
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up a tree: halves of the ids, leaves by table."""
@@ -179,9 +190,8 @@ def _codec_task(ranks, pattern: str, key: str, text: str, out: pa.Schema, row: C
 
 
 def _digest_row(codec: TreeCodec, key, text: str) -> dict:
-    found = list(map(codec.numbered, codec.pieces(text)))
-    line = " ".join(s for _, s in found)
-    ids = list(map(int, line.split(" "))) if line else []
+    ids = codec.encode(text)
+    line = " ".join(map(codec.decimals.__getitem__, ids))
     return {"doc_id": key, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(line.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(codec.decode(ids)).hexdigest()}
 
 

@@ -54,3 +54,13 @@ def test_edges_and_driver_documents(spark, edge_docs):
         check(rows, texts)
     assert bpe.round_trip(edge_docs.limit(0), PATH, PATTERN).count() == 0
     assert [r.ids for r in bpe.encode_documents(edge_docs.where("doc_id = 5"), PATH, PATTERN).collect()] == [PLAIN.encode_ordinary("one two three")]
+
+
+def test_cache_in_generations():
+    asked = []
+    recent = bpe.Recent(lambda piece: asked.append(piece) or (len(piece),), 2)
+    assert [recent[p] for p in ["a", "bb", "ccc", "a", "bb", "dd", "ccc"]] == [(1,), (2,), (3,), (1,), (2,), (2,), (3,)]
+    assert asked == ["a", "bb", "ccc", "dd"]  # entries came back from the older generation
+    assert recent["a"] == (1,) and asked[-1] == "a"  # two generations later it is gone
+    long = "x" * (bpe.CACHE_CHARS + 1)
+    assert recent[long] == (len(long),) and long not in recent
