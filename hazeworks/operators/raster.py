@@ -105,8 +105,8 @@ def valid_cells(df: DataFrame, value: str, nodata: float = NODATA) -> DataFrame:
 
 
 def exported(df: DataFrame, bands: list[str]) -> DataFrame:
-    """Nulls as the nodata value, for writing rasters only."""
-    return df.withColumns({b: F.coalesce(F.col(b), F.lit(NODATA)) for b in bands})
+    """Nulls as the nodata value in the band's own type, for writing rasters only."""
+    return df.withColumns({b: F.coalesce(F.col(b), F.lit(NODATA).cast(df.schema[b].dataType)) for b in bands})
 
 
 def processed_granules(raw: DataFrame, meta: DataFrame, box: tuple[float, float, float, float], bands: list[str], qa: str = "qa", scale: float = 0.001, fill: int = -28672) -> tuple[DataFrame, DataFrame]:

@@ -58,3 +58,8 @@ def transfer(df: DataFrame, country: str, key: str, ts: str, target: str, held_o
     a, b = F.floor(F.col("_n") * F.lit(early)), F.floor(F.col("_n") * F.lit(late))
     split = F.when(~F.col(country).eqNullSafe(F.lit(target)), "base").when(F.col("_h").isNotNull(), "test_stations").when(F.col("_pos") < a, "fine_tune").when(F.col("_pos") < b, "validation").otherwise("test_later")
     return marked.withColumn("split", split).drop("_h", "_pos", "_n")
+
+
+def at_places(df: DataFrame, places: DataFrame, key: str = "location_key") -> DataFrame:
+    """Rows whose key is among ``places``, which may repeat it; null keys are among none."""
+    return df.join(places.select(key), key, "left_semi")

@@ -137,6 +137,16 @@ def nulled_totals(spark, sf_dir):
     return cleaning.nulled_totals(cells).withColumn("nulled", F.col("nulled").cast("long"))
 
 
+@query("""WITH c AS (SELECT p_brand, count_if(p_size NOT BETWEEN 5 AND 45) AS sizes, count_if(p_retailprice NOT BETWEEN 950 AND 1050) AS prices FROM part GROUP BY p_brand),
+u AS (SELECT 'p_size' AS parameter, sizes AS nulled FROM c UNION ALL SELECT 'p_retailprice', prices FROM c)
+SELECT parameter, CAST(sum(nulled) AS BIGINT) AS nulled FROM u WHERE nulled > 0 GROUP BY ROLLUP (parameter)""")
+def nulled_by_bounds(spark, sf_dir):
+    """Cells of two parameters that limits null, per parameter and over both."""
+    raw = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice")
+    clean = cleaning.bounded(raw, {"p_size": (5, 45), "p_retailprice": (950.0, 1050.0)})
+    return cleaning.nulled_totals(cleaning.nulled_cells(raw, clean, ["p_brand"], "p_partkey", ["p_size", "p_retailprice"]))
+
+
 # Aggregates and reshaping
 
 
@@ -767,6 +777,22 @@ def exported_bands(spark, sf_dir):
     return raster.exported(events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 5 != 1, F.col("value")).alias("value")), ["value"])
 
 
+@query(_DEGREES + """, g AS (SELECT CAST(event_id // 100 AS VARCHAR) AS raster_id, event_id % 100 // 10 AS r, event_id % 10 AS k,
+CASE WHEN (event_id % 16 & 3) <= 1 AND (event_id % 16 & 4) = 0 AND event_id % 7 <> 0 THEN CAST(event_id * 0.001::DOUBLE AS FLOAT) END AS b1,
+CASE WHEN (event_id % 16 & 3) <= 1 AND (event_id % 16 & 4) = 0 THEN CAST(floor(value) * 0.001::DOUBLE AS FLOAT) END AS b2
+FROM events JOIN p USING (event_id) WHERE lat BETWEEN 7.3 AND 7.9 AND lon BETWEEN 0.2 AND 0.7),
+x AS (SELECT raster_id, min(r) AS r0, max(r) AS r1, min(k) AS c0, max(k) AS c1 FROM g WHERE coalesce(b1, b2) IS NOT NULL GROUP BY raster_id)
+SELECT raster_id, CAST(r - r0 AS INTEGER) AS "row", CAST(k - c0 AS INTEGER) AS "col", coalesce(b1, CAST(-9999 AS FLOAT)) AS b1, coalesce(b2, CAST(-9999 AS FLOAT)) AS b2
+FROM g JOIN x USING (raster_id) WHERE r BETWEEN r0 AND r1 AND k BETWEEN c0 AND c1""")
+def processed_granules(spark, sf_dir):
+    """The whole chain over two bands of all rasters: scaled, masked, clipped, trimmed, nulls as nodata."""
+    pixels, meta = _rasters(spark, sf_dir)
+    k = F.col("event_id")
+    bands = events(spark, sf_dir).select("event_id", F.when(k % 7 == 0, -28672).otherwise(k).alias("b1"), F.floor("value").alias("b2"), (k % 16).cast("int").alias("qa"))
+    good, _ = raster.processed_granules(pixels.join(bands, "event_id").drop("event_id"), meta, (0.2, 7.3, 0.7, 7.9), ["b1", "b2"])
+    return raster.exported(good, ["b1", "b2"]).select("raster_id", "row", "col", "b1", "b2")
+
+
 # Models: no SQL, tested by their properties
 
 

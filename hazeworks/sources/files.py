@@ -95,6 +95,29 @@ def flat_locations(documents: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of training tables that aren't numbers.
+TRAINING_TEXTS = ["location_key", "location_name", "city", "country", "provider", "timezone"]
+
+
+def training_tables(spark: SparkSession, measurements: str | list[str], locations: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Measurements and locations of a model's input from CSVs with headers; keys and names are texts, all other columns numbers.
+
+    Cells that can't be read are null, NaN as well. A time that can't be read is an error once its row is used: a split by time would
+    lose the row. Files of one path are read by the first one's header, and an error ends the scan where another differs.
+    """
+
+    def read(path: str | list[str], needed: list[str]) -> DataFrame:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+        missing = [c for c in needed if c not in raw.columns]
+        if missing:
+            raise ValueError(f"no {', '.join(missing)} in {path}: {raw.columns}")
+        kinds = {"timestamp_utc": lambda c: c.cast("timestamp")} | {t: lambda c: c for t in TRAINING_TEXTS}
+        number = lambda c: nan_to_null(c.try_cast("double"))
+        return raw.select(*(kinds.get(c, number)(F.col(f"`{c}`")).alias(c) for c in raw.columns))
+
+    return read(measurements, ["location_key", "timestamp_utc"]), read(locations, ["location_key"])
+
+
 def location_sensors(documents: DataFrame) -> DataFrame:
     """One row per sensor of each location, with its parameter and the location's first instant."""
     rows = documents.select(F.col("id").alias("location_id"), F.col("datetimeFirst.utc").alias("first_seen"), F.explode("sensors").alias("s"))

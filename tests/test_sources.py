@@ -81,3 +81,20 @@ def test_parents_and_locations(spark, tmp_path):
     with pytest.raises(ValueError, match=r"location_key: unknown \(1\)"):
         incremental.require_parents(rows, stations, "location_key")
     assert incremental.require_parents(rows.where("location_key <> 'unknown'"), stations, "location_key").count() == 2
+
+
+def test_training_tables(spark, tmp_path):
+    from hazeworks.operators import splits
+    from hazeworks.sources import files
+
+    (tmp_path / "m.csv").write_text("location_key,timestamp_utc,pm25\n007,2025-01-01 00:00:00,1.5\n007,2025-01-01 01:00:00,n/a\n8,2025-01-01 02:00:00,NaN\n")
+    (tmp_path / "l.csv").write_text("location_key,city,latitude\n007,Bonn,50.7\n8,,x\n")
+    m, places = files.training_tables(spark, str(tmp_path / "m.csv"), str(tmp_path / "l.csv"))
+    assert sorted((r.location_key, str(r.timestamp_utc), r.pm25) for r in m.collect()) == [("007", "2025-01-01 00:00:00", 1.5), ("007", "2025-01-01 01:00:00", None), ("8", "2025-01-01 02:00:00", None)]
+    assert sorted(map(tuple, places.collect())) == [("007", "Bonn", 50.7), ("8", None, None)]
+    assert splits.at_places(m, places.where("city is null")).count() == 1
+    (tmp_path / "bad.csv").write_text("location_key,timestamp_utc\n7,noon\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.training_tables(spark, str(tmp_path / "bad.csv"), str(tmp_path / "l.csv"))[0].collect()
+    with pytest.raises(ValueError, match="timestamp_utc"):
+        files.training_tables(spark, str(tmp_path / "l.csv"), str(tmp_path / "l.csv"))
