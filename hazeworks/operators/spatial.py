@@ -36,21 +36,25 @@ def metric_grid(spark: SparkSession, low: tuple[float, float], high: tuple[float
 
 #: Points of a leaf, about; and how often a crowded square is halved at most.
 CROWD, DEPTH = 20_000, 8
+#: Rows of one place that travel as one, at most about; and how many tasks may share a leaf.
+MEMBERS, DEALT = 4096, 8
 
 
-def leaves(points: DataFrame, radius: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def leaves(points: DataFrame, radius: float, crowd: int = CROWD, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Points with their leaf, and the leaves, of a quadtree over squares of side ``radius``: (sx, sy, level, lx, ly) and a number, ``part``.
 
     A square of more than ``crowd`` points is quartered, and so on, ``DEPTH`` times at most; what is as crowded then, points in one place, is
-    dealt to ``parts`` by hash. Counts are all that the tree is made from, and only those of crowded squares are kept below the square.
+    dealt to ``parts`` by hash. Counts are all that the tree is made from, and only those of crowded squares are kept below the square. With
+    ``weight`` a row counts as so many points.
     """
+    size = F.count("*") if weight is None else F.sum(weight)
     unit = 1 << DEPTH
     inner = lambda c: F.least(F.lit(unit - 1), F.floor((c / radius - F.floor(c / radius)) * unit)).cast("int")
     square = lambda c: F.floor(c / radius).cast("long")
     placed = points.withColumns({"sx": square(F.col("px")), "sy": square(F.col("py")), "_ux": inner(F.col("px")), "_uy": inner(F.col("py"))})
-    squares = placed.groupBy("sx", "sy").agg(F.count("*").alias("n"))
+    squares = placed.groupBy("sx", "sy").agg(size.alias("n"))
     crowded = squares.where(F.col("n") > crowd).select("sx", "sy")
-    fine = placed.select("sx", "sy", "_ux", "_uy").join(crowded, ["sx", "sy"], "left_semi").groupBy("sx", "sy", "_ux", "_uy").agg(F.count("*").alias("n"))
+    fine = placed.join(crowded, ["sx", "sy"], "left_semi").groupBy("sx", "sy", "_ux", "_uy").agg(size.alias("n"))
     at = lambda c, level: F.shiftright(c, DEPTH - level)
     counts = {f"_c{k}": F.sum("n").over(Window.partitionBy("sx", "sy", at("_ux", k), at("_uy", k))) for k in range(1, DEPTH + 1)}
     level = F.coalesce(*(F.when(F.col(f"_c{k}") <= crowd, k) for k in range(1, DEPTH + 1)), F.lit(DEPTH))
@@ -65,13 +69,23 @@ def leaves(points: DataFrame, radius: float, crowd: int = CROWD) -> tuple[DataFr
     return dealt.withColumn("part", number), tree
 
 
-def radius_join(cells: DataFrame, points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:
-    """Pairs of cells (x, y) and points (px, py) under ``radius`` apart, with their squared distance d2.
+def places(df: DataFrame, x: str, y: str, members: str) -> DataFrame:
+    """One row per place (x, y) with its rows' other columns as an array of structs, ``members``; a place of many rows has several, dealt by hash."""
+    others = [F.col(c) for c in df.columns if c not in (x, y)] or [F.lit(0).alias("_")]
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    full = rows.groupBy(x, y).agg(F.count("*").alias("_n")).where(F.col("_n") > MEMBERS)
+    number = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.ceil(F.col("_n") / MEMBERS), F.lit(1)))
+    return rows.join(full, [x, y], "left").groupBy(x, y, number.alias("_number")).agg(F.collect_list(F.struct(*others)).alias(members)).drop("_number")
+
+
+def place_pairs(cells: DataFrame, points: DataFrame, radius: float, crowd: int = CROWD, weight: Column | None = None) -> DataFrame:
+    """Rows of cells (x, y) and points (px, py) under ``radius`` apart, with their squared distance d2.
 
     An equi-join: each cell meets the leaves (see ``leaves``) of its square and the eight around it that are in reach, and the points of these. No
-    nested loop, whatever the number of points, and no key with more than about ``crowd`` of them, wherever they crowd.
+    nested loop, whatever the number of points, and no key with more than about ``crowd`` of them, wherever they crowd. The cells of a leaf are
+    dealt to ``DEALT`` tasks, as pairs are many more than the rows by which Spark sizes its partitions.
     """
-    dealt, tree = leaves(points, radius, crowd)
+    dealt, tree = leaves(points, radius, crowd, weight)
     side = lambda c, i: (F.floor(c / radius) + i).cast("long")
     around = F.explode(F.array(*(F.struct(side(F.col("x"), i).alias("sx"), side(F.col("y"), j).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     near = cells.withColumn("_s", around).withColumns({"sx": F.col("_s.sx"), "sy": F.col("_s.sy")}).drop("_s").join(tree, ["sx", "sy"])
@@ -81,9 +95,23 @@ def radius_join(cells: DataFrame, points: DataFrame, radius: float, crowd: int =
     # A little more than the radius, for rounding at a leaf's edges.
     reached = near.where(dx * dx + dy * dy <= radius * radius * (1 + 1e-9)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     leaf = ["sx", "sy", "level", "lx", "ly"]
-    own = dealt.join(tree, leaf).withColumn("part", F.pmod("part", "parts")).drop("parts")
+    own = dealt.join(tree, leaf).withColumn("part", F.pmod("part", "parts")).drop("parts").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    reached = reached.withColumn("_deal", F.pmod(F.xxhash64("x", "y"), F.lit(DEALT)).cast("int"))
+    key, n = [*leaf, "part", "_deal"], int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    return reached.join(own, [*leaf, "part"]).drop(*leaf, "part").withColumn("d2", d2).where(F.col("d2") < radius * radius)
+    return reached.repartition(n, *key).join(own.repartition(n, *key), key).drop(*key).withColumn("d2", d2).where(F.col("d2") < radius * radius)
+
+
+def radius_join(cells: DataFrame, points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:
+    """Pairs of cells (x, y) and points (px, py) under ``radius`` apart, with their squared distance d2.
+
+    Places are joined (see ``place_pairs``) and then spread to the cells and points in them. The pairs of two places follow each other, so where many
+    share a place columns are written as runs.
+    """
+    pairs = place_pairs(places(cells, "x", "y", "_cells"), places(points, "px", "py", "_points"), radius, crowd, F.size("_points"))
+    of = lambda df, name, x, y: [F.col(f"{name}.{c}").alias(c) for c in df.columns if c not in (x, y)]
+    spread = pairs.withColumn("_point", F.explode("_points")).drop("_points").withColumn("_cell", F.explode("_cells"))
+    return spread.select("x", "y", *of(cells, "_cell", "x", "y"), "px", "py", *of(points, "_point", "px", "py"), "d2")
 
 
 def idw_mean(value: Column, d2: Column, point: Column, power: float = 2.0) -> Column:

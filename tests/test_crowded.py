@@ -31,3 +31,22 @@ def test_no_points(spark):
     cells = spark.createDataFrame([(1, 0.0, 0.0)], "cell int, x double, y double")
     assert spatial.radius_join(cells, none, 10.0).count() == 0
     assert spatial.radius_join(cells.limit(0), none, 10.0).count() == 0
+
+
+def test_pairs_of_two_places_follow_each_other(spark):
+    """200 cells in each of 4 places, 50 points in each of 5: all pairs, in one run for every two places."""
+    cells = spark.range(800).selectExpr("id AS cell", "double(id % 4 * 100) AS x", "double(0) AS y")
+    points = spark.range(250).selectExpr("id AS station", "double(id % 5 * 90) AS px", "double(10) AS py")
+    parts = spatial.radius_join(cells, points, 1000.0).select("x", "px", "cell", "station", "d2").rdd.glom().collect()
+    rows = [tuple(r) for part in parts for r in part]
+    assert len(rows) == len({(r[2], r[3]) for r in rows}) == 800 * 250
+    assert all(r[4] == (r[0] - r[1]) ** 2 + 100 for r in rows)
+    assert sum(a[:2] != b[:2] for a, b in zip(rows, rows[1:])) == 4 * 5 - 1
+
+
+def test_places_of_many_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MEMBERS", 10)
+    rows = spark.range(205).selectExpr("id", "double(greatest(id - 199, 0)) AS x", "double(0) AS y", "id % 3 AS other")
+    got = spatial.places(rows, "x", "y", "members").collect()
+    assert sorted(m.id for r in got for m in r.members) == list(range(205))
+    assert max(len(r.members) for r in got) <= 30 and len(got) > 20
