@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazeworks.shared import written
+
 
 def grid_centres(spark: SparkSession, box: tuple[float, float, float, float], step: float = 0.25) -> DataFrame:
     """Cell centres (latitude, longitude) of a box in degrees, rounded to four digits; a last centre on the edge counts."""
@@ -124,11 +126,19 @@ def idw_mean(value: Column, d2: Column, point: Column, power: float = 2.0) -> Co
 def idw_surface(readings: DataFrame, points: DataFrame, cells: DataFrame, cell_keys: list[str], keys: list[str], point: str = "station", value: str = "value", radius: float = 10_000.0) -> DataFrame:
     """Interpolated value per group of ``keys`` (hour, band) and cell in reach of a point.
 
-    The geometry is joined once per cell and point; readings join it by point, and one aggregation makes all surfaces.
+    Cells of one place have one estimate, and points of one place one weight: distinct places are joined, once for all groups, and readings
+    join them as sums by group and place. Work is quadratic in distinct places within ``radius``, not in rows.
     """
-    reach = radius_join(cells, points, radius).select(*cell_keys, point, "d2")
-    pairs = readings.select(*keys, point, value).where(F.col(value).isNotNull()).join(reach, point)
-    return pairs.groupBy(*keys, *cell_keys).agg(idw_mean(F.col(value), F.col("d2"), F.col(point)).alias("estimate"))
+    valued = readings.select(*keys, point, value).where(F.col(value).isNotNull()).join(points.select(point, "px", "py"), point)
+    sums = valued.groupBy(*keys, "px", "py").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"), F.min_by(value, point).alias("_first"))
+    # Written, so that Spark knows its size: small sums are sent to the pairs, which then stay where they are.
+    sums = written(sums, "readings")
+    pairs = place_pairs(cells.select("x", "y").distinct(), points.select("px", "py").distinct(), radius)
+    weight = F.when(F.col("d2") > 0, 1 / F.col("d2"))
+    exact = F.max(F.when(F.col("d2") == 0, F.col("_first")))
+    estimate = F.coalesce(exact, F.try_divide(F.sum(F.col("_sum") * weight), F.sum(F.col("_n") * weight)))
+    surface = pairs.join(sums, ["px", "py"]).groupBy(*keys, "x", "y").agg(estimate.alias("estimate"))
+    return cells.select(*cell_keys, "x", "y").distinct().join(surface, ["x", "y"]).select(*keys, *cell_keys, "estimate")
 
 
 def leave_one_out(readings: DataFrame, keys: list[str], point: str, x: str, y: str, value: str, least: int = 3) -> DataFrame:

@@ -50,3 +50,19 @@ def test_places_of_many_rows_are_dealt(spark, monkeypatch):
     got = spatial.places(rows, "x", "y", "members").collect()
     assert sorted(m.id for r in got for m in r.members) == list(range(205))
     assert max(len(r.members) for r in got) <= 30 and len(got) > 20
+
+
+def test_idw_joins_places_once(spark, monkeypatch):
+    """Many cells and readings in few places: pairs are those of places, estimates those of all readings."""
+    cells = spark.range(400).selectExpr("id AS cell", "double(id % 4 * 100) AS x", "double(0) AS y")
+    points = spark.range(60).selectExpr("id AS station", "double(id % 5 * 50) AS px", "double(id % 5 % 2) AS py")
+    readings = points.selectExpr("station", "explode(array(1, 2)) AS hour", "CASE WHEN station % 7 > 0 THEN double(station % 11) END AS value").withColumn("value", F.col("value") * F.col("hour"))
+    seen, pairs = [], spatial.place_pairs
+    monkeypatch.setattr(spatial, "place_pairs", lambda *a, **b: seen.append(pairs(*a, **b)) or seen[-1])
+    got = {(r.hour, r.cell): r.estimate for r in spatial.idw_surface(readings, points, cells, ["cell"], ["hour"], radius=1000.0).collect()}
+    assert seen[0].count() == 4 * 5 and len(got) == 800
+    for (hour, cell), estimate in got.items():
+        own = [(i % 11 * hour, (cell % 4 * 100 - i % 5 * 50) ** 2 + i % 5 % 2) for i in range(60) if i % 7]
+        on = [v for v, d in own if d == 0]
+        want = on[0] if on else sum(v / d for v, d in own) / sum(1 / d for _, d in own)
+        assert abs(estimate - want) < 1e-9
