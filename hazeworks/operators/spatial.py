@@ -141,15 +141,20 @@ def idw_surface(readings: DataFrame, points: DataFrame, cells: DataFrame, cell_k
     return cells.select(*cell_keys, "x", "y").distinct().join(surface, ["x", "y"]).select(*keys, *cell_keys, "estimate")
 
 
-def leave_one_out(readings: DataFrame, keys: list[str], point: str, x: str, y: str, value: str, least: int = 3) -> DataFrame:
-    """Prediction of each reading from the other points of its group, by inverse squared distance; small groups leave."""
+def leave_one_out(readings: DataFrame, keys: list[str], point: str, x: str, y: str, value: str, least: int = 3, exact: bool = True) -> DataFrame:
+    """Prediction of each reading from the other points of its group, by inverse squared distance; small groups leave.
+
+    Where another point is in the same place its value is the prediction or, unless ``exact``, NaN: the quotient of infinite sums.
+    """
     real = readings.where(F.col(value).isNotNull())
     big = real.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
     real = real.join(big, keys, "left_semi")
     other = real.select(*keys, F.col(point).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
     pairs = real.join(other, keys).where(F.col(point) != F.col("_p"))
     d2 = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y"))
-    return pairs.withColumn("_d2", d2).groupBy(*keys, point).agg(F.first(value).alias("observed"), idw_mean(F.col("_v"), F.col("_d2"), F.col("_p")).alias("predicted"))
+    mean = idw_mean(F.col("_v"), F.col("_d2"), F.col("_p"))
+    mean = mean if exact else F.when(F.min("_d2") == 0, float("nan")).otherwise(mean)
+    return pairs.withColumn("_d2", d2).groupBy(*keys, point).agg(F.first(value).alias("observed"), mean.alias("predicted"))
 
 
 def error_metrics(df: DataFrame, keys: list[str], predicted: str = "predicted", observed: str = "observed") -> DataFrame:

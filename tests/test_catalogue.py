@@ -62,3 +62,19 @@ def test_entry_without_the_training_data_subpackage(monkeypatch):
     assert set(alone.oracle_sql()) == set(catalogue.oracle_sql())
     monkeypatch.undo()
     sys.modules["__spark_entry__"] = entry
+
+
+def test_leave_one_out_of_stations_in_one_place(spark, tmp_path):
+    """Keys 40,000 apart share a place: infinite weights in the SQL, whose quotient is NaN, not the other station's value."""
+    con = duckdb.connect()
+    con.execute(f"copy (select s.* replace (s_suppkey + i * 40000 as s_suppkey) from '{SF}/supplier.parquet' s, range(3) r(i) where i = 0 or s_nationkey % 2 = 0) to '{tmp_path}/supplier.parquet'")
+    con.execute(f"copy (from '{SF}/part.parquet') to '{tmp_path}/part.parquet'")
+    for t in ("supplier", "part"):
+        con.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    # Fewer than three stations have no row, those in one place NaN.
+    rows = con.execute(catalogue.oracle_sql()["leave_one_out_errors"])
+    names, want = [c[0] for c in rows.description], rows.fetchall()
+    got = [tuple(r) for r in catalogue.queries()["leave_one_out_errors"](spark, str(tmp_path)).select(*names).collect()]
+    nan = lambda rows: sorted(r[0] for r in rows if r[2] is not None and r[2] != r[2])
+    assert nan(got) == nan(want) != []
+    assert sorted(r[:2] for r in got) == sorted(r[:2] for r in want)
