@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeworks.operators.neighbours import in_reach, within_reach
-from hazeworks.shared import written
+from hazeworks.shared import one_thread, written
 
 
 def spherical(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
@@ -20,7 +20,11 @@ def spherical(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.nda
 
 
 def fit_spherical(x: np.ndarray, y: np.ndarray, far: float) -> tuple[float, float, float]:
-    """Least squares over lag means (distance x, semivariance y): for each of some reaches up to 1.5 times the farthest pair, the best non-negative nugget and sill."""
+    """Least squares over lag means (distance x, semivariance y): for each of some reaches up to 1.5 times the farthest pair, the best non-negative nugget and sill.
+
+    Of fits that are as good but for rounding the first is taken, so that the order of sums doesn't decide.
+    """
+    same = 1e-10 * float(y @ y)
     best = (np.inf, 0.0, max(float(y.mean()), 1e-12), far)
     for reach in np.linspace(far / 10, far * 1.5, 30) if far > 0 else []:
         shape = spherical(x, 0.0, 1.0, reach)
@@ -29,7 +33,7 @@ def fit_spherical(x: np.ndarray, y: np.ndarray, far: float) -> tuple[float, floa
         for nugget, sill in fits:
             if nugget >= 0 and sill >= 0 and nugget + sill > 0:
                 error = float(((nugget + sill * shape - y) ** 2).sum())
-                if error < best[0]:
+                if error < best[0] - same:
                     best = (error, float(nugget), float(sill), float(reach))
     return best[1:] if far > 0 else (best[1], best[2], 1.0)
 
@@ -67,20 +71,31 @@ def factor(px: np.ndarray, py: np.ndarray, model: tuple[float, float, float]) ->
     return np.linalg.pinv(left, rcond=np.finfo(float).eps * (n + 1), hermitian=True)
 
 
+#: Cells that are solved at once.
+CELLS = 256
+
+
 def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float] | None = None, inverse: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ordinary kriging estimate and variance; one point, or equal values, give a constant surface of variance 0. ``inverse``: the points' ``factor``."""
     if len(v) == 1 or np.ptp(v) == 0:
         return np.full(len(x), v[0]), np.zeros(len(x))
     model = model or fit(px, py, v)
     inverse = factor(px, py, model) if inverse is None else inverse
-    right = np.ones((len(v) + 1, len(x)))
-    right[:-1] = spherical(np.hypot(px[:, None] - x, py[:, None] - y), *model)
-    weights = inverse @ right
-    return weights[:-1].T @ v, (weights * right).sum(axis=0)
+    estimate, variance = np.empty(len(x)), np.empty(len(x))
+    for at in range(0, len(x), CELLS):
+        cell = slice(at, at + CELLS)
+        right = np.ones((len(v) + 1, len(x[cell])))
+        right[:-1] = spherical(np.hypot(px[:, None] - x[cell], py[:, None] - y[cell]), *model)
+        weights = inverse @ right
+        estimate[cell], variance[cell] = weights[:-1].T @ v, (weights * right).sum(axis=0)
+    return estimate, variance
 
 
-#: Cells whose neighbourhoods are solved at once.
-CELLS = 256
+def merged(px: np.ndarray, py: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places, their mean values, and each point's place. Points in one place share a weight, so kriging needs no more than these."""
+    spots, of = np.unique(np.stack([px, py], 1), axis=0, return_inverse=True)
+    of = of.ravel()
+    return spots[:, 0], spots[:, 1], np.bincount(of, v) / np.bincount(of), of
 
 
 def krige_nearest(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,30 +113,35 @@ def krige_nearest(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray,
     return estimate, variance
 
 
-#: A network has at most so many stations (with a moving neighbourhood, and without), and a grid so many tiles; more are refused, not cut.
-MOST_NEAREST, MOST_STATIONS, MOST_TILES = 20_000, 2000, 100_000
-#: Up to so many stations the system's factor travels from the group to its tiles.
-CARRIED = 512
+#: A network has at most so many stations (with a moving neighbourhood) or places with stations (without), and a grid so many tiles; more are refused, not cut.
+MOST_NEAREST, MOST_STATIONS, MOST_TILES = 20_000, 4000, 100_000
+#: Cells that meet a group's stations in one row, about, and the most tasks these rows are spread over.
+SLICE, MOST_TASKS = 10_000, 2000
 #: Side of a tile of cells, and of the squares that are searched first for neighbours.
 TILE = 5000.0
 
 
 def _networks(readings: DataFrame, keys: list[str], px: str, py: str, value: str, most: int) -> DataFrame:
-    """One row per group with its valued stations as an array, empty where there are none."""
+    """One row per group with its valued stations as an array, empty where there are none; one station stands for a group of equal values."""
     valued = F.when(F.col(value).isNotNull(), F.struct(px, py, value))
-    stations = F.sort_array(F.collect_list(valued)).alias("stations")
-    few = F.when(F.size("stations") <= most, F.col("stations")).otherwise(F.raise_error(F.lit(f"more than {most} stations in a group")))
-    return readings.groupBy(*keys).agg(stations).withColumn("stations", few)
+    groups = readings.groupBy(*keys).agg(F.sort_array(F.collect_list(valued)).alias("stations"), (F.min(value) == F.max(value)).alias("_equal"))
+    one = F.when(F.col("_equal"), F.slice("stations", 1, 1)).otherwise(F.col("stations"))
+    return groups.select(*keys, _few(one, F.size(one), most).alias("stations"))
+
+
+def _few(stations: Column, size: Column, most: int) -> Column:
+    return F.when(size <= most, stations).otherwise(F.raise_error(F.lit(f"more than {most} stations in a group")))
 
 
 def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str = "px", py: str = "py", value: str = "value", nearest: int | None = None) -> DataFrame:
     """Kriging of every group of ``keys`` (hour, band) onto all cells (x, y): estimate and variance, null for groups without a value.
 
-    Each group's variogram is fitted once. Every group then meets every tile of the fixed grid, a tile of cells at a time, so no
-    task holds a whole surface. All stations count: the system is factored once a group and its factor carried to the tiles (to ``CARRIED`` stations;
-    beyond, tiles factor it themselves). Or, with ``nearest``, each cell takes its so many nearest stations: tiles then get the stations that
-    may be among those, found by growing squares, and solve a small system for each cell.
+    Each group's variogram is fitted once. All stations count: those in one place are one, of their mean value, cells of one place are
+    solved once, and every group meets every slice of ``SLICE`` places, for which it factors its system. Or, with ``nearest``, each cell takes its
+    so many nearest stations: tiles of the grid then get the stations that may be among those, found by growing squares, and solve a small system for each cell.
     """
+    if nearest is None:
+        return _whole_surface(readings, cells, keys, cell_keys, px, py, value)
     tiles = cells.withColumns({"_tx": F.floor(F.col("x") / TILE).cast("long"), "_ty": F.floor(F.col("y") / TILE).cast("long")})
     blocks = tiles.groupBy("_tx", "_ty").agg(F.collect_list(F.struct(*cell_keys, "x", "y")).alias("cells"))
     listed = tiles.select("_tx", "_ty").distinct().orderBy("_tx", "_ty").limit(MOST_TILES + 1).collect()
@@ -137,26 +157,25 @@ def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_
             for row in pdf.itertuples(index=False):
                 a = array(row.stations)
                 model = fit(a[:, 0], a[:, 1], a[:, 2]) if len(a) else (0.0, 0.0, 1.0)
-                carry = nearest is None and 1 < len(a) <= CARRIED and model[0] + model[1] > 0
-                out.append((list(model), factor(a[:, 0], a[:, 1], model).tobytes() if carry else None))
-            yield pdf.assign(model=[m for m, _ in out], factor=[f for _, f in out])
+                out.append(list(model))
+            yield pdf.assign(model=out)
 
-    points = _networks(readings, keys, px, py, value, MOST_STATIONS if nearest is None else MOST_NEAREST)
-    models = points.mapInPandas(fitted, f"{names}, stations {points.schema['stations'].dataType.simpleString()}, model array<double>, factor binary")
+    points = _networks(readings, keys, px, py, value, MOST_NEAREST)
+    models = points.mapInPandas(fitted, f"{names}, stations {points.schema['stations'].dataType.simpleString()}, model array<double>")
     tile = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("_tx"), F.lit(r[1]).alias("_ty")) for r in listed)) if listed else F.array().cast("array<struct<_tx: bigint, _ty: bigint>>")).alias("t")
-    if nearest is not None and listed:
+    if listed:
         models = written(models, "kriging")
         # Constant groups, and such as have no more stations than are asked for, take them all.
         many = (F.size("stations") > nearest) & (F.col("model")[0] + F.col("model")[1] > 0)
         spots = models.where(many).select(*keys, F.explode("stations").alias("s")).select(*keys, F.col(f"s.{px}").alias("px"), F.col(f"s.{py}").alias("py"), F.col(f"s.{value}").alias("_value"))
-        wide = models.where(many).select(*keys, "model", "factor", tile).select(*keys, "model", "factor", "t.*")
+        wide = models.where(many).select(*keys, "model", tile).select(*keys, "model", "t.*")
         centred = wide.withColumns({"cx": (F.col("_tx") + 0.5) * TILE, "cy": (F.col("_ty") + 0.5) * TILE, "half": F.lit(TILE * 2**0.5 / 2)})
-        reach = within_reach(centred.drop("model", "factor"), spots, keys, ["_tx", "_ty"], nearest, TILE)
+        reach = within_reach(centred.drop("model"), spots, keys, ["_tx", "_ty"], nearest, TILE)
         chosen = in_reach(reach, spots, keys, ["_tx", "_ty"], ["px", "py", "_value"], TILE)
-        own = wide.join(chosen, [*keys, "_tx", "_ty"]).select(*keys, F.transform("points", lambda p: F.struct(p["px"].alias(px), p["py"].alias(py), p["_value"].alias(value))).alias("stations"), "model", "factor", "_tx", "_ty")
-        work = own.unionByName(models.where(~many).select(*keys, "stations", "model", "factor", tile).select(*keys, "stations", "model", "factor", "t.*"))
+        own = wide.join(chosen, [*keys, "_tx", "_ty"]).select(*keys, F.transform("points", lambda p: F.struct(p["px"].alias(px), p["py"].alias(py), p["_value"].alias(value))).alias("stations"), "model", "_tx", "_ty")
+        work = own.unionByName(models.where(~many).select(*keys, "stations", "model", tile).select(*keys, "stations", "model", "t.*"))
     else:
-        work = models.select(*keys, "stations", "model", "factor", tile).select(*keys, "stations", "model", "factor", "t.*")
+        work = models.select(*keys, "stations", "model", tile).select(*keys, "stations", "model", "t.*")
     work = work.join(blocks, ["_tx", "_ty"])
 
     def solve(batches):
@@ -170,19 +189,64 @@ def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_
                 if len(spots):
                     sx, sy, v = numbers(spots, px, py, value)
                     x, y = numbers(places, "x", "y")
-                    if nearest is not None and len(v) > nearest and model[0] + model[1] > 0:
+                    if len(v) > nearest and model[0] + model[1] > 0:
                         estimate, variance = krige_nearest(sx, sy, v, x, y, model, nearest)
                     else:
-                        held = row.column("factor")[0]
-                        inverse = np.frombuffer(held.as_buffer()).reshape(len(v) + 1, -1) if held.is_valid else None
-                        estimate, variance = krige(sx, sy, v, x, y, model, inverse)
+                        estimate, variance = krige(sx, sy, v, x, y, model)
                 first = pa.array(np.zeros(n, np.int32))
                 out = [row.column(k).take(first) for k in keys] + [pc.struct_field(places, [c]) for c in cell_keys]
                 out += [pa.nulls(n, pa.float64()) if e is None else pa.array(e) for e in (estimate, variance)]
                 yield pa.RecordBatch.from_arrays(out, names=[*keys, *cell_keys, "estimate", "variance"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, *cell_keys]) + ", estimate double, variance double"
-    return work.select(*keys, "stations", "model", "factor", "cells").mapInArrow(solve, schema)
+    return work.select(*keys, "stations", "model", "cells").mapInArrow(solve, schema)
+
+
+def _whole_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_keys: list[str], px: str, py: str, value: str) -> DataFrame:
+    spark, types, most = readings.sparkSession, dict(readings.dtypes), MOST_STATIONS
+    names = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def fitted(batches):
+        one_thread()
+        for pdf in batches:
+            out = []
+            for stations in pdf.stations:
+                a = np.array([(r[px], r[py], r[value]) for r in stations], float).reshape(-1, 3).T
+                model = fit(*a) if len(a[2]) else (0.0, 0.0, 1.0)
+                x, y, v, _ = merged(*a)
+                if len(v) > most:
+                    raise ValueError(f"more than {most} stations in a group")
+                out.append((x, y, v, np.array(model)))
+            yield pdf[keys].assign(**{c: [o[i] for o in out] for i, c in enumerate(("_x", "_y", "_v", "_model"))})
+
+    points = _networks(readings, keys, px, py, value, (1 << 31) - 1).repartition(_tasks(spark))
+    # Written, as each slice reads them, and to count them: partitions by size would put all of these few rows into one task.
+    models = written(points.mapInPandas(fitted, f"{names}, _x array<double>, _y array<double>, _v array<double>, _model array<double>"), "kriging")
+    spots = cells.select("x", "y").where("x is not null and y is not null").distinct()
+    n = max(1, -(-spots.count() // SLICE))
+    slices = spots.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(n)).cast("int").alias("_slice")).agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
+    work = models.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(slices, "_slice").repartition(max(1, min(models.count() * n, MOST_TASKS)))
+
+    def solve(batches):
+        one_thread()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                sx, sy, v, model = (row.column(c).flatten().to_numpy() for c in ("_x", "_y", "_v", "_model"))
+                places = row.column("_cells").flatten()
+                x, y = (pc.struct_field(places, [c]) for c in ("x", "y"))
+                numbers = [c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y)]
+                out = [pa.array(e) for e in krige(sx, sy, v, *numbers, tuple(model))] if len(v) else [pa.nulls(len(x), pa.float64())] * 2
+                yield pa.RecordBatch.from_arrays([*(row.column(k).take(pa.array(np.zeros(len(x), np.int32))) for k in keys), x, y, *out], names=[*keys, "x", "y", "estimate", "variance"])
+
+    schema = f"{names}, x {dict(cells.dtypes)['x']}, y {dict(cells.dtypes)['y']}, estimate double, variance double"
+    solved = work.select(*keys, "_x", "_y", "_v", "_model", "_cells").mapInArrow(solve, schema)
+    return cells.select(*cell_keys, "x", "y").join(solved, ["x", "y"]).select(*keys, *cell_keys, "estimate", "variance")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Partitions for rows that are few and dear."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:

@@ -101,3 +101,17 @@ def test_grid_of_the_metropolis(spark):
     grid = spatial.metric_grid(spark, (270_013.0, 1_580_050.0), (308_190.0, 1_626_840.0))
     r = grid.agg(F.count("*").alias("n"), F.max("row").alias("row"), F.max("col").alias("col")).first()
     assert (r.n, r.row + 1, r.col + 1) == (382 * 469, 469, 382)
+
+
+def test_stations_in_one_place_count_once(spark, monkeypatch):
+    """Limits are on places: more stations than that are taken where they share places or have one value."""
+    monkeypatch.setattr(models, "MOST_STATIONS", 10)
+    rng = np.random.default_rng(7)
+    x, y, _ = network(rng, 8)
+    crowd = [(float(x[i % 8]), float(y[i % 8]), float(i % 13)) for i in range(40)]
+    cells = [(100.0, 5.0), (9000.0, 800.0), (100.0, 5.0)]
+    equal = [(float(i), 0.0, 2.5) for i in range(30)]
+    got = surface(spark, {1: crowd, 2: equal}, cells)
+    px, py, v = np.array(crowd).T
+    want = dense(px, py, v, *np.array(cells).T, models.fit(px, py, v))
+    assert all(abs(got[1, i][0] - want[0][i]) < 1e-8 and abs(got[1, i][1] - want[1][i]) < 1e-8 and got[2, i] == (2.5, 0.0) for i in range(3))
