@@ -249,25 +249,84 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> np.ndarray:
+    """Kriging of each point from all others, each time with the variogram that these have (``fit``).
+
+    Lag sums without a point are all sums less its own pairs. A point whose place others share gets their mean. For the rest, with one reach the
+    system of all places is diagonal in one basis for any nugget and sill, and a point's error without it is (Q v)_i / Q_ii of its inverse Q: the
+    basis is found once for each reach that occurs. Points without which the farthest pair is another one are solved by themselves.
+    """
+    x, y, mean, of = merged(px, py, v)
+    m, n = np.bincount(of), len(mean)
+    out = (np.bincount(of, v)[of] - v) / np.maximum(m[of] - 1, 1)
+    distinct, held = np.unique(v, return_counts=True)
+    if len(distinct) == 1:
+        return v.astype(float)
+    single = m[of] == 1
+    if len(distinct) == 2:
+        for i in (0, 1):
+            if held[i] == 1:
+                alone = int(np.flatnonzero(v == distinct[i])[0])
+                out[alone], single[alone] = distinct[1 - i], False
+    if not single.any():
+        return out
+    d = np.hypot(x[:, None] - x, y[:, None] - y)
+    far = float(d.max())
+    a, b = np.nonzero(np.triu(d == far, 1))
+    ends = np.bincount(np.concatenate([a, b]), minlength=n) == len(a)
+    for i in np.flatnonzero(single & ends[of]):
+        rest = np.delete(np.stack([px, py, v]), i, axis=1)
+        out[i] = krige(*merged(*rest)[:3], px[i : i + 1], py[i : i + 1], fit(*rest, lags))[0][0]
+    todo = np.flatnonzero(single & ~ends[of])
+    if not len(todo):
+        return out
+    c = v - v.mean()
+    edges = np.linspace(0, far * 1.000001, lags + 1)
+    lag = np.digitize(d, edges[1:-1])
+    s1, s2 = np.bincount(of, c), np.bincount(of, c * c)
+    of_place = np.stack([[w @ m, (w * d) @ m, w @ s1, w @ s2] for w in ((lag == k).astype(float) for k in range(lags))], axis=-1)
+    count, length, first, second = (p[of] for p in of_place)
+    gamma = 0.5 * (count * (c * c)[:, None] - 2 * c[:, None] * first + second)
+    count = count - (np.arange(lags) == 0)
+    own = np.stack([count, length, gamma])
+    sums = 0.5 * own.sum(axis=1)[:, None] - own
+    models = np.array([fit_spherical(*(sums[1:, i, k] / sums[0, i, k]), far) for i in todo for k in [sums[0, i] > 0.5]])
+    flat = models[:, 1] == 0
+    at = of[todo[flat]]
+    out[todo[flat]] = (mean.sum() - mean[at]) / (n - 1)
+    for reach in np.unique(models[~flat, 2]):
+        mine = np.flatnonzero(~flat & (models[:, 2] == reach))
+        s = spherical(d, 0.0, 1.0, reach)
+        s = s - s.mean(axis=0) - s.mean(axis=1)[:, None] + s.mean() + 1.0 / n
+        value, basis = np.linalg.eigh(s)
+        value, basis = value[:-1], basis[:, :-1]  # the last is the constant vector's
+        along = basis.T @ mean
+        for j in range(0, len(mine), CELLS):
+            i = mine[j : j + CELLS]
+            gap = value - (models[i, 0] / models[i, 1])[:, None]
+            q = np.where(np.abs(gap) > np.finfo(float).eps * (n + 1) * np.abs(gap).max(), 1 / np.where(gap == 0, 1.0, gap), 0.0)
+            u = basis[of[todo[i]]]
+            out[todo[i]] = v[todo[i]] - (u * q) @ along / (u * u * q).sum(axis=1)
+    return out
+
+
 def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:
-    """Prediction of each reading by kriging from the other points of its group, each time with a variogram of their own; small groups leave."""
+    """Prediction of each reading by kriging from the other points of its group, each time with a variogram of their own (``left_out``); small groups leave."""
     valued = F.when(F.col(value).isNotNull(), F.struct(F.col(point), F.col(px).alias("x"), F.col(py).alias("y"), F.col(value).alias("v")))
     groups = readings.groupBy(*keys).agg(F.sort_array(F.collect_list(valued)).alias("s")).where(F.size("s") >= least)
-    few = F.when(F.size("s") <= MOST_STATIONS, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_STATIONS} stations in a group")))
-    types = dict(readings.dtypes)
+    types, most = dict(readings.dtypes), MOST_STATIONS
 
     def predicted(batches):
+        one_thread()
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
-                a = np.array([(r["x"], r["y"], r["v"]) for r in row.s], float)
-                for i, r in enumerate(row.s):
-                    rest = np.delete(a, i, axis=0)
-                    out.append((*(getattr(row, k) for k in keys), r[point], r["v"], float(krige(rest[:, 0], rest[:, 1], rest[:, 2], a[i : i + 1, 0], a[i : i + 1, 1])[0][0])))
-            yield pd.DataFrame(out, columns=[*keys, point, "observed", "predicted"])
+                a = np.array([(r["x"], r["y"], r["v"]) for r in row.s], float).T
+                if len(np.unique(a[:2], axis=1).T) > most:
+                    raise ValueError(f"more than {most} stations in a group")
+                yield pd.DataFrame([(*(getattr(row, k) for k in keys), r[point], r["v"], p) for r, p in zip(row.s, left_out(*a).tolist())], columns=[*keys, point, "observed", "predicted"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, point]) + ", observed double, predicted double"
-    return groups.withColumn("s", few).mapInPandas(predicted, schema)
+    return groups.repartition(_tasks(readings.sparkSession)).mapInPandas(predicted, schema)
 
 
 def forest_downscaled(train: DataFrame, fine: DataFrame, features: list[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:

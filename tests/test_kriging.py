@@ -103,6 +103,26 @@ def test_grid_of_the_metropolis(spark):
     assert (r.n, r.row + 1, r.col + 1) == (382 * 469, 469, 382)
 
 
+def test_leave_one_out_equals_kriging_from_the_rest():
+    """Scattered and crowded networks, stations in one place, few values, on a line."""
+    rng = np.random.default_rng(6)
+    for n in (3, 4, 9, 30, 80):
+        for kind in range(5):
+            px, py, v = network(rng, n)
+            if kind == 1:
+                px[n // 2 :], py[n // 2 :] = px[: n - n // 2], py[: n - n // 2]
+            if kind == 2:
+                v = np.where(np.arange(n) == 1, 3.0, 5.0)
+            if kind == 3:
+                py[:] = 0.0
+            if kind == 4:
+                v = px / 1000 + rng.normal(0, 0.5, n)
+            got = models.left_out(px, py, v)
+            for i in range(n):
+                rest = np.delete(np.stack([px, py, v]), i, axis=1)
+                assert abs(got[i] - models.krige(*rest, px[i : i + 1], py[i : i + 1])[0][0]) < 1e-6
+
+
 def test_stations_in_one_place_count_once(spark, monkeypatch):
     """Limits are on places: more stations than that are taken where they share places or have one value."""
     monkeypatch.setattr(models, "MOST_STATIONS", 10)
@@ -115,3 +135,6 @@ def test_stations_in_one_place_count_once(spark, monkeypatch):
     px, py, v = np.array(crowd).T
     want = dense(px, py, v, *np.array(cells).T, models.fit(px, py, v))
     assert all(abs(got[1, i][0] - want[0][i]) < 1e-8 and abs(got[1, i][1] - want[1][i]) < 1e-8 and got[2, i] == (2.5, 0.0) for i in range(3))
+    readings = spark.createDataFrame([(1, i, *r) for i, r in enumerate(crowd)], "hour int, station int, px double, py double, value double")
+    left = {r.station: r.predicted for r in models.kriged_leave_one_out(readings, ["hour"], "station").collect()}
+    assert len(left) == 40 and abs(left[0] - np.mean([c[2] for c in crowd[8::8]])) < 1e-9
