@@ -6,7 +6,7 @@ the executors. Rounds are written to the shared folder. A hub with most links co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeworks.llm.common import materialize
@@ -18,6 +18,12 @@ def _star(both: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
+def _either(x: str, y: str, a: str, b: str) -> Column:
+    """Two rows, (x, y) and (y, x), as columns a and b."""
+    pair = lambda p, q: F.struct(F.col(p).alias(a), F.col(q).alias(b))
+    return F.inline(F.array(pair(x, y), pair(y, x)))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link; the component is the smallest node reachable.
 
@@ -27,10 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     edges = real.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).distinct()
     edges = materialize(edges, "links")
     for _ in range(most_rounds):
-        both = edges.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(edges.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
-        small = _star(large.select(F.col("child").alias("u"), F.col("parent").alias("v")))
-        hung = small.select(F.col("v").alias("child"), F.col("m").alias("parent")).union(small.select(F.col("u").alias("child"), F.col("m").alias("parent")))
+        large = _star(edges.select(_either("child", "parent", "u", "v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hung = _star(large).select(_either("v", "u", "child", "_"), F.col("m").alias("parent")).select("child", "parent")
         edges = materialize(hung.where("child != parent").distinct(), "links")
         # All stars: nobody is both child and parent, and every child has one parent.
         ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

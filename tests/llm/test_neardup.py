@@ -149,3 +149,26 @@ def test_components_of_one_small_graph(spark, seed):
 def test_components_of_a_path_that_once_stopped_early(spark):
     rows = components(spark.createDataFrame([(5, 6), (6, 10), (10, 20), (8, 20), (1, 8)], "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in rows) == [(i, 1) for i in (1, 5, 6, 8, 10, 20)]
+
+
+def test_texts_of_one_id_are_linked(spark):
+    """Ids 5 and 8 have several texts each, of which others are copies."""
+    rows = [(1, "a b c"), (2, "d e f"), (5, "a b c"), (5, "d e f"), (7, "g h i"), (8, "g h i"), (8, "j k l"), (9, "j k l"), (6, "m n o")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Settings(width=2)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (5, 1), (7, 7), (8, 7), (9, 7), (6, 6)}
+
+
+def test_stages_of_a_run_are_few(spark):
+    """Each stage costs a task a partition, whatever the rows: sketches travel with buckets instead of being joined."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 100, 3)] + ["other words of one text"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("neardup-stages", "")
+    try:
+        rows = neardup.near_duplicates(docs, Settings(width=2)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted({r.component_id for r in rows}) == [0, 34]
+    tracker = spark.sparkContext.statusTracker()
+    ran = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("neardup-stages") for i in tracker.getJobInfo(j).stageIds]
+    assert sum(i is not None and i.numCompletedTasks > 0 for i in ran) <= 50
