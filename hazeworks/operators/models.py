@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,8 +41,20 @@ def fit_spherical(x: np.ndarray, y: np.ndarray, far: float) -> tuple[float, floa
     return best[1:] if far > 0 else (best[1], best[2], 1.0)
 
 
-#: Stations whose distances to all others are held at once when a variogram is fitted.
-ROWS = 512
+#: Stations whose distances to all others are held at once when a variogram is fitted, and the most of these distances.
+ROWS, PAIRS = 512, 1 << 20
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    rows = max(1, min(ROWS, PAIRS // max(n, 1)))
+    return (slice(at, min(at + rows, n)) for at in range(0, n, rows))
+
+
+def _remote(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Points among which are all of the farthest pairs: those so far from the centre that the way over it to the outermost point is as long as the farthest pair known."""
+    r = np.hypot(px - px.mean(), py - py.mean())
+    i = int(r.argmax())
+    return np.flatnonzero((r + r[i]) * (1 + 1e-9) >= np.hypot(px - px[i], py - py[i]).max())
 
 
 def fit(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> tuple[float, float, float]:
@@ -47,30 +62,117 @@ def fit(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> tuple[f
     if len(v) < 2 or np.ptp(v) == 0:
         return 0.0, 0.0, 1.0
 
-    def pairs():
-        for at in range(0, len(v), ROWS):
-            i, j = np.nonzero(np.arange(at, min(at + ROWS, len(v)))[:, None] < np.arange(len(v)))
-            yield np.hypot(px[i + at] - px[j], py[i + at] - py[j]), 0.5 * (v[i + at] - v[j]) ** 2
-
-    far = max(float(d.max()) for d, _ in pairs() if len(d))
+    out = _remote(px, py)
+    far = max(float(np.hypot(px[out[b], None] - px[out], py[out[b], None] - py[out]).max()) for b in _blocks(len(out)))
     edges = np.linspace(0, far * 1.000001, lags + 1)
     sums = np.zeros((3, lags))
-    for d, gamma in pairs():
+    for b in _blocks(len(v)):
+        later = np.arange(b.start, b.stop)[:, None] < np.arange(b.start, len(v))
+        d = np.hypot(px[b, None] - px[b.start :], py[b, None] - py[b.start :])[later]
+        gamma = 0.5 * (v[b, None] - v[b.start :])[later] ** 2
         lag = np.digitize(d, edges[1:-1])
         sums += [np.bincount(lag, w, lags) for w in (None, d, gamma)]
     n, x, y = sums[:, sums[0] > 0]
     return fit_spherical(x / n, y / n, far)
 
 
+def _unit(model: tuple[float, float, float]) -> tuple[float, tuple[float, float, float]]:
+    """Scale of a variogram, and the variogram of scale 1: beside the ones of a system, large values would hide its smallest eigenvalue in rounding."""
+    scale = (model[0] + model[1]) or 1.0
+    return scale, (model[0] / scale, model[1] / scale, model[2])
+
+
 def factor(px: np.ndarray, py: np.ndarray, model: tuple[float, float, float]) -> np.ndarray:
-    """Pseudo-inverse of the kriging system of some points (of the last axis): weights are its product with a right side. Points in one place share their weight."""
-    n = px.shape[-1]
+    """Pseudo-inverse of the kriging system of some points (of the last axis), of scale 1: weights are its product with a right side. Points in one place share their weight."""
+    n, (_, model) = px.shape[-1], _unit(model)
     left = np.zeros((*px.shape[:-1], n + 1, n + 1))
     left[..., :n, :n] = spherical(np.hypot(px[..., :, None] - px[..., None, :], py[..., :, None] - py[..., None, :]), *model)
     left[..., n, :n] = left[..., :n, n] = 1.0
     return np.linalg.pinv(left, rcond=np.finfo(float).eps * (n + 1), hermitian=True)
 
 
+#: Systems of more points are factored in panels that a temporary file holds: so many rows at once, and so many numbers in them.
+WHOLE, PANEL, NUMBERS = 1000, 1024, 1 << 24
+
+
+class Panels:
+    """Cholesky factor of the covariance of points in distinct places, by panels of rows in a temporary file; memory holds two panels, whatever the number of points.
+
+    Each diagonal block is kept as its inverse. Covariances are the sill and nugget less the variogram.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float]):
+        self.x, self.y, self.model, self.n = x, y, model, len(x)
+        self.rows = max(1, min(PANEL, NUMBERS // len(x)))
+        self.file, self.places = tempfile.TemporaryFile(), {}
+        for at in range(0, self.n, self.rows):
+            panel = self.covariance(x[at : at + self.rows], y[at : at + self.rows], at + self.rows)
+            self.forward(panel, 0, at)
+            own = panel[:, at:]
+            own -= panel[:, :at] @ panel[:, :at].T
+            own[:] = np.linalg.inv(self._root(own))
+            self.places[at] = (self.file.tell(), panel.shape)
+            panel.tofile(self.file)
+
+    def _root(self, own: np.ndarray) -> np.ndarray:
+        try:
+            return np.linalg.cholesky(own)
+        except np.linalg.LinAlgError:  # places so close that rounding hides their distance
+            return np.linalg.cholesky(own + np.eye(len(own)) * (self.model[0] + self.model[1]) * np.finfo(float).eps * self.n)
+
+    def covariance(self, x: np.ndarray, y: np.ndarray, upto: int | None = None) -> np.ndarray:
+        """Of places and the first points, a row for each place."""
+        h = np.hypot(x[:, None] - self.x[:upto], y[:, None] - self.y[:upto])
+        same = h == 0
+        nugget, sill, reach = self.model
+        h /= reach
+        np.minimum(h, 1.0, out=h)
+        h *= sill * (0.5 * h**2 - 1.5)
+        h += sill
+        h[same] = nugget + sill
+        return h
+
+    def forward(self, rows: np.ndarray, first: int, end: int) -> None:
+        """Solve for right sides, the rows, in place, from panel ``first`` (they are 0 before) to ``end``."""
+        home = self.file.tell()
+        for at in range(first, end, self.rows):
+            where, shape = self.places[at]
+            self.file.seek(where)
+            panel = np.fromfile(self.file, count=shape[0] * shape[1]).reshape(shape)
+            own = rows[:, at : shape[1]]
+            own -= rows[:, first:at] @ panel[:, first:at].T
+            own[:] = own @ panel[:, at:].T
+        self.file.seek(home)
+
+    def sides(self, v: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Solved for ones and for the values; products of the first with itself and with the other."""
+        both = np.stack([np.ones(self.n), v])
+        self.forward(both, 0, self.n)
+        return both, float(both[0] @ both[0]), float(both[0] @ both[1])
+
+
+def krige_panels(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """``krige`` of many points, of which none share a place."""
+    n, mean = len(v), v.mean()
+    if model[1] == 0:  # all weights are equal, except where a cell is on a point
+        places, cells = px + 1j * py, x + 1j * y
+        order = np.argsort(places)
+        at = order[np.minimum(np.searchsorted(places[order], cells), n - 1)]
+        on = places[at] == cells
+        return np.where(on, v[at], mean), np.where(on, 0.0, model[0] * (1 + 1 / n))
+    panels = Panels(px, py, model)
+    both, one, total = panels.sides(v - mean)
+    estimate, variance = np.empty(len(x)), np.empty(len(x))
+    for at in range(0, len(x), panels.rows):
+        cell = slice(at, at + panels.rows)
+        rows = panels.covariance(x[cell], y[cell])
+        panels.forward(rows, 0, n)
+        ones, values = both @ rows.T
+        estimate[cell] = mean + values + (1 - ones) * (total / one)
+        variance[cell] = model[0] + model[1] - np.einsum("ij,ij->i", rows, rows) + (1 - ones) ** 2 / one
+    return estimate, variance
+
+
 #: Cells that are solved at once.
 CELLS = 256
 
@@ -80,14 +182,19 @@ def krige(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.nd
     if len(v) == 1 or np.ptp(v) == 0:
         return np.full(len(x), v[0]), np.zeros(len(x))
     model = model or fit(px, py, v)
+    if inverse is None and len(v) > WHOLE:
+        px, py, v, _ = merged(px, py, v)
+        if len(v) > WHOLE:
+            return krige_panels(px, py, v, x, y, model)
     inverse = factor(px, py, model) if inverse is None else inverse
+    scale, model = _unit(model)
     estimate, variance = np.empty(len(x)), np.empty(len(x))
     for at in range(0, len(x), CELLS):
         cell = slice(at, at + CELLS)
         right = np.ones((len(v) + 1, len(x[cell])))
         right[:-1] = spherical(np.hypot(px[:, None] - x[cell], py[:, None] - y[cell]), *model)
         weights = inverse @ right
-        estimate[cell], variance[cell] = weights[:-1].T @ v, (weights * right).sum(axis=0)
+        estimate[cell], variance[cell] = weights[:-1].T @ v, scale * (weights * right).sum(axis=0)
     return estimate, variance
 
 
@@ -100,7 +207,7 @@ def merged(px: np.ndarray, py: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, n
 
 def krige_nearest(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, model: tuple[float, float, float], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Kriging of each cell from its ``k`` nearest points (of points as near, the first) with the group's variogram."""
-    estimate, variance = np.empty(len(x)), np.empty(len(x))
+    estimate, variance, (scale, model) = np.empty(len(x)), np.empty(len(x)), _unit(model)
     for at in range(0, len(x), CELLS):
         cell = slice(at, at + CELLS)
         d = np.hypot(px - x[cell, None], py - y[cell, None])
@@ -109,12 +216,12 @@ def krige_nearest(px: np.ndarray, py: np.ndarray, v: np.ndarray, x: np.ndarray,
         right[:, :-1] = spherical(np.take_along_axis(d, near, axis=1), *model)
         weights = (factor(px[near], py[near], model) @ right[:, :, None])[:, :, 0]
         estimate[cell] = (weights[:, :-1] * v[near]).sum(axis=1)
-        variance[cell] = (weights * right).sum(axis=1)
+        variance[cell] = scale * (weights * right).sum(axis=1)
     return estimate, variance
 
 
-#: A network has at most so many stations (with a moving neighbourhood) or places with stations (without), and a grid so many tiles; more are refused, not cut.
-MOST_NEAREST, MOST_STATIONS, MOST_TILES = 20_000, 4000, 100_000
+#: A network has at most so many stations (with a moving neighbourhood) or places with stations (without: their system has 40 GB in a temporary file), and a grid so many tiles; more are refused, not cut.
+MOST_NEAREST, MOST_STATIONS, MOST_TILES = 20_000, 100_000, 100_000
 #: Cells that meet a group's stations in one row, about, and the most tasks these rows are spread over.
 SLICE, MOST_TASKS = 10_000, 2000
 #: Side of a tile of cells, and of the squares that are searched first for neighbours.
@@ -137,7 +244,7 @@ def kriged_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_
     """Kriging of every group of ``keys`` (hour, band) onto all cells (x, y): estimate and variance, null for groups without a value.
 
     Each group's variogram is fitted once. All stations count: those in one place are one, of their mean value, cells of one place are
-    solved once, and every group meets every slice of ``SLICE`` places, for which it factors its system. Or, with ``nearest``, each cell takes its
+    solved once, and every group meets every slice of ``SLICE`` places, for which it factors its system (by panels beyond ``WHOLE`` places with stations). Or, with ``nearest``, each cell takes its
     so many nearest stations: tiles of the grid then get the stations that may be among those, found by growing squares, and solve a small system for each cell.
     """
     if nearest is None:
@@ -225,7 +332,7 @@ def _whole_surface(readings: DataFrame, cells: DataFrame, keys: list[str], cell_
     spots = cells.select("x", "y").where("x is not null and y is not null").distinct()
     n = max(1, -(-spots.count() // SLICE))
     slices = spots.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(n)).cast("int").alias("_slice")).agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
-    work = models.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(slices, "_slice").repartition(max(1, min(models.count() * n, MOST_TASKS)))
+    work = models.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(slices, "_slice").repartitionByRange(max(1, min(models.count() * n, MOST_TASKS)), *keys, "_slice")
 
     def solve(batches):
         one_thread()

@@ -138,3 +138,45 @@ def test_stations_in_one_place_count_once(spark, monkeypatch):
     readings = spark.createDataFrame([(1, i, *r) for i, r in enumerate(crowd)], "hour int, station int, px double, py double, value double")
     left = {r.station: r.predicted for r in models.kriged_leave_one_out(readings, ["hour"], "station").collect()}
     assert len(left) == 40 and abs(left[0] - np.mean([c[2] for c in crowd[8::8]])) < 1e-9
+
+
+def test_panels_equal_the_whole_system(monkeypatch):
+    """Kriging and leaving out by panels of a few rows, with and without nugget and sill, cells on stations among them."""
+    rng = np.random.default_rng(8)
+    px, py, v = network(rng, 150)
+    x, y, _ = network(rng, 40)
+    x[:4], y[:4] = px[:4], py[:4]
+    monkeypatch.setattr(models, "PANEL", 16)
+    for model in ((0.5, 2.0, 9000.0), (0.0, 2.0, 50_000.0), (3.0, 0.0, 9000.0), models.fit(px, py, v)):
+        for got, want in zip(models.krige_panels(px, py, v, x, y, model), models.krige(px, py, v, x, y, model)):
+            assert np.abs(got - want).max() < 1e-8
+
+
+def test_more_than_4000_places_in_a_group(spark):
+    """The whole job where one task can't hold a dense system: the surface of all stations."""
+    rng = np.random.default_rng(10)
+    n = 4100
+    px, py, v = np.round(rng.permutation(n) * 9.0), np.round(rng.permutation(n) * 9.0), rng.normal(20, 5, n)
+    x, y, _ = network(rng, 12, 36_000.0)
+    got = surface(spark, {1: np.stack([px, py, v], 1).tolist()}, list(zip(x, y)))
+    order = np.lexsort([py, px])
+    model = models.fit(px[order], py[order], v[order])
+    assert len(got) == 12
+    left = np.ones((n + 1, n + 1))
+    left[n, n] = 0
+    left[:n, :n] = models.spherical(np.hypot(px[:, None] - px, py[:, None] - py), *model)
+    right = np.ones((n + 1, 12))
+    right[:n] = models.spherical(np.hypot(px[:, None] - x, py[:, None] - y), *model)
+    w = np.linalg.solve(left, right)
+    assert max(abs(got[1, i][0] - w[:n, i] @ v) for i in range(12)) < 1e-7 and max(abs(got[1, i][1] - w[:, i] @ right[:, i]) for i in range(12)) < 1e-7
+
+
+def test_large_values_keep_the_smallest_eigenvalue():
+    """Weights don't depend on the variogram's scale, which made the pseudo-inverse drop an eigenvalue of the system."""
+    rng = np.random.default_rng(12)
+    px, py, v = network(rng, 300)
+    x, y, _ = network(rng, 20)
+    small = models.krige(px, py, v, x, y, (0.5, 0.5, 5000.0))
+    for scale in (1e-6, 1e7):
+        for got in (models.krige(px, py, v, x, y, (0.5 * scale, 0.5 * scale, 5000.0)), models.krige_nearest(px, py, v, x, y, (0.5 * scale, 0.5 * scale, 5000.0), 300)):
+            assert np.allclose(got[0], small[0], rtol=1e-9) and np.allclose(got[1], small[1] * scale, rtol=1e-9)
