@@ -144,6 +144,16 @@ class Panels:
             own[:] = own @ panel[:, at:].T
         self.file.seek(home)
 
+    def backward(self, rows: np.ndarray) -> None:
+        """Solve for what ``forward`` left, in place: the rows are then products of the inverse covariance."""
+        for at in reversed(self.places):
+            where, shape = self.places[at]
+            self.file.seek(where)
+            panel = np.fromfile(self.file, count=shape[0] * shape[1]).reshape(shape)
+            own = rows[:, at : shape[1]] @ panel[:, at:]
+            rows[:, at : shape[1]] = own
+            rows[:, :at] -= own @ panel[:, :at]
+
     def sides(self, v: np.ndarray) -> tuple[np.ndarray, float, float]:
         """Solved for ones and for the values; products of the first with itself and with the other."""
         both = np.stack([np.ones(self.n), v])
@@ -356,19 +366,14 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> np.ndarray:
-    """Kriging of each point from all others, each time with the variogram that these have (``fit``).
-
-    Lag sums without a point are all sums less its own pairs. A point whose place others share gets their mean. For the rest, with one reach the
-    system of all places is diagonal in one basis for any nugget and sill, and a point's error without it is (Q v)_i / Q_ii of its inverse Q: the
-    basis is found once for each reach that occurs. Points without which the farthest pair is another one are solved by themselves.
-    """
+def _known(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Predictions of points from the others as far as no system of all places is needed; points of the farthest pairs, points left, and the variograms that these have."""
     x, y, mean, of = merged(px, py, v)
-    m, n = np.bincount(of), len(mean)
+    m, n, none = np.bincount(of), len(mean), np.empty(0, int)
     out = (np.bincount(of, v)[of] - v) / np.maximum(m[of] - 1, 1)
     distinct, held = np.unique(v, return_counts=True)
     if len(distinct) == 1:
-        return v.astype(float)
+        return v.astype(float), none, none, np.empty((0, 3))
     single = m[of] == 1
     if len(distinct) == 2:
         for i in (0, 1):
@@ -376,33 +381,57 @@ def left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> np
                 alone = int(np.flatnonzero(v == distinct[i])[0])
                 out[alone], single[alone] = distinct[1 - i], False
     if not single.any():
-        return out
-    d = np.hypot(x[:, None] - x, y[:, None] - y)
-    far = float(d.max())
-    a, b = np.nonzero(np.triu(d == far, 1))
-    ends = np.bincount(np.concatenate([a, b]), minlength=n) == len(a)
-    for i in np.flatnonzero(single & ends[of]):
-        rest = np.delete(np.stack([px, py, v]), i, axis=1)
-        out[i] = krige(*merged(*rest)[:3], px[i : i + 1], py[i : i + 1], fit(*rest, lags))[0][0]
-    todo = np.flatnonzero(single & ~ends[of])
-    if not len(todo):
-        return out
+        return out, none, none, np.empty((0, 3))
+    outer, far, pairs = _remote(x, y), -1.0, none
+    for b in _blocks(len(outer)):
+        d = np.hypot(x[outer[b], None] - x[outer], y[outer[b], None] - y[outer])
+        if d.max() > far:
+            far, pairs = float(d.max()), np.zeros(n, int)
+        pairs[outer[b]] += (d == far).sum(axis=1)
+    ends = (2 * pairs == pairs.sum())[of]
+    todo = np.flatnonzero(single & ~ends)
     c = v - v.mean()
     edges = np.linspace(0, far * 1.000001, lags + 1)
-    lag = np.digitize(d, edges[1:-1])
     s1, s2 = np.bincount(of, c), np.bincount(of, c * c)
-    of_place = np.stack([[w @ m, (w * d) @ m, w @ s1, w @ s2] for w in ((lag == k).astype(float) for k in range(lags))], axis=-1)
+    of_place = np.empty((4, n, lags))
+    for b in _blocks(n):
+        d = np.hypot(x[b, None] - x, y[b, None] - y)
+        lag = np.digitize(d, edges[1:-1])
+        for k in range(lags):
+            w = (lag == k).astype(float)
+            of_place[:, b, k] = w @ m, (w * d) @ m, w @ s1, w @ s2
     count, length, first, second = (p[of] for p in of_place)
     gamma = 0.5 * (count * (c * c)[:, None] - 2 * c[:, None] * first + second)
     count = count - (np.arange(lags) == 0)
     own = np.stack([count, length, gamma])
     sums = 0.5 * own.sum(axis=1)[:, None] - own
-    models = np.array([fit_spherical(*(sums[1:, i, k] / sums[0, i, k]), far) for i in todo for k in [sums[0, i] > 0.5]])
+    models = np.array([fit_spherical(*(sums[1:, i, k] / sums[0, i, k]), far) for i in todo for k in [sums[0, i] > 0.5]]).reshape(-1, 3)
     flat = models[:, 1] == 0
-    at = of[todo[flat]]
-    out[todo[flat]] = (mean.sum() - mean[at]) / (n - 1)
-    for reach in np.unique(models[~flat, 2]):
-        mine = np.flatnonzero(~flat & (models[:, 2] == reach))
+    out[todo[flat]] = (mean.sum() - mean[of[todo[flat]]]) / (n - 1)
+    return out, np.flatnonzero(single & ends), todo[~flat], models[~flat]
+
+
+def _end_left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, i: int, lags: int) -> float:
+    rest = np.delete(np.stack([px, py, v]), i, axis=1)
+    return float(krige(*merged(*rest)[:3], px[i : i + 1], py[i : i + 1], fit(*rest, lags))[0][0])
+
+
+def left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> np.ndarray:
+    """Kriging of each point from all others, each time with the variogram that these have (``fit``).
+
+    Lag sums without a point are all sums less its own pairs. A point whose place others share gets their mean. For the rest, with one reach the
+    system of all places is diagonal in one basis for any nugget and sill, and a point's error without it is (Q v)_i / Q_ii of its inverse Q: the
+    basis is found once for each reach that occurs. Points without which the farthest pair is another one are solved by themselves.
+    """
+    out, ends, todo, models = _known(px, py, v, lags)
+    for i in ends:
+        out[i] = _end_left_out(px, py, v, i, lags)
+    if not len(todo):
+        return out
+    x, y, mean, of = merged(px, py, v)
+    n, d = len(mean), np.hypot(x[:, None] - x, y[:, None] - y)
+    for reach in np.unique(models[:, 2]):
+        mine = np.flatnonzero(models[:, 2] == reach)
         s = spherical(d, 0.0, 1.0, reach)
         s = s - s.mean(axis=0) - s.mean(axis=1)[:, None] + s.mean() + 1.0 / n
         value, basis = np.linalg.eigh(s)
@@ -417,23 +446,131 @@ def left_out(px: np.ndarray, py: np.ndarray, v: np.ndarray, lags: int = 4) -> np
     return out
 
 
-def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3) -> DataFrame:
-    """Prediction of each reading by kriging from the other points of its group, each time with a variogram of their own (``left_out``); small groups leave."""
+#: Points of one factored system, where their ratios differ and where they are equal.
+SPAN, EQUAL = 512, 4096
+
+
+def _spans(todo: np.ndarray, models: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Points with variograms of one reach and with ratios of nugget to sill within an octave, rising: reach, points, ratios."""
+    spans, ratio = [], models[:, 0] / models[:, 1]
+    order = np.lexsort((ratio, models[:, 2]))
+    reach, ratio, i = models[order, 2], ratio[order], 0
+    while i < len(order):
+        same = np.flatnonzero(reach[i:] == reach[i])[-1] + i + 1
+        j = min(same, int(np.searchsorted(ratio[i:same], ratio[i], "right")) + i)
+        j = min(j, i + EQUAL) if j - i > SPAN else min(int(np.searchsorted(ratio[i:same], 2 * ratio[i], "right")) + i, i + SPAN)
+        spans.append((float(reach[i]), todo[order[i:j]], ratio[i:j]))
+        i = j
+    return spans
+
+
+def span_left_out(x: np.ndarray, y: np.ndarray, v: np.ndarray, at: np.ndarray, reach: float, ratio: np.ndarray) -> np.ndarray:
+    """Prediction of the places ``at`` from all others, each with its ratio of nugget to sill. No places are equal.
+
+    The system is factored for the first ratio; for a greater one, by d, the row of its inverse Q solves (I + d Q) x = Q e. Conjugate gradients
+    do that to rounding in some twenty steps, as no eigenvalue is below 1 or above the ratios' quotient.
+    """
+    panels, error = Panels(x, y, (float(ratio[0]), 1.0, reach)), np.empty(len(at))
+    centred = v - v.mean()
+    both, one, _ = panels.sides(centred)
+    ones = both[:1].copy()
+    panels.backward(ones)
+
+    def inverse(rows: np.ndarray) -> np.ndarray:
+        rows = rows.copy()
+        panels.forward(rows, 0, panels.n)
+        panels.backward(rows)
+        return rows - rows.sum(axis=1)[:, None] * (ones / one)
+
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    step = max(1, panels.rows // 2)
+    for i in range(0, len(at), step):
+        own, d = at[i : i + step], (ratio[i : i + step] - ratio[0])[:, None]
+        rest = np.zeros((len(own), panels.n))
+        rest[np.arange(len(own)), own] = 1.0
+        rest = inverse(rest)
+        if d.any():
+            found, along = np.zeros_like(rest), rest.copy()
+            first = left = dot(rest, rest)
+            for _ in range(100):
+                more = along + d * inverse(along)
+                far = (left / np.maximum(dot(along, more), np.finfo(float).tiny))[:, None]
+                found += far * along
+                rest -= far * more
+                left, before = dot(rest, rest), left
+                if (left <= 1e-29 * first).all():
+                    break
+                along *= (left / np.maximum(before, np.finfo(float).tiny))[:, None]
+                along += rest
+            else:
+                raise ValueError("conjugate gradients did not converge")
+            rest = found
+        error[i : i + step] = rest @ centred / rest[np.arange(len(own)), own]
+    return v[at] - error
+
+
+def kriged_leave_one_out(readings: DataFrame, keys: list[str], point: str, px: str = "px", py: str = "py", value: str = "value", least: int = 3, lags: int = 4) -> DataFrame:
+    """Prediction of each reading by kriging from the other points of its group, each time with a variogram of their own (``left_out``); small groups leave.
+
+    Of groups of more than ``WHOLE`` points, spans of points with like variograms (``_spans``) are spread over tasks, each of which factors a system.
+    """
+    spark, types, most, whole = readings.sparkSession, dict(readings.dtypes), MOST_STATIONS, WHOLE
     valued = F.when(F.col(value).isNotNull(), F.struct(F.col(point), F.col(px).alias("x"), F.col(py).alias("y"), F.col(value).alias("v")))
     groups = readings.groupBy(*keys).agg(F.sort_array(F.collect_list(valued)).alias("s")).where(F.size("s") >= least)
-    types, most = dict(readings.dtypes), MOST_STATIONS
+    # Written, as the numbers must stay.
+    groups = written(groups.withColumn("_group", F.monotonically_increasing_id()), "left_out")
+    array = lambda s: np.array([(r["x"], r["y"], r["v"]) for r in s], float).T
 
-    def predicted(batches):
+    def known(batches):
         one_thread()
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a = np.array([(r["x"], r["y"], r["v"]) for r in row.s], float).T
+            for group, stations in pdf.itertuples(index=False):
+                a = array(stations)
                 if len(np.unique(a[:2], axis=1).T) > most:
                     raise ValueError(f"more than {most} stations in a group")
-                yield pd.DataFrame([(*(getattr(row, k) for k in keys), r[point], r["v"], p) for r, p in zip(row.s, left_out(*a).tolist())], columns=[*keys, point, "observed", "predicted"])
+                if len(a.T) <= whole:
+                    yield pd.DataFrame({"_group": [group], "out": [left_out(*a, lags)], "reach": None, "points": [[]], "ratios": [[]]})
+                    continue
+                out, ends, todo, models = _known(*a, lags)
+                yield pd.DataFrame({"_group": [group], "out": [out], "reach": None, "points": [[]], "ratios": [[]]})
+                for i in ends:
+                    yield pd.DataFrame({"_group": [group], "out": None, "reach": None, "points": [[int(i)]], "ratios": [[]]})
+                for reach, points, ratios in _spans(todo, models):
+                    yield pd.DataFrame({"_group": [group], "out": None, "reach": [reach], "points": [points], "ratios": [ratios]})
+
+    plan = "_group long, out array<double>, reach double, points array<long>, ratios array<double>"
+    plans = written(groups.select("_group", "s").repartition(_tasks(spark)).mapInPandas(known, plan), "left_out")
+    spans = plans.where("out is null").drop("out")
+
+    def solved(batches):
+        one_thread()
+        for pdf in batches:
+            for group, reach, points, ratios, stations in pdf.itertuples(index=False):
+                a = array(stations)
+                x, y, mean, of = merged(*a)
+                found = span_left_out(x, y, mean, of[points], reach, ratios) if len(ratios) else [_end_left_out(*a, points[0], lags)]
+                yield pd.DataFrame({"_group": [group], "points": [points], "found": [found]})
+
+    rows = groups.join(plans.where("out is not null").select("_group", "out"), "_group")
+    n = spans.count()
+    if n:
+        work = spans.join(groups.select("_group", "s"), "_group").repartitionByRange(min(n, MOST_TASKS), "_group", "reach", F.col("points")[0])
+        found = work.mapInPandas(solved, "_group long, points array<long>, found array<double>")
+        rows = rows.join(found.groupBy("_group").agg(F.flatten(F.collect_list("points")).alias("points"), F.flatten(F.collect_list("found")).alias("found")), "_group", "left")
+    else:
+        rows = rows.withColumns({"points": F.array().cast("array<long>"), "found": F.array().cast("array<double>")})
+
+    def predicted(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                *own, stations, out, points, found = row
+                if points is not None and len(points):
+                    out = np.array(out)
+                    out[points] = found
+                yield pd.DataFrame([(*own, r[point], r["v"], p) for r, p in zip(stations, np.asarray(out).tolist())], columns=[*keys, point, "observed", "predicted"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, point]) + ", observed double, predicted double"
-    return groups.repartition(_tasks(readings.sparkSession)).mapInPandas(predicted, schema)
+    return rows.select(*keys, "s", "out", "points", "found").mapInPandas(predicted, schema)
 
 
 def forest_downscaled(train: DataFrame, fine: DataFrame, features: list[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:

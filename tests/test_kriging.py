@@ -150,10 +150,30 @@ def test_panels_equal_the_whole_system(monkeypatch):
     for model in ((0.5, 2.0, 9000.0), (0.0, 2.0, 50_000.0), (3.0, 0.0, 9000.0), models.fit(px, py, v)):
         for got, want in zip(models.krige_panels(px, py, v, x, y, model), models.krige(px, py, v, x, y, model)):
             assert np.abs(got - want).max() < 1e-8
+    for values in (v, px / 1000 + rng.normal(0, 0.5, 150), np.where(px > 20_000, 1.0, 2.0)):
+        want = models.left_out(px, py, values)
+        got, ends, todo, fits = models._known(px, py, values, 4)
+        for i in ends:
+            got[i] = want[i]
+        for reach, points, ratios in models._spans(todo, fits):
+            got[points] = models.span_left_out(px, py, values, points, reach, ratios)
+        assert np.abs(got - want).max() < 1e-8
+
+
+def test_spans():
+    """Each point is in one span, of one reach and one octave, and equal ratios stay together up to a limit."""
+    rng = np.random.default_rng(9)
+    ratio = np.concatenate([rng.uniform(0, 50, 1500), np.full(5000, 7.0)])
+    fits = np.stack([ratio * 2, np.full(6500, 2.0), rng.choice([100.0, 200.0], 6500)], 1)
+    spans = models._spans(np.arange(6500), fits)
+    assert sorted(np.concatenate([p for _, p, _ in spans]).tolist()) == list(range(6500))
+    for reach, points, own in spans:
+        assert (fits[points, 2] == reach).all() and np.allclose(own, ratio[points]) and own[-1] <= 2 * own[0] and (np.diff(own) >= 0).all()
+        assert len(own) <= models.SPAN or own[0] == own[-1] and len(own) <= models.EQUAL
 
 
 def test_more_than_4000_places_in_a_group(spark):
-    """The whole job where one task can't hold a dense system: the surface of all stations."""
+    """The whole job where one task can't hold a dense system: the surface of all stations, and each station left out."""
     rng = np.random.default_rng(10)
     n = 4100
     px, py, v = np.round(rng.permutation(n) * 9.0), np.round(rng.permutation(n) * 9.0), rng.normal(20, 5, n)
@@ -169,6 +189,33 @@ def test_more_than_4000_places_in_a_group(spark):
     right[:n] = models.spherical(np.hypot(px[:, None] - x, py[:, None] - y), *model)
     w = np.linalg.solve(left, right)
     assert max(abs(got[1, i][0] - w[:n, i] @ v) for i in range(12)) < 1e-7 and max(abs(got[1, i][1] - w[:, i] @ right[:, i]) for i in range(12)) < 1e-7
+    # All places but eight hold two stations.
+    twice = [(1, i, float(px[i % n]), float(py[i % n]), float(v[i % n] + i // n)) for i in range(2 * n - 8)]
+    readings = spark.createDataFrame(twice, "hour int, station int, px double, py double, value double")
+    left = {r.station: r.predicted for r in models.kriged_leave_one_out(readings, ["hour"], "station").collect()}
+    assert len(left) == len(twice) and abs(left[0] - v[0] - 1) < 1e-9
+    a = np.array([t[2:] for t in twice]).T
+    i = n - 3
+    rest = np.delete(a, i, axis=1)
+    want = models.krige(*models.merged(*rest)[:3], a[0, i : i + 1], a[1, i : i + 1], models.fit(*rest))[0][0]
+    assert abs(left[i] - want) < 1e-7
+
+
+def test_leave_one_out_of_large_groups(spark, monkeypatch):
+    """Spans of points in tasks of their own give what one task gives; groups with and without spans, and keys that are null."""
+    rng = np.random.default_rng(11)
+    readings = []
+    for hour, n in ((1, 60), (2, 5), (None, 40), (4, 30)):
+        px, py, v = network(rng, n)
+        if hour == 4:
+            px, py = px[np.arange(n) // 2 * 2], py[np.arange(n) // 2 * 2]
+        readings += [(hour, i, float(px[i]), float(py[i]), float(v[i])) for i in range(n)]
+    table = spark.createDataFrame(readings, "hour int, station int, px double, py double, value double")
+    rows = lambda: {(r.hour, r.station): (r.observed, r.predicted) for r in models.kriged_leave_one_out(table, ["hour"], "station").collect()}
+    want = rows()
+    monkeypatch.setattr(models, "WHOLE", 10)
+    got = rows()
+    assert got.keys() == want.keys() and len(got) == 135 and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in got)
 
 
 def test_large_values_keep_the_smallest_eigenvalue():
